@@ -13,6 +13,8 @@ white space runs to a space, lower case, its split pattern, bytes to printable s
 end on the last symbol of each piece. All of these act inside a stretch without white space, so the
 result of each such stretch is kept in a bounded cache.
 
+Code points that the installed Unicode tables don't know yet count as neither letters nor digits.
+
 Defined cases: null text is empty text: 0 tokens, the hash of nothing; a text of white space alone
 likewise; other columns are not read; repeated rows each get their result.
 """
