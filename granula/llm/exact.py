@@ -78,12 +78,16 @@ class PerfectHash:
         return out
 
 
+_SIDE = pa.schema([("n_chars", pa.int64()), ("doc_id", pa.int64()), ("rows", pa.int64()), ("sha", pa.string())])
+
+
 def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), "<u8").reshape(-1, 4)
 
 
 def _look_up(history: pa.Table, batch: pa.Table) -> pa.Table:
     """Winner and rows of each digest of a shard, from the history's slots and the new digests."""
+    history, batch = (t if t.num_columns else _SIDE.empty_table() for t in (history, batch))  # Spark sends no columns for a missing side
     old, new = _words(history.column("sha")), _words(batch.column("sha"))
     index = PerfectHash(old)
     slot = index.slots(old)
