@@ -8,8 +8,9 @@ Jaccard similarity is at least 3/4. Sets are held as 64-bit shingle hashes.
    counts over all documents (the frequency order; any total order gives exact results, and this
    one puts shared passages last).
 2. Each distinct set sends the first n - ceil(3n/4) + 1 shingles in that order (its prefix) to
-   inverted lists. Lists with one set go. In each other list the set with the smallest key is the
-   pivot, and all others are paired with it alone if the length and positional filters let them.
+   inverted lists. Lists with one set go. In each other list the set that has the fewest rarer
+   shingles (of near copies: the least altered) is the pivot, and all others are paired with it
+   alone if the length and positional filters let them.
 3. Pairs are made distinct, pass the suffix filter and are verified on whole sets, once.
 4. Members of a list that the links so far leave in another component than its pivot's are paired
    with the members of other components in that list, and verified likewise. Pairs already in one
@@ -126,10 +127,11 @@ def _postings(counts):
 
 
 def _may_link(a: str, b: str) -> F.Column:
-    """Length and positional filter on two postings (n, pos) of one list."""
-    na, nb, pa_, pb = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
+    """Length and positional filter on two postings (n, pos, shared) of one list: the sets share at
+    most what follows this shingle in both, and of what precedes it only what has a list."""
+    na, nb, pa_, pb, sa, sb = (F.col(f"{x}{y}") for y in ("n", "pos", "shared") for x in (a, b))
     need = F.ceil(F.lit(3) * (na + nb) / F.lit(7))
-    most = F.least(na - pa_, nb - pb) + F.least(pa_, pb)
+    most = F.least(na - pa_, nb - pb) + F.least(sa, sb)
     return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (most >= need)
 
 
@@ -191,13 +193,15 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = spark.sparkContext.broadcast(_frequencies(rows))
     postings = source.mapInArrow(_postings(counts), "h long, k long, n int, pos int").repartition(parts, "h")
     in_list = "over (partition by h)"
+    kept = (
+        postings.selectExpr("*", f"min(k) {in_list} as least", f"max(k) {in_list} as most").where("least != most").select("h", "k", "n", "pos").distinct()
+    )
+    # A shingle without a list is in no other prefix; so of the rarer ones only those with one count.
+    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared")
     lists = durable(
-        postings.selectExpr("*", f"min(struct(k, n, pos)) {in_list} as p", f"max(k) {in_list} as last")
-        .where("last != p.k")
-        .selectExpr("h", "k", "n", "pos", "p.k as pk", "p.n as pn", "p.pos as ppos")
-        .distinct()
+        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
-    first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.col("pk").alias("a"), F.col("k").alias("b")).distinct())
+    first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
     roots = components(links)
 
@@ -208,14 +212,14 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tagged = durable(in_use.join(pivots, "pk"))
     odd = tagged.where("c != pc")
     more = (
-        odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "c")))
-        .join(tagged.select("h", "k", "n", "pos", "c", "pk", "pc"), "h")
+        odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "c")))
+        .join(tagged.select("h", "k", "n", "pos", "shared", "c", "pk", "pc"), "h")
         .where((F.col("c") != F.col("oc")) & (F.col("k") != F.col("pk")))
         .where(((F.col("c") == F.col("pc")) | (F.col("k") > F.col("ok"))) & _may_link("", "o"))
         .select(F.least("k", "ok").alias("a"), F.greatest("k", "ok").alias("b"))
         .distinct()
     )
-    more = durable(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = durable(more.join(first, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = durable(links.union(_verify(more, classes, source)))
         roots = components(links)
