@@ -87,7 +87,8 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 
 def _look_up(history: pa.Table, batch: pa.Table) -> pa.Table:
     """Winner and rows of each digest of a shard, from the history's slots and the new digests."""
-    history, batch = (t if t.num_columns else _SIDE.empty_table() for t in (history, batch))  # Spark sends no columns for a missing side
+    # Spark sends no columns for a missing side.
+    history, batch = (t if "sha" in t.column_names else _SIDE.empty_table() for t in (history, batch))
     old, new = _words(history.column("sha")), _words(batch.column("sha"))
     index = PerfectHash(old)
     slot = index.slots(old)
