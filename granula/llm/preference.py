@@ -35,7 +35,7 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     """pairs (pair_id, c, r: arrays of turns): pair_id, n_prompt, prompt, and for each side its
     completion, segments and mask."""
     differs = F.expr("filter(sequence(1, greatest(1, least(size(c), size(r)))), i -> i > least(size(c), size(r)) or not (c[i - 1].role <=> r[i - 1].role and c[i - 1].text <=> r[i - 1].text))")
-    pairs = pairs.select("*", F.coalesce(F.element_at(F.slice(differs, 1, 1), -1) - 1, F.least(F.size("c"), F.size("r"))).alias("n"))
+    pairs = pairs.select("*", F.coalesce(F.get(differs, F.lit(0)) - 1, F.least(F.size("c"), F.size("r"))).alias("n"))
     out = [F.col("pair_id"), F.col("n").alias("n_prompt"), _render(F.expr("slice(c, 1, n)")).alias("prompt")]
     for name, side in (("chosen", "c"), ("rejected", "r")):
         rest = F.expr(f"slice({side}, n + 1, size({side}))")
