@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from granula.llm.common import WS, durable
 
 #: Rows of a source that one key range holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 CAP = 3
 
 
