@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.functions.state import durable
+
 BROADCAST_ROWS = 100_000
 BLOCKS = 64
 
@@ -68,7 +70,7 @@ def attributes(g: DataFrame, pairs: DataFrame, mode: str = "strict") -> DataFram
     c = _candidates(g, pairs)
     ahead = F.col("rho_j") > F.col("rho") if mode in ("strict", "row", "patched") else F.col("pos_j") < F.col("pos")
     tie = "pos_j" if mode in ("ordered", "ball") else "j"
-    per = c.groupBy(F.col("i").alias("g")).agg(F.min(F.when(ahead, F.struct("d", tie, "j"))).alias("best"), F.max("d").alias("row_max"))
+    per = c.groupBy(F.col("i").alias("g")).agg(F.min(F.when(ahead, F.struct("d", F.col(tie).alias("t"), "j"))).alias("best"), F.max("d").alias("row_max"))
     per = with_order(g).join(per, "g", "left").select("g", "rho", "pos", F.col("best.d").alias("d"), F.col("best.j").alias("parent"), "row_max")
     all_ = Window.partitionBy()
     if mode == "strict":
@@ -141,14 +143,14 @@ def separation(pairs: DataFrame, factor: float = 0.20) -> DataFrame:
 def separated(dpc: DataFrame, pairs: DataFrame, k: int, factor: float = 0.20) -> DataFrame:
     """Greedy: in the order of gamma, accept what keeps the least distance to all accepted; then
     refill by gamma. A fold over at most k accepted: each step is one join and one aggregate."""
-    order = _ranked(dpc).select("g", "pick")
-    sep = separation(pairs, factor)
+    order = durable(_ranked(dpc).select("g", "pick"))
+    sep = durable(separation(pairs, factor))
     left, chosen = order, None
     for _ in range(k):
-        nxt = left.agg(F.min(F.struct("pick", "g")).alias("s")).select("s.g", "s.pick").where("g is not null")
+        nxt = durable(left.agg(F.min(F.struct("pick", "g")).alias("s")).select("s.g", "s.pick").where("g is not null"))
         chosen = nxt if chosen is None else chosen.union(nxt)
         near = pairs.join(F.broadcast(nxt.select(F.col("g").alias("i"))), "i").crossJoin(F.broadcast(sep)).where("d < min_sep").select(F.col("j").alias("g"))
-        left = left.join(near, "g", "left_anti").join(nxt.select("g"), "g", "left_anti")
+        left = durable(left.join(near, "g", "left_anti").join(nxt.select("g"), "g", "left_anti"))
     pad = order.join(chosen.select("g"), "g", "left_anti").withColumn("late", F.lit(1))
     both = chosen.withColumn("late", F.lit(0)).select("g", "pick", "late").union(pad.select("g", "pick", "late"))
     return both.withColumn("r", F.row_number().over(Window.orderBy("late", "pick"))).where(F.col("r") <= k).select("g", (F.col("r") - 1).alias("label"))

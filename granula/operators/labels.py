@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.functions.state import durable
+
 
 def nearest_centre(pairs: DataFrame, centres: DataFrame) -> DataFrame:
     """g, label of the nearest centre; ties to the smaller label."""
@@ -18,9 +20,10 @@ def chains(dpc: DataFrame, centres: DataFrame) -> DataFrame:
     """g, root: where the parent links lead, stopping at centres; pointer jumping in log2 steps."""
     steps = math.ceil(math.log2(max(2, dpc.count()))) + 1
     ptr = dpc.join(centres.select("g", F.lit(True).alias("c")), "g", "left").select("g", F.when(F.col("c"), F.col("g")).otherwise(F.coalesce("parent", "g")).alias("root"))
+    ptr = durable(ptr)
     for _ in range(steps):
         up = ptr.select(F.col("g").alias("root"), F.col("root").alias("up"))
-        ptr = ptr.join(up, "root").select("g", F.col("up").alias("root"))
+        ptr = durable(ptr.join(up, "root").select("g", F.col("up").alias("root")))
     return ptr
 
 
@@ -81,12 +84,13 @@ def merge_light(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, quantile: f
     cut = rp.agg(F.percentile("d", F.lit(quantile)).alias("cut"))
     e = rp.crossJoin(F.broadcast(cut)).where("d <= cut").select("li", "lj")
     e = e.union(e.select("lj", "li"))
-    root = labels.select("label").distinct().withColumn("root", F.col("label"))
+    e = durable(e)
+    root = durable(labels.select("label").distinct().withColumn("root", F.col("label")))
     for _ in range(math.ceil(math.log2(max(2, root.count()))) + 1):
         best = e.join(root.withColumnRenamed("label", "lj"), "lj").groupBy(F.col("li").alias("label")).agg(F.min("root").alias("m"))
-        root = root.join(best, "label", "left").select("label", F.least("root", F.coalesce("m", "root")).alias("root"))
+        root = durable(root.join(best, "label", "left").select("label", F.least("root", F.coalesce("m", "root")).alias("root")))
         up = root.select(F.col("label").alias("root"), F.col("root").alias("up"))
-        root = root.join(up, "root").select("label", F.least("root", "up").alias("root"))
+        root = durable(root.join(up, "root").select("label", F.least("root", "up").alias("root")))
     code = root.withColumn("code", F.dense_rank().over(Window.orderBy("root")) - 1)
     return labels.join(F.broadcast(code), "label").select("g", F.col("code").alias("label"))
 

@@ -61,21 +61,21 @@ def column_minmax(df, cols):
     return _put(df, f, cols, lambda c: F.when(width(c) < TINY, 0.0).otherwise((F.col(c) - F.col(f"{c}_lo")) / width(c)))
 
 
-ALL = Window.partitionBy()
-
-
-def vector_minmax(v: Column, over=ALL) -> Column:
+def vector_minmax(v: Column, over=None) -> Column:
+    over = over or Window.partitionBy()
     lo, hi = F.min(v).over(over), F.max(v).over(over)
     return (v - lo) / F.greatest(hi - lo, F.lit(TINY))
 
 
-def vector_minmax_or_zero(v: Column, over=ALL) -> Column:
+def vector_minmax_or_zero(v: Column, over=None) -> Column:
+    over = over or Window.partitionBy()
     lo, hi = F.min(v).over(over), F.max(v).over(over)
     return F.when(hi - lo <= 1e-15, 0.0).otherwise((v - lo) / (hi - lo))
 
 
-def unit_scale(v: Column, over=ALL) -> Column:
+def unit_scale(v: Column, over=None) -> Column:
     """Between the 5% and 95% quantiles, clipped; else between the extremes; else 1."""
+    over = over or Window.partitionBy()
     q = F.percentile(v, F.array(F.lit(0.05), F.lit(0.95))).over(over)
     lo, hi = F.min(v).over(over), F.max(v).over(over)
     clip = lambda a, b: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - a) / (b - a)))

@@ -48,10 +48,10 @@ def nmi(table: DataFrame) -> DataFrame:
 
 
 def ari(table: DataFrame) -> DataFrame:
-    two = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) / 2.0"))
+    two = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) / 2D"))
     t, p = (table.groupBy(c).agg(F.sum("n").alias("m")).agg(two("m").alias(f"s{c}")) for c in "tp")
     one = table.agg(two("n").alias("s"), F.sum("n").alias("all")).crossJoin(t).crossJoin(p)
-    expect = "st * sp / (all * (all - 1) / 2.0)"
+    expect = "st * sp / (all * (all - 1) / 2D)"
     return one.select(F.expr(f"case when (st + sp) / 2 = {expect} then 1.0 else (s - {expect}) / ((st + sp) / 2 - {expect}) end").alias("ari"))
 
 

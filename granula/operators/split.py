@@ -34,7 +34,7 @@ def split_once(points: DataFrame, ties_left: bool = False) -> DataFrame:
 def split_ellipsoid(points: DataFrame) -> DataFrame:
     """End points first, then once more by Mahalanobis distance to the children."""
     first = split_once(points)
-    kids = granule.moments(first.drop("g").withColumn("g", F.struct(first["g"].alias("g"), "child")))
+    kids = granule.moments(first.withColumn("g", F.struct("g", "child")))
     kids = kids.select(F.col("g.g").alias("g"), F.col("g.child").alias("k"), "cx", "cy", "a", "b", "c")
     m2 = F.expr("greatest((c * (x - cx) * (x - cx) - 2 * b * (x - cx) * (y - cy) + a * (y - cy) * (y - cy)) / (a * c - b * b), 0)")
     both = first.join(kids, "g").groupBy(*points.columns).agg(F.max(F.when(F.col("k") == 0, m2)).alias("d1"), F.max(F.when(F.col("k") == 1, m2)).alias("d2"))
