@@ -11,7 +11,8 @@ Jaccard similarity is at least 3/4. Sets are held as 64-bit shingle hashes.
    inverted lists. Lists with one set go. In each other list the set that has the fewest rarer
    shingles (of near copies: the least altered) is the pivot, and all others are paired with it
    alone if the length and positional filters let them.
-3. Pairs are made distinct, pass the suffix filter and are verified on whole sets, once.
+3. Pairs are made distinct, pass a filter by parity signatures of whole sets (1024 bits) and the
+   suffix filter and are verified on whole sets, once.
 4. Members of a list that the links so far leave in another component than its pivot's are paired
    with the members of other components in that list, and verified likewise. Pairs already in one
    component can't change the result; so no link between different sets is lost, and a group of n
@@ -36,6 +37,7 @@ from granula.llm.common import U64, chunks, components, durable, id_bits, mix, o
 
 N = 5
 SLOTS, BLOCKS = 1 << 20, 64
+SIGNATURE = 1024
 #: Sets of one task remembered to send equal ones once; more only saves shuffle.
 SEEN = 100_000
 
@@ -59,24 +61,35 @@ def _key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of SIGNATURE bits whether an odd number of shingles falls on it, as 64-bit words."""
+    odd = np.bincount((s >> U64(20)) & U64(SIGNATURE - 1), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefix(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+_FIRST = ["doc_id", "n", "k", "sig", "block", "counts"]
+
+
 def _first_pass(batches):
     counts = np.zeros(SLOTS, np.int64)
     for chunk in chunks(batches, lower=True):
-        ids, sizes, keys = [], [], []
+        ids, sizes, keys, signs = [], [], [], []
         for d, s in shingle_sets(chunk):
             np.add.at(counts, s & U64(SLOTS - 1), 1)
             ids.append(int(chunk.ids[d]))
             sizes.append(len(s))
             keys.append(_key(s))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "k", "block", "counts"])
+            signs.append(_parity(s))
+        sig = pa.array(signs, pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), sig, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], _FIRST)
     step = SLOTS // BLOCKS
     parts = [counts[i * step : (i + 1) * step].tobytes() for i in range(BLOCKS)]
     none = pa.nulls(BLOCKS, pa.int64())
-    yield pa.record_batch([none, none, none, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "k", "block", "counts"])
+    yield pa.record_batch([none, none, none, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], _FIRST)
 
 
 def _add_counts(batches):
@@ -165,6 +178,10 @@ def _check(batches):
 def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
     """Links (u, v) among pairs (a, b) of set keys, as the classes' first documents."""
     spark = source.sparkSession
+    # Signature filter: each differing shingle turns one bit, so the turned bits are at most so many.
+    sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
+    turned = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= na + nb - 2 * ceil(3 * (na + nb) / 7)")
+    pairs = durable(pairs.join(sides[0], "a").join(sides[1], "b").where(turned).select("a", "b"))
     ids = durable(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(classes, "k").select("k", "rep"))
     bits = spark.sparkContext.broadcast(id_bits(ids, "rep"))
     sets = with_bit(source, bits).mapInArrow(_sets(bits), "doc_id long, k long, s binary")
@@ -187,9 +204,10 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     components together."""
     spark, source = docs.sparkSession, texts(docs)
     parts = partitions(docs)
-    rows = durable(source.mapInArrow(_first_pass, "doc_id long, n long, k long, block int, counts binary"))
-    members = rows.where("block is null").select("doc_id", "n", "k")
-    classes = durable(members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep")))
+    rows = durable(source.mapInArrow(_first_pass, "doc_id long, n long, k long, sig array<long>, block int, counts binary"))
+    members = rows.where("block is null").select("doc_id", "n", "k", "sig")
+    classes = durable(members.where("n > 0").groupBy("k").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("k", F.col("c.doc_id").alias("rep"), "c.n", "c.sig"))
+    members = members.drop("sig")
     counts = spark.sparkContext.broadcast(_frequencies(rows))
     postings = source.mapInArrow(_postings(counts), "h long, k long, n int, pos int").repartition(parts, "h")
     in_list = "over (partition by h)"
@@ -197,24 +215,25 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         postings.selectExpr("*", f"min(k) {in_list} as least", f"max(k) {in_list} as most").where("least != most").select("h", "k", "n", "pos").distinct()
     )
     # A shingle without a list is in no other prefix; so of the rarer ones only those with one count.
-    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared")
+    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared", "collect_list(h) over (partition by k order by pos rows between 4 preceding and 1 preceding) as prev")
     lists = durable(
-        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
+        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "prev", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
     first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
     roots = components(links)
 
     # What is left: members outside their pivot's component, against other components in the list.
-    comp = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("c"))
+    comp = classes.select("k", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("c"))
     in_use = lists.join(comp, "k")
     pivots = comp.select(F.col("k").alias("pk"), F.col("c").alias("pc"))
     tagged = durable(in_use.join(pivots, "pk"))
     odd = tagged.where("c != pc")
     more = (
-        odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "c")))
-        .join(tagged.select("h", "k", "n", "pos", "shared", "c", "pk", "pc"), "h")
+        odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")))
+        .join(tagged.select("h", "k", "n", "pos", "shared", "prev", "c", "pk", "pc"), "h")
         .where((F.col("c") != F.col("oc")) & (F.col("k") != F.col("pk")))
+        .where(~F.arrays_overlap("prev", "oprev"))  # else they meet in that list
         .where(((F.col("c") == F.col("pc")) | (F.col("k") > F.col("ok"))) & _may_link("", "o"))
         .select(F.least("k", "ok").alias("a"), F.greatest("k", "ok").alias("b"))
         .distinct()
@@ -224,7 +243,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = durable(links.union(_verify(more, classes, source)))
         roots = components(links)
     out = (
-        members.join(classes, "k", "left")
+        members.join(classes.select("k", "rep"), "k", "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     )
