@@ -215,9 +215,9 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         postings.selectExpr("*", f"min(k) {in_list} as least", f"max(k) {in_list} as most").where("least != most").select("h", "k", "n", "pos").distinct()
     )
     # A shingle without a list is in no other prefix; so of the rarer ones only those with one count.
-    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared", "collect_list(h) over (partition by k order by pos rows between 4 preceding and 1 preceding) as prev")
+    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared")
     lists = durable(
-        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "prev", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
+        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
     first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
@@ -225,14 +225,15 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # What is left: members outside their pivot's component, against other components in the list.
     comp = classes.select("k", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("c"))
-    in_use = lists.join(comp, "k")
-    pivots = comp.select(F.col("k").alias("pk"), F.col("c").alias("pc"))
-    tagged = durable(in_use.join(pivots, "pk"))
+    mixed = lists.select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
+    mixed = mixed.selectExpr("*", f"max(struct(pivot, c)) {in_list}.c as pc", f"min(c) {in_list} as c0", f"max(c) {in_list} as c1").where("c0 != c1").drop("c0", "c1")
+    # Lists with one component hold no pair in question; so the shingles before are those of these.
+    tagged = durable(mixed.selectExpr("*", "collect_list(h) over (partition by k order by pos rows between 4 preceding and 1 preceding) as prev"))
     odd = tagged.where("c != pc")
     more = (
         odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")))
-        .join(tagged.select("h", "k", "n", "pos", "shared", "prev", "c", "pk", "pc"), "h")
-        .where((F.col("c") != F.col("oc")) & (F.col("k") != F.col("pk")))
+        .join(tagged.where("not pivot").select("h", "k", "n", "pos", "shared", "prev", "c", "pc"), "h")
+        .where(F.col("c") != F.col("oc"))
         .where(~F.arrays_overlap("prev", "oprev"))  # else they meet in that list
         .where(((F.col("c") == F.col("pc")) | (F.col("k") > F.col("ok"))) & _may_link("", "o"))
         .select(F.least("k", "ok").alias("a"), F.greatest("k", "ok").alias("b"))
