@@ -38,6 +38,8 @@ from granula.llm.common import U64, chunks, components, durable, id_bits, mix, o
 N = 5
 SLOTS, BLOCKS = 1 << 20, 64
 SIGNATURE = 1024
+#: Pairs that are broadcast (16 bytes each, 144 with a signature); more are shuffled.
+BROADCAST_PAIRS = 100_000
 #: Sets of one task remembered to send equal ones once; more only saves shuffle.
 SEEN = 100_000
 
@@ -151,8 +153,8 @@ def _may_link(a: str, b: str) -> F.Column:
 def _sets(bits):
     def run(batches):
         for chunk in chunks(only_bits(batches, bits.value), lower=True):
-            got = [(int(chunk.ids[d]), _key(s), s.tobytes()) for d, s in shingle_sets(chunk) if len(s)]
-            yield pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.binary())], ["doc_id", "k", "s"])
+            got = {_key(s): s.tobytes() for _, s in shingle_sets(chunk) if len(s)}
+            yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["k", "s"])
 
     return run
 
@@ -181,11 +183,13 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFram
     # Signature filter: each differing shingle turns one bit, so the turned bits are at most so many.
     sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
     turned = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= na + nb - 2 * ceil(3 * (na + nb) / 7)")
-    pairs = durable(pairs.join(sides[0], "a").join(sides[1], "b").where(turned).select("a", "b"))
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
+    signed = few(few(pairs).join(sides[0], "a").select("a", "b", "na", "sa"))
+    pairs = durable(signed.join(sides[1], "b").where(turned).select("a", "b"))
     ids = durable(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(classes, "k").select("k", "rep"))
     bits = spark.sparkContext.broadcast(id_bits(ids, "rep"))
-    sets = with_bit(source, bits).mapInArrow(_sets(bits), "doc_id long, k long, s binary")
-    sets = sets.join(ids.select("k", F.col("rep").alias("doc_id")), ["k", "doc_id"], "left_semi").select("k", "s")
+    # The id set also lets other documents through; copies fold before they are sent.
+    sets = with_bit(source, bits).mapInArrow(_sets(bits), "k long, s binary").groupBy("k").agg(F.first("s").alias("s"))
     both = (
         pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
         .join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
