@@ -13,7 +13,7 @@ Jaccard similarity is at least 3/4. Sets are held as 64-bit shingle hashes.
    alone if the length and positional filters let them.
 3. Pairs are made distinct, pass a filter by parity signatures of whole sets (1024 bits) and the
    suffix filter and are verified on whole sets, once.
-4. Members of a list that the links so far leave in another component than its pivot's are paired
+4. Members of a list of over two that the links so far leave in another component than its pivot's are paired
    with the members of other components in that list, and verified likewise. Pairs already in one
    component can't change the result; so no link between different sets is lost, and a group of n
    near copies costs about n pairs, not n * n.
@@ -221,7 +221,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A shingle without a list is in no other prefix; so of the rarer ones only those with one count.
     kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared")
     lists = durable(
-        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p").selectExpr("h", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
+        kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p", f"count(*) {in_list} as m").selectExpr("h", "m", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
     first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
@@ -229,7 +229,8 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # What is left: members outside their pivot's component, against other components in the list.
     comp = classes.select("k", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("c"))
-    mixed = lists.select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
+    # In a list of two the pivot has met the other.
+    mixed = lists.where("m > 2").select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
     mixed = mixed.selectExpr("*", f"max(struct(pivot, c)) {in_list}.c as pc", f"min(c) {in_list} as c0", f"max(c) {in_list} as c1").where("c0 != c1").drop("c0", "c1")
     # Lists with one component hold no pair in question; so the shingles before are those of these.
     tagged = durable(mixed.selectExpr("*", "collect_list(h) over (partition by k order by pos rows between 4 preceding and 1 preceding) as prev"))
