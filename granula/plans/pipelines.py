@@ -203,7 +203,7 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         big = now.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, num - 1)).select("g")
         if not big.limit(1).count():
             break
-        small = now.join(F.broadcast(big), "g", "left_anti")
+        small = now.join(F.broadcast(big), "g", "left_anti").select("point_id", "features", "g")
         parts = durable(split_level(now.join(F.broadcast(big), "g", "left_semi"), cfg))
         stuck = parts.where("child is null").select("point_id", "features", "g")
         now = durable(small.union(parts.where("child is not null").select("point_id", "features", F.concat("g", F.col("child").cast("string")).alias("g"))))
@@ -239,7 +239,7 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         if not fresh.limit(1).count():
             break
         gone = fresh.select(F.expr("substring(g, 1, length(g) - 1)").alias("g")).distinct()
-        now = durable(now.join(F.broadcast(gone), "g", "left_anti").union(fresh))
+        now = durable(now.join(F.broadcast(gone), "g", "left_anti").unionByName(fresh))
         stats = durable(stats.join(F.broadcast(gone), "g", "left_anti").union(fresh.groupBy("g").applyInPandas(_stats(cfg), _STATS)))
     return now, stats
 
