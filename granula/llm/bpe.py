@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache; it starts anew when it is full.
-CACHE = 400_000
+CACHE = 300_000
 #: Symbols read beyond the lookahead before tokens are emitted.
 STEP = 512
 #: White space of the tokenizers library's patterns (Unicode White_Space).

@@ -25,7 +25,7 @@ _LOWER[65:91] += 32
 
 U64 = np.uint64
 _M1, _M2, _BASE = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -136,7 +136,7 @@ class Chunk:
         return mix(out ^ (self.ends - self.starts).astype(U64))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], lower: bool = False, size: int = 4 << 20, keep=None) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], lower: bool = False, size: int = 1 << 20, keep=None) -> Iterator[Chunk]:
     """Chunks of about `size` bytes of whole documents from batches of (doc_id, text).
 
     keep: a mask of the documents to take, made from their ids.

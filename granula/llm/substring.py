@@ -148,7 +148,7 @@ def _name_all(ranges: int):
     shift = U64(64 - ranges.bit_length() + 1)
 
     def run(batches):
-        for chunk in chunks(batches, size=6 << 20):
+        for chunk in chunks(batches, size=2 << 20):
             m = len(chunk.ids)
             sha = [hashlib.sha256(b" ".join(chunk.raw(d).split())).hexdigest() for d in range(m)]
             yield _rows([0] * m, chunk.ids % ranges, chunk.ids, np.diff(chunk.first), sha, [None] * m)
