@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.llm.common import release
+
 #: Entries of a worker's cache; it starts anew when it is full.
 CACHE = 300_000
 #: Symbols read beyond the lookahead before tokens are emitted.
@@ -221,6 +223,7 @@ def _encode(path: str):
                 left.append(one.hexdigest())
                 right.append(two.hexdigest())
             yield pa.record_batch([ids, pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return run
 

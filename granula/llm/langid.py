@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, mix
+from granula.llm.common import U64, mix, release
 
 BUCKETS = 1 << 15
 SAMPLE = 2000
@@ -139,6 +139,7 @@ def _score(langs: list[str], model):
             else:
                 score, pred, letters = np.zeros(len(text)), ["und"] * len(text), np.zeros(len(text), bool)
             yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], ["doc_id", "lang_pred", "score"])
+        release()
 
     return run
 
