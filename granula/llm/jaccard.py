@@ -11,13 +11,16 @@ Jaccard similarity is at least 3/4. Sets are held as 64-bit shingle hashes.
    inverted lists. Lists with one set go. In each other list the set that has the fewest rarer
    shingles (of near copies: the least altered) is the pivot, and all others are paired with it
    alone if the length and positional filters let them.
-3. Pairs are made distinct, pass a filter by parity signatures of whole sets (1024 bits) and the
-   suffix filter and are verified on whole sets, once.
+3. Pairs are made distinct, pass a filter by parity signatures of whole sets (2 to 4 bits a shingle)
+   and the suffix filter and are verified on whole sets, once.
 4. Members of a list of over two that the links so far leave in another component than its pivot's are paired
    with the members of other components in that list, and verified likewise. Pairs already in one
    component can't change the result; so no link between different sets is lost, and a group of n
    near copies costs about n pairs, not n * n.
 
+Lists are keyed by 48 bits of a shingle's hash, beside which a posting holds its position (up to
+65535; from there on filters are loose). Equal keys of different shingles only add pairs to verify.
+
 Defined cases: null or empty text has n_shingles 0 and links with nothing; identical rows and equal
 texts share a component; a row without doc_id is ignored; an empty table gives an empty result.
 """
@@ -33,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, chunks, components, durable, id_bits, mix, only_bits, partitions, range_hash, texts, with_bit
+from granula.llm.common import U64, chunks, components, durable, id_bits, mix, only_bits, partitions, pow2, range_hash, texts, with_bit
 
 N = 5
 SLOTS, BLOCKS = 1 << 20, 64
+#: Bits of the smallest signature.
 SIGNATURE = 1024
-#: Pairs that are broadcast (16 bytes each, 144 with a signature); more are shuffled.
+#: Pairs that are broadcast (16 bytes each); more are shuffled.
 BROADCAST_PAIRS = 100_000
+#: Bits of a posting's position, below those of its shingle.
+POS_BITS = 16
+MAX_POS = (1 << POS_BITS) - 1
 #: Sets of one task remembered to send equal ones once; more only saves shuffle.
 SEEN = 100_000
 
@@ -64,8 +71,10 @@ def _key(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """For each of SIGNATURE bits whether an odd number of shingles falls on it, as 64-bit words."""
-    odd = np.bincount((s >> U64(20)) & U64(SIGNATURE - 1), minlength=SIGNATURE) & 1
+    """For each of 2 to 4 bits a shingle (a power of two) whether an odd number of shingles falls on
+    it, as 64-bit words. A signature of twice the bits folds to one of these by xor of its halves."""
+    size = max(SIGNATURE, pow2(2 * len(s)))
+    odd = np.bincount((s >> U64(20)) & U64(size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -89,7 +98,8 @@ def _first_pass(batches):
         sig = pa.array(signs, pa.list_(pa.int64()))
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), sig, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], _FIRST)
     step = SLOTS // BLOCKS
-    parts = [counts[i * step : (i + 1) * step].tobytes() for i in range(BLOCKS)]
+    blocks = counts.reshape(BLOCKS, step)
+    parts = [b.astype(np.min_scalar_type(int(b.max()))).tobytes() for b in blocks]  # the width tells the type
     none = pa.nulls(BLOCKS, pa.int64())
     yield pa.record_batch([none, none, none, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], _FIRST)
 
@@ -99,8 +109,8 @@ def _add_counts(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(part, np.int64)
-            sums[block] = sums[block] + got if block in sums else got.copy()
+            got = np.frombuffer(part, f"u{len(part) * BLOCKS // SLOTS}").astype(np.int64)
+            sums[block] = sums[block] + got if block in sums else got
     yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
 
 
@@ -118,7 +128,7 @@ def _postings(counts):
         seen: OrderedDict[int, None] = OrderedDict()
         freq = counts.value
         for chunk in chunks(batches, lower=True):
-            h, k, n, pos = [], [], [], []
+            x, k = [], []
             for _, s in shingle_sets(chunk):
                 if not len(s):
                     continue
@@ -131,12 +141,10 @@ def _postings(counts):
                     seen.popitem(last=False)
                 p = _prefix(len(s))
                 rare = s[np.argsort(freq[s & U64(SLOTS - 1)], kind="stable")[:p]]
-                h.append(rare)
+                x.append(rare & ~U64(MAX_POS) | np.minimum(np.arange(p, dtype=U64), U64(MAX_POS)))
                 k.append(np.full(p, key, np.int64))
-                n.append(np.full(p, len(s), np.int32))
-                pos.append(np.arange(p, dtype=np.int32))
-            if h:
-                yield pa.record_batch([np.concatenate(h).view(np.int64), np.concatenate(k), np.concatenate(n), np.concatenate(pos)], ["h", "k", "n", "pos"])
+            if x:
+                yield pa.record_batch([np.concatenate(x).view(np.int64), np.concatenate(k)], ["x", "k"])
 
     return run
 
@@ -182,9 +190,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFram
     spark = source.sparkSession
     # Signature filter: each differing shingle turns one bit, so the turned bits are at most so many.
     sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
-    turned = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= na + nb - 2 * ceil(3 * (na + nb) / 7)")
+    # The lengths of two sets that may link are so near that one signature is at most twice the other.
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+    bits = f"zip_with({fold.format('sa', 'sb')}, {fold.format('sb', 'sa')}, (x, y) -> bit_count(x ^ y))"
+    turned = F.expr(f"aggregate({bits}, 0, (s, x) -> s + x) <= na + nb - 2 * ceil(3 * (na + nb) / 7)")
     few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
-    signed = few(few(pairs).join(sides[0], "a").select("a", "b", "na", "sa"))
+    signed = few(pairs).join(sides[0], "a").select("a", "b", "na", "sa")
     pairs = durable(signed.join(sides[1], "b").where(turned).select("a", "b"))
     ids = durable(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(classes, "k").select("k", "rep"))
     bits = spark.sparkContext.broadcast(id_bits(ids, "rep"))
@@ -213,13 +224,15 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = durable(members.where("n > 0").groupBy("k").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("k", F.col("c.doc_id").alias("rep"), "c.n", "c.sig"))
     members = members.drop("sig")
     counts = spark.sparkContext.broadcast(_frequencies(rows))
-    postings = source.mapInArrow(_postings(counts), "h long, k long, n int, pos int").repartition(parts, "h")
-    in_list = "over (partition by h)"
-    kept = (
-        postings.selectExpr("*", f"min(k) {in_list} as least", f"max(k) {in_list} as most").where("least != most").select("h", "k", "n", "pos").distinct()
-    )
+    by_list, in_list = F.expr(f"shiftright(x, {POS_BITS})"), "over (partition by h)"
+    unpacked = [by_list.alias("h"), F.expr(f"cast(x & {MAX_POS} as int)").alias("pos")]
+    postings = source.mapInArrow(_postings(counts), "x long, k long").repartition(parts, by_list).select("x", "k", unpacked[0])
+    kept = postings.selectExpr("*", f"min(k) {in_list} as least", f"max(k) {in_list} as most").where("least != most").select("h", "x", "k").distinct()
     # A shingle without a list is in no other prefix; so of the rarer ones only those with one count.
-    kept = kept.selectExpr("*", "cast(row_number() over (partition by k order by pos) - 1 as int) as shared")
+    kept = kept.select("x", "k").join(classes.select("k", "n"), "k")
+    kept = kept.selectExpr("x", "k", "n", f"if(x & {MAX_POS} = {MAX_POS}, n, row_number() over (partition by k order by x & {MAX_POS}, x) - 1) as shared")
+    kept = kept.selectExpr("x", "k", "shiftleft(n, 32) | shared as y").repartition(parts, by_list)
+    kept = kept.select(unpacked[0], "k", F.expr("cast(shiftright(y, 32) as int)").alias("n"), unpacked[1], F.expr("cast(y & 4294967295 as int)").alias("shared"))
     lists = durable(
         kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p", f"count(*) {in_list} as m").selectExpr("h", "m", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
@@ -233,7 +246,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = lists.where("m > 2").select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
     mixed = mixed.selectExpr("*", f"max(struct(pivot, c)) {in_list}.c as pc", f"min(c) {in_list} as c0", f"max(c) {in_list} as c1").where("c0 != c1").drop("c0", "c1")
     # Lists with one component hold no pair in question; so the shingles before are those of these.
-    tagged = durable(mixed.selectExpr("*", "collect_list(h) over (partition by k order by pos rows between 4 preceding and 1 preceding) as prev"))
+    tagged = durable(mixed.selectExpr("*", "collect_list(h) over (partition by k order by pos, h rows between 4 preceding and 1 preceding) as prev"))
     odd = tagged.where("c != pc")
     more = (
         odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")))
