@@ -32,7 +32,8 @@ from granula.llm.common import U64, chunks, durable, id_bits, mix, only_bits, pa
 WINDOW, ROUNDS = 13, 2
 #: Name ranges: at least 256, so that a name's first byte need not be sent.
 RANGES = 256
-DOC_RANGES = 64
+#: Name ranges for each range of documents.
+PER_DOC_RANGE = 4
 _TAGS = [U64(0xA24BAED4963EE407 + 0x9FB21C651E98DF24 * i & (1 << 64) - 1) for i in range(8)]
 
 
@@ -123,9 +124,9 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return name.view(U64).ravel(), np.repeat(ids, counts), pos
 
 
-def _covered_blocks(ids: np.ndarray, pos: np.ndarray):
+def _covered_blocks(ids: np.ndarray, pos: np.ndarray, doc_ranges: int):
     """Covered window starts as one packed block for each range of documents."""
-    part = (mix(ids.astype(np.int64).view(U64)) % U64(DOC_RANGES)).astype(np.int64)
+    part = (mix(ids.astype(np.int64).view(U64)) % U64(doc_ranges)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
     for i, at in enumerate(cuts):
@@ -162,7 +163,7 @@ def _name_all(ranges: int):
                 continue
             owner = np.repeat(np.minimum.reduceat(chunk.ids[doc], cuts), np.diff(cuts, append=len(name)))
             late = chunk.ids[doc] > owner
-            out = [(2, ranges + key, block) for key, block in _covered_blocks(chunk.ids[doc[late]], pos[late])]
+            out = [(2, ranges + key, block) for key, block in _covered_blocks(chunk.ids[doc[late]], pos[late], ranges // PER_DOC_RANGE)]
             name, doc, pos = name[~late], doc[~late], pos[~late]
             edges = np.searchsorted(name >> shift, np.arange(ranges + 1, dtype=U64))
             for r in np.flatnonzero(np.diff(edges)):
@@ -174,7 +175,7 @@ def _name_all(ranges: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, doc_ranges: int) -> pa.Table:
     """All of one name range: windows that a document with a smaller id owns; the rest passes."""
     kinds = table.column("kind").to_numpy()
     other = table.filter(pa.array(kinds != 1))
@@ -187,7 +188,7 @@ def _meet(table: pa.Table) -> pa.Table:
         cuts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         late = ids > np.repeat(np.minimum.reduceat(ids, cuts), np.diff(cuts, append=len(name)))
         if late.any():
-            out = list(_covered_blocks(ids[late], pos[late]))
+            out = list(_covered_blocks(ids[late], pos[late], doc_ranges))
             none = [None] * len(out)
             more = _rows([2] * len(out), [x[0] for x in out], none, none, none, [x[1] for x in out])
             other = pa.concat_tables([other.cast(more.schema), pa.Table.from_batches([more])])
@@ -230,8 +231,9 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while ranges < partitions(docs) and ranges < 1 << 14:
         ranges *= 2
     rows = source.mapInArrow(_name_all(ranges), _ROWS)
-    rows = durable(rows.groupBy("key").applyInArrow(_meet, _ROWS))
-    covered = rows.where("kind = 2").select(F.pmod("key", F.lit(DOC_RANGES)).alias("key"), "block")
+    doc_ranges = ranges // PER_DOC_RANGE
+    rows = durable(rows.groupBy("key").applyInArrow(lambda table: _meet(table, doc_ranges), _ROWS))
+    covered = rows.where("kind = 2").select(F.pmod("key", F.lit(doc_ranges)).alias("key"), "block")
     covered = durable(covered.groupBy("key").applyInArrow(_by_document, "doc_id long, starts binary"))
     bits = spark.sparkContext.broadcast(id_bits(covered, "doc_id"))
     value = bits
