@@ -10,8 +10,13 @@ least: together they span the maximal repeated runs. In each interval the first
 (doc_id, line) keeps its lines, and the first MIN_LINES lines of every later one go.
 
 So a line goes when it lies in a run of MIN_LINES or more lines that also starts earlier, in an
-earlier document or further up in its own. Line ids are 64-bit hashes: two different lines of n in
-all share one with a chance of about n * n / 2**65.
+earlier document or further up in its own; deeper ranks would remove nothing else, for a longer run
+is the union of its parts of MIN_LINES lines, which start earlier too. Line ids are 64-bit hashes:
+two different lines of n in all share one with a chance of about n * n / 2**65.
+
+With min_words a run of fewer lines also counts, down to a single one, if it has so many words. Such
+a run is the union of its least parts: those that have too few words without their last line, and
+those that have too few without their first. So only these, two a line at most, meet by their hash.
 
 Defined cases: null text counts as empty, one empty line; a document with fewer lines than MIN_LINES
 loses none; ties in doc_id (repeated rows) are one document whose rows come in the order of their
@@ -20,12 +25,16 @@ text's hash; a row without doc_id is ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granula.llm.common import durable, partitions
+from granula.llm.common import U64, WS, durable, mix, partitions, range_hash
 
 MIN_LINES = 4
+#: Words from which a run of fewer lines counts in `op6_line_dedup_words`.
+MIN_WORDS = 50
 
 
 def _positions(docs: DataFrame) -> DataFrame:
@@ -66,14 +75,53 @@ def repeated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return now.join(first, "rank").where(F.struct("doc_id", "th", "i") != F.col("f")).select("doc_id", "th", "i")
 
 
-def remove(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _least_parts(min_words: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            ids, th, lines, counts = batch.columns
+            for d in range(batch.num_rows):
+                line = lines[d].values.to_numpy().view(U64)
+                sums = np.concatenate([[0], np.cumsum(counts[d].values.to_numpy().astype(np.int64))])
+                if sums[-1] < min_words:
+                    continue
+                n = len(line)
+                a = np.flatnonzero(sums[:-1] + min_words <= sums[-1])  # starts, with their first ends
+                b = np.searchsorted(sums, sums[a] + min_words)
+                e = np.flatnonzero(sums >= min_words)  # ends, with their last starts
+                part = np.unique(np.concatenate([a * (n + 1) + b, (np.searchsorted(sums, sums[e] - min_words, "right") - 1) * (n + 1) + e]))
+                a, b = part // (n + 1), part % (n + 1)
+                key = mix(range_hash(mix(line), a, b) ^ mix((b - a).astype(U64)))
+                out.append(pa.record_batch([pa.array(np.full(len(a), ids[d].as_py())), pa.array(np.full(len(a), th[d].as_py())), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(key.view(np.int64))], ["doc_id", "th", "i", "m", "key"]))
+            yield from out
+
+    return run
+
+
+def repeated_words(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, th, i, m): the least parts of min_words words that go, m lines from line i."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.split(text, "\n", -1)
+    ids = F.transform("l", lambda x: F.xxhash64(x, F.lit(3)))
+    words = F.transform("l", lambda x: F.size(F.regexp_extract_all(x, F.lit(f"[^{WS}]+"), F.lit(0))))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), lines.alias("l")).select("doc_id", "th", ids.alias("ids"), words.alias("words"))
+    parts = durable(rows.mapInArrow(_least_parts(min_words), "doc_id long, th long, i int, m int, key long"))
+    parts = parts.dropDuplicates(["doc_id", "th", "i", "m"])
+    first = parts.groupBy("key").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return parts.join(first, "key").where(F.struct("doc_id", "th", "i") != F.col("f")).select("doc_id", "th", "i", "m")
+
+
+def remove(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept: the texts without the later copies of repeated runs."""
-    gone = repeated(docs, min_lines).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
+    starts = repeated(docs, min_lines).withColumn("m", F.lit(min_lines))
+    if min_words is not None:
+        starts = starts.union(repeated_words(docs, min_words))
+    gone = starts.groupBy("doc_id", "th", "i").agg(F.max("m").alias("m")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "m")).alias("at"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     # The lines that go, as one mark each; marks of a whole text make the test of a line cheap.
     rows = rows.join(gone, ["doc_id", "th"], "left").withColumn("l", F.split("text", "\n", -1))
-    covered = F.expr(f"array_distinct(flatten(transform(at, a -> sequence(a, a + {min_lines - 1}))))")
+    covered = F.expr("array_distinct(flatten(transform(at, a -> sequence(a.i, a.i + a.m - 1))))")
     rows = rows.withColumn("cut", F.when(F.col("at").isNotNull(), F.sort_array(covered)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(l) - 1), cut), j -> l[j]), '\n')")
     return rows.select(
@@ -81,8 +129,8 @@ def remove(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     ).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.greatest("n_cut", F.lit(0)).cast("long").alias("n_removed"), "kept")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    return remove(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+def digests(docs: DataFrame, min_words: int | None = None) -> DataFrame:
+    return remove(docs, min_words=min_words).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE = f"""

@@ -43,6 +43,11 @@ def op6_line_dedup(spark, sf_dir):
     return lines.digests(_docs(spark, sf_dir))
 
 
+def op6_line_dedup_words(spark, sf_dir):
+    """Also runs of fewer lines that have MIN_WORDS words."""
+    return lines.digests(_docs(spark, sf_dir), lines.MIN_WORDS)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact.dedup(_docs(spark, sf_dir), exact.history_half())
 
@@ -59,7 +64,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op5_substring_dedup, op6_line_dedup, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op5_substring_dedup, op6_line_dedup, op6_line_dedup_words, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity)}
 
 _WORDS = rf"regexp_extract_all(coalesce(text, ''), '[^{WS}]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

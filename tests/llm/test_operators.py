@@ -74,6 +74,28 @@ def test_rows_without_id_and_repeated_rows(spark, docs):
     assert mixing.mix(more).count() == n + 3
 
 
+def test_line_runs_count_by_words_too(spark):
+    import random
+
+    r = random.Random(6)
+    long, pair = " ".join(words(60)), ["a b c d e", "f g h i j"]
+    texts = [long, f"new\n{long}\nend", "\n".join(pair + ["", "x"]), "\n".join(["y", *pair, "", "z"]), "f g h i j", None, "", f"{long}\n{long}"]
+    texts += ["\n".join(r.choice(["p q", "", "r", "s t u v", "w"]) for _ in range(r.randrange(1, 14))) for _ in range(40)]
+    for min_words in (1, 5, 10):
+        seen, want = set(), {}
+        for i, t in enumerate(texts):  # all runs of all lengths, in order
+            l = (t or "").split("\n")
+            gone = set()
+            for a in range(len(l)):
+                runs = {tuple(l[a:b]) for b in range(a + 1, len(l) + 1) if b - a >= 4 or len(WORD.findall(" ".join(l[a:b]))) >= min_words}
+                gone |= {a + k for x in runs & seen for k in range(len(x))}
+                seen |= runs
+            want[i] = (len(gone), "\n".join(x for k, x in enumerate(l) if k not in gone))
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {x.doc_id: (x.n_removed, x.kept) for x in lines.remove(d, min_words=min_words).collect()} == want
+    assert lines.remove(d.limit(0), min_words=5).count() == 0
+
+
 def test_history_line_does_not_matter(docs):
     from pyspark.sql import functions as F
 
