@@ -15,8 +15,12 @@ Jaccard similarity is at least 3/4. Sets are held as 64-bit shingle hashes.
    and the suffix filter and are verified on whole sets, once.
 4. Members of a list of over two that the links so far leave in another component than its pivot's are paired
    with the members of other components in that list, and verified likewise. Pairs already in one
-   component can't change the result; so no link between different sets is lost, and a group of n
-   near copies costs about n pairs, not n * n.
+   component can't change the components, and a group of n near copies costs about n pairs, not n * n.
+
+So the links of `jaccard_join` are only some: enough for the components. `all_links` and `link_counts`
+have all of them: in place of 2 and 4 each list pairs all its members, block against block of at most
+BLOCK_SETS sets, and a pair is verified once, however many lists it meets in. A group of n near copies
+then costs n * n / 2 pairs.
 
 Lists are keyed by 48 bits of a shingle's hash, beside which a posting holds its position (up to
 65535; from there on filters are loose). Equal keys of different shingles only add pairs to verify.
@@ -47,6 +51,8 @@ BROADCAST_PAIRS = 100_000
 #: Bits of a posting's position, below those of its shingle.
 POS_BITS = 16
 MAX_POS = (1 << POS_BITS) - 1
+#: Sets of a list that one block of `all_links` holds.
+BLOCK_SETS = 256
 #: Sets of one task remembered to send equal ones once; more only saves shuffle.
 SEEN = 100_000
 
@@ -186,7 +192,7 @@ def _check(batches):
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
-    """Links (u, v) among pairs (a, b) of set keys, as the classes' first documents."""
+    """Links among pairs (a, b) of set keys, with the classes' first documents (u, v)."""
     spark = source.sparkSession
     # Signature filter: each differing shingle turns one bit, so the turned bits are at most so many.
     sides = [classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
@@ -209,14 +215,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFram
     links = both.mapInArrow(_check, "a long, b long").distinct()
     reps = classes.select("k", "rep")
     return durable(
-        links.join(reps.select(F.col("k").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("k").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+        links.join(reps.select(F.col("k").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("k").alias("b"), F.col("rep").alias("v")), "b").select("a", "b", "u", "v")
     )
 
 
-def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (doc_id, n_shingles, class_id, component_id), one row for each row
-    of docs; links (u, v) between class ids (a class: documents with equal sets) that hold the
-    components together."""
+def _lists(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(source, members, classes, lists): phase 1, and the inverted lists of phase 2 with their pivots."""
     spark, source = docs.sparkSession, texts(docs)
     parts = partitions(docs)
     rows = durable(source.mapInArrow(_first_pass, "doc_id long, n long, k long, sig array<long>, block int, counts binary"))
@@ -236,6 +240,54 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = durable(
         kept.selectExpr("*", f"min(struct(pos, k, n, shared)) {in_list} as p", f"count(*) {in_list} as m").selectExpr("h", "m", "k", "n", "pos", "shared", "p.k as pk", "p.n as pn", "p.pos as ppos", "p.shared as pshared")
     )
+    return source, members, classes, lists
+
+
+#: The up to four lists before, in which two sets may have met already.
+_PREV = "collect_list(h) over (partition by k order by pos, h rows between 4 preceding and 1 preceding) as prev"
+
+
+def _all_links(source: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """All links (a, b, u, v) between different sets."""
+    blocks = f"cast(ceil(m / {BLOCK_SETS}) as int)"
+    rows = durable(lists.selectExpr("h", "k", "n", "pos", "shared", f"{blocks} as blocks", f"cast(pmod(xxhash64(k), {blocks}) as int) as block", _PREV))
+    one = rows.selectExpr("h", *(f"{x} as o{x}" for x in ("k", "n", "pos", "shared", "prev")), "block as b1", "explode(sequence(block, blocks - 1)) as b2")
+    two = rows.selectExpr("h", "k", "n", "pos", "shared", "prev", "explode(sequence(0, block)) as b1", "block as b2")
+    pairs = (
+        one.join(two, ["h", "b1", "b2"])
+        .where("b1 < b2 or ok < k")
+        .where(~F.arrays_overlap("prev", "oprev"))  # else they meet in that list
+        .where(_may_link("", "o"))
+        .select(F.least("k", "ok").alias("a"), F.greatest("k", "ok").alias("b"))
+        .distinct()
+    )
+    return _verify(durable(pairs), classes, source)
+
+
+def all_links(docs: DataFrame) -> DataFrame:
+    """All links (u, v), u < v, between class ids (a class: documents with equal sets)."""
+    source, _, classes, lists = _lists(docs)
+    return _all_links(source, classes, lists).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_links), one row for each row of docs: the number of documents it links with, of equal
+    sets too. Rows of one doc_id count once per set."""
+    source, members, classes, lists = _lists(docs)
+    links = _all_links(source, classes, lists)
+    sizes = members.where("n > 0").select("k", "doc_id").distinct().groupBy("k").agg(F.count("*").alias("size"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    far = both.join(sizes.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.sum("size").alias("far"))
+    per = sizes.join(far, "k", "left").select("k", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(per, "k", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (doc_id, n_shingles, class_id, component_id), one row for each row
+    of docs; links (u, v) between class ids (a class: documents with equal sets): not all, but those
+    that hold the components together."""
+    source, members, classes, lists = _lists(docs)
+    in_list = "over (partition by h)"
     first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
     roots = components(links)
@@ -246,7 +298,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = lists.where("m > 2").select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
     mixed = mixed.selectExpr("*", f"max(struct(pivot, c)) {in_list}.c as pc", f"min(c) {in_list} as c0", f"max(c) {in_list} as c1").where("c0 != c1").drop("c0", "c1")
     # Lists with one component hold no pair in question; so the shingles before are those of these.
-    tagged = durable(mixed.selectExpr("*", "collect_list(h) over (partition by k order by pos, h rows between 4 preceding and 1 preceding) as prev"))
+    tagged = durable(mixed.selectExpr("*", _PREV))
     odd = tagged.where("c != pc")
     more = (
         odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")))
@@ -266,7 +318,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     )
-    return out, links
+    return out, links.select("u", "v")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,11 @@ def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_join(_docs(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op4_ngram_jaccard_links(spark, sf_dir):
+    """The number of all links of each document."""
+    return jaccard.link_counts(_docs(spark, sf_dir))
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring.digests(_docs(spark, sf_dir))
 
@@ -64,7 +69,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op5_substring_dedup, op6_line_dedup, op6_line_dedup_words, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op4_ngram_jaccard_links, op5_substring_dedup, op6_line_dedup, op6_line_dedup_words, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity)}
 
 _WORDS = rf"regexp_extract_all(coalesce(text, ''), '[^{WS}]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,6 +87,14 @@ r AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM r JOIN e ON e.u =
 m AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON a = d.doc_id
+""",
+    "op4_ngram_jaccard_links": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^{WS}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, count(*) AS c FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 75 * (x.n + y.n - i) GROUP BY u)
+SELECT d.doc_id, coalesce(c, 0)::BIGINT AS n_links FROM d LEFT JOIN l ON u = d.doc_id
 """,
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),

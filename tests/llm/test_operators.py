@@ -74,6 +74,19 @@ def test_rows_without_id_and_repeated_rows(spark, docs):
     assert mixing.mix(more).count() == n + 3
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_all_links_between_near_copies(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    cols, want = oracle("op4_ngram_jaccard_links", documents=docs)
+    assert sorted(str(tuple(r)) for r in jaccard.link_counts(docs).select(cols).collect()) == want
+    assert jaccard.link_counts(empty).count() == 0
+    low = {i: WORD.findall((t or "").lower()) for i, t, *_ in rows()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in low.items() if w}
+    reps = [i for i in sets if all(sets[j] != sets[i] for j in sets if j < i)]
+    links = [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sorted(map(tuple, jaccard.all_links(docs).collect())) == sorted(links)
+
+
 def test_line_runs_count_by_words_too(spark):
     import random
 
