@@ -7,8 +7,8 @@ of a Levenshtein automaton (1 edit for terms of 5 letters or more, 2 from 10 let
 and the lexicon's trie, made deterministic step by step as words are read: a state is the set of
 (trie node, edits) that a prefix can be in, and an empty one ends the word. Look-alike digits and
 signs count as their letters. The sample also tells which near words are words of their own: those
-that clean documents hold at least as often as toxic ones are exceptions, and a term with
-MAX_CLEAN_NEAR or more of them is matched exactly only.
+that clean documents hold at least as often as toxic ones are exceptions. All such terms and
+exceptions are used, however many; the sample bounds them.
 
 Each hit weighs by its spelling (exact or not), by how sure the term is and by a window of WINDOW words before it: reported
 or quoted speech (a quotation mark still open, a word of saying or naming just before) lowers it,
@@ -34,9 +34,7 @@ from pyspark.sql import functions as F
 from granula.llm.common import durable
 
 SAMPLE = 20_000
-MAX_TERMS = 500
 MIN_DOCS, MIN_PRECISION = 5, 0.5
-MAX_CLEAN_NEAR, MAX_EXCEPTIONS = 2, 20_000
 WINDOW = 6
 EXACT, NEAR = 1.4, 0.9
 QUOTED, ADDRESSED = 0.35, 1.5
@@ -218,23 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, sample: int = SAMPL
     words = durable(rows.mapInArrow(_distinct, "toxic int, word string, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b")))
     p, n_ = F.col("a") / (F.col("a") + F.col("b")), F.col("a") + F.col("b")
     low = (p + 1.92 / n_ - 1.96 * F.sqrt(p * (1 - p) / n_ + 0.96 / (n_ * n_))) / (1 + 3.84 / n_)
-    terms = words.where((F.col("a") >= MIN_DOCS) & (low > MIN_PRECISION)).select("word", "a", low.alias("low")).orderBy(F.desc("a"), "word").limit(MAX_TERMS).collect()
+    terms = words.where((F.col("a") >= MIN_DOCS) & (low > MIN_PRECISION)).select("word", "a", low.alias("low")).orderBy(F.desc("a"), "word").collect()
     sure = tuple(r.low for r in terms)
     terms = tuple(r.word for r in terms)
-    allowed = [edits(x) for x in terms]
 
     def near(batches):
         m = Matcher(list(terms))
         for batch in batches:
             got = [m.match(w) for w in batch.column(0).to_pylist()]
-            hit = pa.array([g is not None and g[1] > 0 for g in got], pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(hit), pa.array([g[0] for g in got if g and g[1]], pa.int32())], ["word", "term"])
-
-    exceptions = words.where("b >= a").select("word").mapInArrow(near, "word string, term int").orderBy("word").limit(MAX_EXCEPTIONS).collect()
-    for i in {r.term for r in exceptions}:
-        if sum(r.term == i for r in exceptions) >= MAX_CLEAN_NEAR:
-            allowed[i] = 0
-    model = Model(terms, tuple(allowed), sure, frozenset(r.word for r in exceptions))
+            yield batch.filter(pa.array([g is not None and g[1] > 0 for g in got], pa.bool_()))
+
+    exceptions = words.where("b >= a").select("word").mapInArrow(near, "word string").collect()
+    model = Model(terms, tuple(map(edits, terms)), sure, frozenset(r.word for r in exceptions))
 
     def clean(batches):
         s = _scorer(model)

@@ -169,6 +169,23 @@ def test_toxicity(spark, empty):
     assert toxicity.judge(empty, labels).count() == 0 and toxicity.judge(d, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_all_terms_and_their_misspellings(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    many = ["".join(x) for x in itertools.product("bcdfghjklm", "aeiou", "npqrstvwxz")] + ["zz" + "".join(x) for x in itertools.product("abcde", repeat=2)]
+    clean = [f"an idiom and a {w} about the river" for w in ("idioc", "idiol", "idios")] * 10
+    bad = ["what an idiot " + " ".join(many)] * 10
+    d = spark.createDataFrame(list(enumerate(clean + bad + ["such an idiiot", "such an idiom"])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, F.lit(True))
+    assert set(model.terms) >= {*many, "idiot"} and len(many) > 500
+    assert model.exceptions >= {"idiom", "idioc", "idiol", "idios"}
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    assert got[40] > model.base == got[41] == got[0]  # few documents, so a low weight, but a hit
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
