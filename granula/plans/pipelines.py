@@ -1,10 +1,11 @@
 """Whole clustering pipelines: scale, granulate, attributes, centres, labels, points.
 
-Granulation is distributed. A granule of over LOCAL_MAX points is split level by level: end points
+Granulation is distributed for the split `ellipsoid` without a gate; with another split or a gate the
+whole table, or a grid seed, is split in one task. A granule of over LOCAL_MAX points is split level by level: end points
 and first assignment are aggregates over arrays, shapes come from salted partial moments, and the
 Mahalanobis assignment joins points with their children's shapes in salted groups. Smaller granules
-finish their subtree in one grouped Arrow task each; splits are independent, so both give the same
-leaves. Then the granules, about the root of the points, go through the order-dependent folds in one
+finish their subtree in one grouped Arrow task each; splits are independent and both use the
+configured shape and smallest leaf, so both give the same leaves up to rounding. Then the granules, about the root of the points, go through the order-dependent folds in one
 task, if there are at most MAX_GRANULES.
 """
 
@@ -141,7 +142,7 @@ def split_level(points: DataFrame, cfg: Config) -> DataFrame:
     sums = _salted(first).groupBy("g", "child", "salt").applyInPandas(_partial, "g string, child int, n double, v array<double>")
     total = sums.select("g", "child", "n", F.posexplode("v").alias("p", "v")).groupBy("g", "child", "p").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     kids = total.groupBy("g", "child").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda t: t["v"]).alias("v"))
-    salted = durable(_salted(first))
+    salted, least = durable(_salted(first)), max(1, cfg.min_leaf)
     spread = kids.join(salted.groupBy("g").agg(F.max("salts").alias("salts")), "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def assign(pdf: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
@@ -149,19 +150,18 @@ def split_level(points: DataFrame, cfg: Config) -> DataFrame:
             return pd.DataFrame({"point_id": [], "features": [], "g": [], "child": []})
         x = np.stack(pdf["features"])
         child = np.full(len(x), -1)
-        if len(shape) == 2:
+        if len(shape) == 2 and shape["n"].min() >= least:
             m2 = []
             for _, row in shape.sort_values("child").iterrows():
                 d, v, n = x.shape[1], np.asarray(row["v"]), row["n"]
                 c = v[:d] / n
-                h = v[d:].reshape(d, d) / n - np.outer(c, c) + shapes.EPS * np.eye(d)
-                z = np.linalg.solve(shapes.cholesky(h), (x - c).T)
-                m2.append((z * z).sum(axis=0))
+                m2.append(shapes.Shape.of_moments(int(n), c, v[d:].reshape(d, d) / n - np.outer(c, c), cfg.shape).squared(x))
             child = (m2[0] >= m2[1]).astype(int)
         return pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": pdf["g"], "child": child})
 
     out = durable(salted.groupBy("g", "salt").cogroup(spread.groupBy("g", "salt")).applyInPandas(assign, "point_id long, features array<double>, g string, child int"))
-    both = out.where("child >= 0").groupBy("g").agg(F.countDistinct("child").alias("c")).where("c = 2").select("g")
+    sizes = out.where("child >= 0").groupBy("g").agg(F.count_if(F.col("child") == 0).alias("n0"), F.count_if(F.col("child") == 1).alias("n1"))
+    both = sizes.where(F.least("n0", "n1") >= least).select("g")
     return out.join(F.broadcast(both.withColumn("ok", F.lit(True))), "g", "left").withColumn("child", F.when(F.col("ok"), F.col("child"))).drop("ok")
 
 

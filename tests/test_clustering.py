@@ -73,6 +73,19 @@ def test_distributed_levels_give_the_same_leaves(points):
     assert parts[0] == parts[1]
 
 
+@pytest.mark.parametrize(("name", "least"), [("lowrank_dpc", 1), ("autorank_dpc", 1), ("adaptive_shape_dpc", 2), ("adaptive_shape_dpc", 30), ("pinv_dpc", 1), ("ellipsoid_dpc", 1)])
+def test_distributed_levels_use_the_configured_shape(spark, name, least):
+    from dataclasses import replace
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 24)) * np.linspace(0.2, 3, 24) + 4 * r.integers(0, 2, (300, 1))
+    p = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "point_id long, features array<double>")
+    cfg = replace(pipelines.CONFIGS[name], rounds=0, min_leaf=least)
+    parts = [{q.point_id: q.g for q in pipelines.granulate(p, cfg, most)[0].collect()} for most in (10_000, 60)]
+    assert parts[0] == parts[1]
+    assert len(set(parts[0].values())) > 2
+
+
 def test_natural_neighbours_closed_form_equals_rounds():
     r = np.random.default_rng(3)
     for _ in range(20):
