@@ -32,7 +32,7 @@ class Config:
     """One pipeline; the fields name the alternatives of each stage."""
 
     k: int = 10
-    dims: int = 8
+    dims: int | None = None  # only the first components, if a caller asks for them
     scaler: str = "standard"
     shape: str = "full"
     split: str = "ellipsoid"
@@ -299,7 +299,8 @@ def _fold(cfg: Config):
 
 def run(points: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     """The tables of one run on points (point_id, features): granules, labels, assignments."""
-    points = points.select("point_id", F.slice(F.col("features"), 1, cfg.dims).alias("features"))
+    features = F.col("features") if cfg.dims is None else F.slice("features", 1, cfg.dims)
+    points = points.select("point_id", features.alias("features"))
     members, stats = granulate(durable(_scaled(points, cfg.scaler)), cfg)
     if (m := stats.count()) > MAX_GRANULES:
         raise ValueError(f"{m} granules: raise split_factor so that there are at most {MAX_GRANULES}")

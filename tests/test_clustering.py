@@ -62,6 +62,18 @@ def test_pipelines_label_every_point(points, name):
     assert out["granules"].agg(F.sum("n")).first()[0] == 180
 
 
+def test_pipelines_use_all_components(spark):
+    from dataclasses import replace
+
+    r = np.random.default_rng(9)  # the groups differ in the last of 12 components alone
+    x = np.concatenate([r.normal(size=(80, 11)) * 0.1, np.repeat([0.0, 50.0], 40)[:, None]], axis=1)
+    p = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "point_id long, features array<double>")
+    out = pipelines.run(p, replace(pipelines.CONFIGS["adaptive_dpc"], k=2, scaler="none"))
+    assert {len(q.centre) for q in out["granules"].collect()} == {12}
+    label = {q.point_id: q.label for q in out["assignments"].collect()}
+    assert len({label[i] for i in range(40)} & {label[i] for i in range(40, 80)}) == 0
+
+
 def test_distributed_levels_give_the_same_leaves(points):
     from dataclasses import replace
 
