@@ -1,4 +1,4 @@
-"""Order-dependent steps on the granules of one data set, as NumPy folds.
+"""Order-dependent steps on the granules of one data set, as NumPy folds.
 
 They run in one task over granules, about the root of the points; `plans.pipelines` checks the number.
 """

@@ -1,4 +1,4 @@
-"""Labels of granules and points: propagation, votes, gates, refinement."""
+"""Labels of granules and points: propagation, votes, gates, refinement (L1-L20, J8-J9; of L20 one round)."""
 
 from __future__ import annotations
 

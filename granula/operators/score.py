@@ -1,4 +1,4 @@
-"""Internal scores, external metrics, paired tests."""
+"""Internal scores, external metrics, paired tests."""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
-"""Whole clustering pipelines: scale, granulate, attributes, centres, labels, points.
+"""Whole clustering pipelines: scale, granulate, attributes, centres, labels, points (O1, O3, O4, O6,
+O7; of O5 the remove-one variants of ABLATIONS).
 
 Granulation is distributed for the split `ellipsoid` without a gate; with another split or a gate the
 whole table, or a grid seed, is split in one task. A granule of over LOCAL_MAX points is split level by level: end points
