@@ -11,6 +11,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Folders of the open `scratch` blocks, innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `durable` wrote inside: for work whose result is written by then."""
+    path = f"{shared_dir(spark)}/granula/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder where Spark sees it, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, executors may go."""
-    path = f"{shared_dir(df.sparkSession)}/granula/{uuid.uuid4().hex}"
+    folder = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(df.sparkSession)}/granula"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -217,6 +241,36 @@ def only_bits(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.Rec
             yield batch.filter(pa.array(hit.astype(bool)))
 
 
+#: Bits of the largest id filter of `by_ids`: 4 MB.
+FILTER_BITS = 1 << 25
+
+
+def by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs' rows as (doc_id, row), row being all of docs' columns, in two tables: those whose doc_id
+    is surely not among ids, and the others. A row without doc_id is in neither.
+
+    So a few ids can be looked up without a shuffle of all texts. The ids are broadcast as a Bloom
+    filter of FILTER_BITS bits at most; with very many ids only more rows are in the second table.
+    """
+    ids = durable(ids.select(F.col("doc_id").cast("long")).distinct())
+    bits = min(FILTER_BITS, pow2(16 * max(4096, ids.count())))
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(bits))
+    words = ids.select(bit("doc_id").alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v"))
+    all_ = docs.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    one = durable(all_.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0)).alias("v")))), lambda x: x["v"]).alias("words")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).where("doc_id is not null")
+    rows = rows.withColumn("b", bit("doc_id")).crossJoin(F.broadcast(one))
+    hit = F.expr("(shiftright(words[cast(b div 64 as int)], cast(b % 64 as int)) & 1) = 1")
+    return rows.where(~hit).select("doc_id", "row"), rows.where(hit).select("doc_id", "row")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (doc_id) or null."""
+    ids = durable(ids.select(F.col("doc_id").cast("long")).distinct())
+    safe, other = by_ids(docs, ids)
+    return safe.select("row.*").union(other.join(ids, "doc_id", "left_anti").select("row.*"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is its component's smallest node.
 
