@@ -11,7 +11,8 @@ group on their own. Copies are folded before anything is shuffled by digest, so
 third of all rows share is one row from each task.
 
 Defined cases: null counts as empty, and all empty texts are one group; of identical rows each gets
-the same result; a row without doc_id is ignored; empty tables (history, batch or both) work.
+the same result, and `keep_one` keeps one of them; a row without doc_id is ignored; empty tables
+(history, batch or both) work; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, WS, durable, mix, partitions
+from granula.llm.common import U64, WS, by_ids, durable, mix, partitions
 
 #: Bits per digest still without a slot, at each level.
 GAMMA = 2
 _SPACE = rf"[{WS}]+"
 
 
+def digest(text: F.Column) -> F.Column:
+    """SHA-256 of the normalised text, in hex."""
+    return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _SPACE, ""), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars (code points of the original), sha (of the normalised text, hex)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long"), F.length(text).cast("long").alias("n_chars"), F.sha2(F.regexp_replace(text, _SPACE, ""), 256).alias("sha")
-    )
+    """doc_id, n_chars (code points of the original), sha."""
+    n = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), n.cast("long").alias("n_chars"), digest(F.col("text")).alias("sha"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -78,7 +82,17 @@ class PerfectHash:
         return out
 
 
-_SIDE = pa.schema([("n_chars", pa.int64()), ("doc_id", pa.int64()), ("rows", pa.int64()), ("sha", pa.string())])
+_SIDE = {"n_chars": pa.int64(), "doc_id": pa.int64(), "rows": pa.int64(), "sha": pa.string()}
+
+
+def _side(table: pa.Table, prefix: str = "") -> pa.Table:
+    """One side of a shard; Spark may send no columns for a side without rows."""
+    if not table.num_rows:
+        return pa.schema(list(_SIDE.items())).empty_table()
+    lost = [c for c in _SIDE if prefix + c not in table.column_names]
+    if lost:
+        raise ValueError(f"rows without {lost} reached a shard")
+    return table.select([prefix + c for c in _SIDE]).rename_columns(list(_SIDE))
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -87,8 +101,7 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 
 def _look_up(history: pa.Table, batch: pa.Table) -> pa.Table:
     """Winner and rows of each digest of a shard, from the history's slots and the new digests."""
-    # Spark sends no columns for a missing side.
-    history, batch = (t if "sha" in t.column_names else _SIDE.empty_table() for t in (history, batch))
+    history, batch = _side(history), _side(batch, "new_")
     old, new = _words(history.column("sha")), _words(batch.column("sha"))
     index = PerfectHash(old)
     slot = index.slots(old)
@@ -121,6 +134,8 @@ def groups(history: DataFrame, batch: DataFrame) -> DataFrame:
     n = partitions(history)
     shard = F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") % n
     one, two = (winners(x).withColumn("shard", shard) for x in (history, batch))
+    # Both may come from one table: under names of their own the batch's columns are never taken for the history's.
+    two = two.select("shard", *(F.col(c).alias(f"new_{c}") for c in _SIDE))
     return one.groupBy("shard").cogroup(two.groupBy("shard")).applyInArrow(_look_up, "sha string, keep_id long, group_size long")
 
 
@@ -141,6 +156,11 @@ def history_half() -> F.Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with docs' columns; of identical rows one."""
-    gone = dedup(docs, history_half()).where("not kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of equal texts, with docs' columns; of identical rows one. Only
+    rows of a doc_id that loses rows, or may, are shuffled. A row without doc_id goes."""
+    found = durable(dedup(docs, history_half()).groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("rows")))
+    safe, other = by_ids(docs, found.where("not kept or rows > 1").select("doc_id"))
+    # Rows that are equal but for other columns fold first, so a row that comes very often is no hot spot.
+    other = other.select("doc_id", digest(F.col("row.text")).alias("text_sha256"), "row").groupBy("doc_id", "text_sha256").agg(F.first("row").alias("row"))
+    stay = other.join(found.where("not kept"), ["doc_id", "text_sha256"], "left_anti")
+    return safe.select("row.*").union(stay.select("row.*"))
