@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, chunks, components, durable, id_bits, mix, only_bits, partitions, pow2, range_hash, texts, with_bit
+from granula.llm.common import U64, chunks, components, durable, id_bits, mix, only_bits, partitions, pow2, range_hash, texts, with_bit, without_ids
 
 N = 5
 SLOTS, BLOCKS = 1 << 20, 64
@@ -322,7 +322,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; docs' columns."""
+    """The documents without those that have a smaller doc_id in their component; docs' columns.
+    Rows of one doc_id stay or go together; a row without doc_id goes."""
     found, _ = jaccard_join(docs)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, found.where("component_id != doc_id").select("doc_id"))

@@ -160,6 +160,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is found with at least this score; docs' columns."""
-    gone = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents whose language is found with at least this score; docs' columns. Rows are judged
+    one by one where they are read, without a shuffle; a row without doc_id goes."""
+    langs, weights = fit(docs, ~held_out())
+    shared, names = docs.sparkSession.sparkContext.broadcast(weights), [c.lower() for c in docs.columns]
+    at, text = names.index("doc_id"), names.index("text")
+    judge = _score(langs, shared)
+
+    def run(batches):
+        for batch in batches:
+            pair = pa.record_batch([batch.column(at), batch.column(text).cast(pa.string())], ["doc_id", "text"])
+            for found in judge([pair]):
+                ok = np.array([x != "und" for x in found.column(1).to_pylist()], bool) & (found.column(2).to_numpy() >= least)
+                yield batch.filter(pa.array(ok))
+
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)

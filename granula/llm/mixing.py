@@ -63,17 +63,27 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "n", share.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def sort_key(doc_id: F.Column, w: F.Column) -> F.Column:
+    """Efraimidis-Spirakis: an exponential number, smaller for heavier documents."""
+    return -F.log(uniform(doc_id)) / w
+
+
+def key_range(key: F.Column, ranges: F.Column) -> F.Column:
+    return F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-key * 0.8))))
+
+
+def _place(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(per source, rows in ranges that go in or stay out whole, rows of the ranges in which the
+    budgets end with `in`, last documents)."""
     rows = durable(
         docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("w"))
     )
     per = targets(rows)
     per = per.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"))
     per = durable(per.select("*", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).alias("ranges")))
-    key = -F.log(uniform(F.col("doc_id"))) / F.col("w")
+    key = sort_key(F.col("doc_id"), F.col("w"))
     keyed = rows.join(per, rows["source"].eqNullSafe(per["source"])).select(
-        "doc_id", rows["source"], "size", "source_size", "target", "epochs", "budget", key.alias("key"), F.least(F.col("ranges") - 1, F.floor(F.col("ranges") * (1 - F.exp(-key * 0.8)))).alias("r")
+        "doc_id", rows["source"], "size", "source_size", "target", "epochs", "budget", key.alias("key"), key_range(key, F.col("ranges")).alias("r")
     )
     keyed = durable(keyed)
     source = Window.partitionBy("source")
@@ -95,18 +105,39 @@ def mix(docs: DataFrame) -> DataFrame:
         .where("best.off < best.gap")
         .select(F.col("source").alias("ls"), F.col("best.doc_id").alias("last"))
     )
-    chosen = placed.where("whole is not null").select(*(c for c in keyed.columns if c != "r"), F.col("whole").alias("sel")).union(
-        cut.select(*(c for c in keyed.columns if c != "r"), F.col("in").cast("int").alias("sel"))
-    )
+    return per, placed.where("whole is not null"), cut, last
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    _, whole, cut, last = _place(docs)
+    cols = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    chosen = whole.select(*cols, F.col("whole").alias("sel")).union(cut.select(*cols, F.col("in").cast("int").alias("sel")))
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("doc_id") == F.col("last"), 1).otherwise(F.col("sel")))
     return chosen.join(F.broadcast(last), chosen["source"].eqNullSafe(last["ls"]), "left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def materialise(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken; rows without words stay once, for
-    they cost no budget and only selection may drop documents with words."""
-    times = mix(docs).select("doc_id", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("_times")).where("_times > 0").distinct()
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    they cost no budget and only selection may drop documents with words.
+
+    A source's selection is one point in its order: a row is placed where it is read, by its key, and
+    texts are not shuffled. Repeated rows at that point go in together. A row without doc_id goes.
+    """
+    per, whole, cut, last = _place(docs)
+    top = whole.where("whole = 1").groupBy(F.col("source").alias("ts")).agg(F.max("r").alias("top"))
+    end = cut.groupBy(F.col("source").alias("es")).agg(F.max("r").alias("end"), F.max(F.when(F.col("in"), F.struct("key", "doc_id"))).alias("point"))
+    plan = per.select("source", "epochs", "ranges")
+    for other, key in ((top, "ts"), (end, "es"), (last, "ls")):
+        plan = plan.join(other, plan["source"].eqNullSafe(other[key]), "left").drop(key)
+    plan = durable(plan)  # its size decides whether it is broadcast
+    rows = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row.text")
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("own"), sort_key(F.col("row.doc_id").cast("long"), quality_weight(text)).alias("key"))
+    rows = rows.join(plan, rows["own"].eqNullSafe(plan["source"])).withColumn("r", key_range(F.col("key"), F.col("ranges")))
+    inside = (F.col("r") <= F.col("top")) | ((F.col("r") == F.col("end")) & (F.struct("key", "doc_id") <= F.col("point"))) | (F.col("doc_id") == F.col("last"))
+    times = F.when(text.cast("string").rlike(rf"[^{WS}]"), F.col("epochs").cast("int") + F.coalesce(inside, F.lit(False)).cast("int")).otherwise(1)
+    return rows.withColumn("times", times).where("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = rf"""
