@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of docs. A document stays as it is until the mix, where it appears as often as it is taken; the
 last stage returns one row of token digests for each row of the mix.
+
+Defined cases: a row without doc_id is no document and goes at the first stage; null, empty and
+letterless texts go there too, for no language is found in them; identical rows become one in exact
+dedup; any number of other columns, of whatever names, pass through to the mix; an empty table gives
+an empty result. What the stages write for themselves is deleted when a stage's output is written.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from granula.llm import bpe, exact, jaccard, langid, mixing
-from granula.llm.common import shared_dir
+from granula.llm.common import delete, scratch, shared_dir
 from granula.llm.queries import tokenizer_path
 
 
@@ -50,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{folder}/{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
