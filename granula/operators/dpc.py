@@ -7,6 +7,8 @@ one side is broadcast only up to BROADCAST_ROWS granules, otherwise blocks of gr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ BROADCAST_ROWS = 100_000
 BLOCKS = 64
 
 
-def _two_sides(g: DataFrame, cols: list[str], condition: str = "g < h") -> DataFrame:
+def two_sides(g: DataFrame, cols: list[str], condition: str = "g < h") -> DataFrame:
+    """Pairs of granules with the columns cols, the second one's as <col>_h (its g as h)."""
     right = g.select(*(F.col(c).alias({"g": "h"}.get(c, f"{c}_h")) for c in cols))
     left = g.select(*cols)
     if g.count() <= BROADCAST_ROWS:
@@ -32,17 +35,17 @@ def mirror(half: DataFrame) -> DataFrame:
 
 def mahalanobis_pairs(g: DataFrame) -> DataFrame:
     """Distance in the mean of both shapes."""
-    both = _two_sides(g, ["g", "cx", "cy", "a", "b", "c"]).selectExpr("g", "h", "cx - cx_h as dx", "cy - cy_h as dy", "(a + a_h) / 2 as a", "(b + b_h) / 2 as b", "(c + c_h) / 2 as c")
+    both = two_sides(g, ["g", "cx", "cy", "a", "b", "c"]).selectExpr("g", "h", "cx - cx_h as dx", "cy - cy_h as dy", "(a + a_h) / 2 as a", "(b + b_h) / 2 as b", "(c + c_h) / 2 as c")
     return mirror(both.selectExpr("g", "h", "sqrt(greatest((c * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * c - b * b), 0)) as d"))
 
 
 def euclid_pairs(g: DataFrame) -> DataFrame:
-    return mirror(_two_sides(g, ["g", "cx", "cy"]).selectExpr("g", "h", "sqrt((cx - cx_h) * (cx - cx_h) + (cy - cy_h) * (cy - cy_h)) as d"))
+    return mirror(two_sides(g, ["g", "cx", "cy"]).selectExpr("g", "h", "sqrt((cx - cx_h) * (cx - cx_h) + (cy - cy_h) * (cy - cy_h)) as d"))
 
 
 def pruned_pairs(g: DataFrame, margin: float = 3.0) -> DataFrame:
     """(g, h, pruned, d): far pairs (over margin times the outer radii) get the plain distance."""
-    both = _two_sides(g.withColumn("outer", F.greatest("l1", "l2")), ["g", "cx", "cy", "a", "b", "c", "outer"])
+    both = two_sides(g.withColumn("outer", F.greatest("l1", "l2")), ["g", "cx", "cy", "a", "b", "c", "outer"])
     both = both.selectExpr("g", "h", "cx - cx_h as dx", "cy - cy_h as dy", "(a + a_h) / 2 as a", "(b + b_h) / 2 as b", "(c + c_h) / 2 as c", "outer + outer_h as reach")
     far = f"sqrt(dx * dx + dy * dy) > {margin} * reach"
     return both.selectExpr("g", "h", f"{far} as pruned", f"case when {far} then sqrt(dx * dx + dy * dy) else sqrt(greatest((c * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * c - b * b), 0)) end as d")
@@ -63,18 +66,22 @@ def attributes(g: DataFrame, pairs: DataFrame, mode: str = "strict") -> DataFram
     """g, rho, delta, parent, gamma.
 
     strict: nearest granule of higher density; the densest takes the largest delta, a tied maximum
-    0. row: without a denser one, the largest distance of its row. ordered: nearest of all that come
+    0. row: without a denser one, the largest distance of its row; row_positive: the same, of positive
+    ones. max_or_row: strict, but the densest takes its row's largest if no delta is over 0. ordered: nearest of all that come
     earlier by (density, g); ball: likewise, parent 0 for the first, and all deltas times 10 if none
     reaches 1. patched: strict, else the predecessor in the order.
     """
     c = _candidates(g, pairs)
-    ahead = F.col("rho_j") > F.col("rho") if mode in ("strict", "row", "patched") else F.col("pos_j") < F.col("pos")
+    ahead = F.col("rho_j") > F.col("rho") if mode not in ("ordered", "ball") else F.col("pos_j") < F.col("pos")
     tie = "pos_j" if mode in ("ordered", "ball") else "j"
-    per = c.groupBy(F.col("i").alias("g")).agg(F.min(F.when(ahead, F.struct("d", F.col(tie).alias("t"), "j"))).alias("best"), F.max("d").alias("row_max"))
+    per = c.groupBy(F.col("i").alias("g")).agg(F.min(F.when(ahead, F.struct("d", F.col(tie).alias("t"), "j"))).alias("best"), F.max(F.when(F.col("d") > 0, F.col("d")) if mode == "row_positive" else F.col("d")).alias("row_max"))
     per = with_order(g).join(per, "g", "left").select("g", "rho", "pos", F.col("best.d").alias("d"), F.col("best.j").alias("parent"), "row_max")
     all_ = Window.partitionBy()
     if mode == "strict":
         delta = F.coalesce("d", F.when(F.col("pos") == 1, F.max("d").over(all_)).otherwise(0.0))
+    elif mode == "max_or_row":
+        top = F.max("d").over(all_)
+        delta = F.coalesce("d", F.when(F.col("pos") == 1, F.when(top > 0, top).otherwise(F.col("row_max"))).otherwise(0.0))
     elif mode == "patched":
         before = Window.orderBy("pos")
         step = c.where("pos_j = pos - 1").select(F.col("i").alias("g"), F.col("d").alias("step"))
@@ -140,20 +147,74 @@ def separation(pairs: DataFrame, factor: float = 0.20) -> DataFrame:
     return pairs.where("d > 0 and i < j").agg(F.greatest(F.percentile("d", F.lit(0.25)), factor * F.median("d"), F.lit(1e-12)).alias("min_sep"))
 
 
-def separated(dpc: DataFrame, pairs: DataFrame, k: int, factor: float = 0.20) -> DataFrame:
+def greedy(order: DataFrame, conflicts: DataFrame, most: int) -> list[int]:
+    """The first `most` granules, in the order of pick (g, pick), that conflict (g, h) with none chosen
+    before. One job for each choice: a join of the conflicts of those chosen and a minimum."""
+    chosen: list[int] = []
+    last = 0
+    for _ in range(most):
+        left = order.where(F.col("pick") > last)
+        if chosen:
+            left = left.join(conflicts.where(F.col("g").isin(chosen)).select(F.col("h").alias("g")).distinct(), "g", "left_anti")
+        nxt = left.agg(F.min(F.struct("pick", "g")).alias("s")).first().s
+        if nxt is None:
+            break
+        chosen.append(nxt.g)
+        last = nxt.pick
+    return chosen
+
+
+def _chosen(order: DataFrame, conflicts: DataFrame, k: int, least: int | None = None) -> DataFrame:
+    """g, label of the greedy choice, refilled by pick up to `least` (or k)."""
+    order, conflicts = durable(order), durable(conflicts)
+    first = greedy(order, conflicts, k)
+    late = (~F.col("g").isin(first)).cast("int") if first else F.lit(1)
+    r = order.select("g", "pick", late.alias("late")).withColumn("r", F.row_number().over(Window.orderBy("late", "pick")))
+    most = max(len(first), min(k, least if least is not None else k))
+    return r.where(F.col("r") <= most).select("g", (F.col("r") - 1).alias("label"))
+
+
+def _within(pairs: DataFrame, limit: DataFrame, condition: str = "d < min_sep") -> DataFrame:
+    return pairs.crossJoin(F.broadcast(limit)).where(condition).select(F.col("i").alias("g"), F.col("j").alias("h"))
+
+
+def separated(dpc: DataFrame, pairs: DataFrame, k: int, factor: float = 0.20, by: str = "gamma") -> DataFrame:
     """Greedy: in the order of gamma, accept what keeps the least distance to all accepted; then
-    refill by gamma. A fold over at most k accepted: each step is one join and one aggregate."""
-    order = durable(_ranked(dpc).select("g", "pick"))
-    sep = durable(separation(pairs, factor))
-    left, chosen = order, None
-    for _ in range(k):
-        nxt = durable(left.agg(F.min(F.struct("pick", "g")).alias("s")).select("s.g", "s.pick").where("g is not null"))
-        chosen = nxt if chosen is None else chosen.union(nxt)
-        near = pairs.join(F.broadcast(nxt.select(F.col("g").alias("i"))), "i").crossJoin(F.broadcast(sep)).where("d < min_sep").select(F.col("j").alias("g"))
-        left = durable(left.join(near, "g", "left_anti").join(nxt.select("g"), "g", "left_anti"))
-    pad = order.join(chosen.select("g"), "g", "left_anti").withColumn("late", F.lit(1))
-    both = chosen.withColumn("late", F.lit(0)).select("g", "pick", "late").union(pad.select("g", "pick", "late"))
-    return both.withColumn("r", F.row_number().over(Window.orderBy("late", "pick"))).where(F.col("r") <= k).select("g", (F.col("r") - 1).alias("label"))
+    refill by gamma."""
+    return _chosen(_ranked(dpc, by).select("g", "pick"), _within(pairs, separation(pairs, factor)), k)
+
+
+def pool(dpc: DataFrame, pairs: DataFrame, least: int = 2, factor: float = 0.25) -> DataFrame:
+    """Automatic number: of the first max(3k, 3 least, root of the granules) by gamma, k where gamma
+    drops most, those that keep the least distance; at least `least`."""
+    m = dpc.count()
+    top = dpc.agg(F.max("gamma").alias("hi"), F.min("gamma").alias("lo"))
+    unit = dpc.crossJoin(F.broadcast(top)).withColumn("u", F.expr("if(hi - lo <= 1e-12, 0, (gamma - lo) / (hi - lo))"))
+    r = _ranked(unit).withColumn("next", F.lead("u").over(Window.orderBy("pick"))).where("next is not null").where(F.col("pick") <= max(math.ceil(math.sqrt(m)) + least, least))
+    drop = r.agg(F.max(F.struct(F.round(F.expr("(u - next) / greatest(u, 1e-12)"), 12).alias("drop"), (-F.col("pick")).alias("n"))).alias("b")).first().b
+    k = max(least, -drop.n) if drop else least
+    size = min(m, max(3 * k, 3 * least, math.ceil(math.sqrt(m))))
+    return _chosen(_ranked(dpc).select("g", "pick").where(F.col("pick") <= size), _within(pairs, separation(pairs, factor)), size, least)
+
+
+def basin_separated(dpc: DataFrame, pairs: DataFrame, edges: DataFrame, k: int, factor: float = 0.20) -> DataFrame:
+    """As separated, but too near counts only between natural neighbours (either way)."""
+    near = edges.select(F.col("i").alias("g"), F.col("j").alias("h"))
+    near = near.union(near.select("h", "g")).distinct()
+    return _chosen(_ranked(dpc).select("g", "pick"), _within(pairs, separation(pairs, factor)).join(near, ["g", "h"], "left_semi"), k)
+
+
+def locally_separated(dpc: DataFrame, pairs: DataFrame, scales: DataFrame, k: int, factor: float = 0.8) -> DataFrame:
+    """As separated, but the least distance is factor times the mean of both local scales (g, scale)."""
+    s = scales.select("g", "scale")
+    near = pairs.join(s.toDF("i", "si"), "i").join(s.toDF("j", "sj"), "j").where(f"d < {factor} * 0.5 * (si + sj)").select(F.col("i").alias("g"), F.col("j").alias("h"))
+    return _chosen(_ranked(dpc).select("g", "pick"), near, k)
+
+
+def not_redundant(dpc: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Of the first k by gamma those farther than the median positive delta from all kept before."""
+    tau = dpc.where("delta > 0").agg(F.coalesce(F.median("delta"), F.lit(0.0)).alias("tau"))
+    return _chosen(_ranked(dpc).select("g", "pick").where(F.col("pick") <= k), _within(pairs, tau, "d <= tau"), k, 1)
 
 
 def relative_drop(dpc: DataFrame, least: int = 2) -> DataFrame:

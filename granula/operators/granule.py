@@ -6,7 +6,7 @@ granula.functions.shapes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS, TINY = 1e-6, 1e-12
@@ -90,6 +90,6 @@ def balls(points: DataFrame) -> DataFrame:
     density by size and by n / (r^2 * mr), quality coverage * exp(-r / 2)."""
     c = points.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     d = points.join(c, "g").withColumn("d", F.expr("sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))"))
-    d = d.withColumn("r", F.max("d").over(Window.partitionBy("g")))
-    out = d.groupBy("g", "n", "cx", "cy").agg(F.max("d").alias("r"), F.avg("d").alias("dm"), F.avg(F.expr("(abs(x - cx) + abs(y - cy)) / 2")).alias("mr"), F.count_if(F.col("d") <= F.col("r")).alias("covered"))
-    return out.withColumn("density", F.expr("case when r = 0 then 0 else n / (r * r * mr) end")).withColumn("quality", F.expr("covered * exp(-0.5 * r)"))
+    out = d.groupBy("g", "n", "cx", "cy").agg(F.max("d").alias("r"), F.avg("d").alias("dm"), F.avg(F.expr("(abs(x - cx) + abs(y - cy)) / 2")).alias("mr"))
+    # No point is farther than the largest distance, so the ball covers all n.
+    return out.withColumn("density", F.expr("case when r = 0 then 0 else n / (r * r * mr) end")).withColumn("quality", F.expr("n * exp(-0.5 * r)"))

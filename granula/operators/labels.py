@@ -96,12 +96,55 @@ def merge_light(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, quantile: f
 
 
 def to_points(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, label; raises nothing: a point of a granule without label gets null, see unlabelled."""
-    return points.select("id", "g").join(labels, "g", "left").select("id", "label")
+    """id, label; raises for a point whose granule has no label."""
+    lost = F.raise_error(F.concat(F.lit("no label for point "), F.col("id").cast("string"))).cast("int")
+    return points.select("id", "g").join(labels, "g", "left").select("id", F.coalesce("label", lost).alias("label"))
 
 
 def centroid_round(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """One Lloyd round on points (id, x, y) with labels (id, label); ties to the smaller label."""
+    """One Lloyd round on points (id, x, y) with labels (id, label); ties to the smaller label. The
+    centroids, one for each label, reach the points as one array: no point is shuffled for them."""
     c = points.join(labels, "id").groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    d = F.expr("(x - mx) * (x - mx) + (y - my) * (y - my)")
-    return points.crossJoin(F.broadcast(c)).groupBy("id").agg(F.min(F.struct(d.alias("d"), "label")).getField("label").alias("label"))
+    one = c.agg(F.collect_list(F.struct("mx", "my", "label")).alias("cs"))
+    near = F.expr("array_min(transform(cs, c -> struct((x - c.mx) * (x - c.mx) + (y - c.my) * (y - c.my) as d, c.label as label))).label")
+    return points.crossJoin(F.broadcast(one)).select("id", near.alias("label"))
+
+
+def centroid_refine(points: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFrame:
+    """Lloyd rounds on points (id, x, y); a round that empties a cluster or changes nothing is the last
+    and does not count."""
+    now = durable(labels.select("id", "label"))
+    k = now.select("label").distinct().count()
+    for _ in range(rounds if k > 1 else 0):
+        new = durable(centroid_round(points, now))
+        moved = new.join(now.withColumnRenamed("label", "old"), "id").where("label != old").limit(1).count()
+        if not moved or new.select("label").distinct().count() < k:
+            break
+        now = new
+    return now
+
+
+def wants_refinement(labels: DataFrame, k: int) -> DataFrame:
+    """One row: the points' clusters are out of balance (limits .85/.05 up to two clusters, else .70/.03)."""
+    high, low = (0.85, 0.05) if k <= 2 else (0.70, 0.03)
+    return ratios(labels).selectExpr("largest", "smallest", f"largest > {high} or smallest < {low} as refine")
+
+
+def keep_refined(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: new labels stay if there are as many clusters and neither ratio is worse."""
+    a, b = ratios(old).toDF("l0", "s0", "c0"), ratios(new).toDF("l1", "s1", "c1")
+    return a.crossJoin(b).selectExpr("l0", "l1", "s0", "s1", "c0 = c1 and l1 <= l0 and s1 >= s0 as keep")
+
+
+def safe_for_k(old: DataFrame, new: DataFrame, k: int, most: float = 0.35) -> DataFrame:
+    """`safe` for a known number of clusters: k of them, none over .92 or under .01 (from three
+    clusters on .65 and .025)."""
+    high, low = (0.92, 0.01) if k <= 2 else (0.65, 0.025)
+    both = ratios(new).crossJoin(changed(old, new))
+    return both.selectExpr("largest", "smallest", "clusters", "changed", f"clusters = {k} and largest <= {high} and smallest >= {low} and changed <= {most} as accepted")
+
+
+def changed_mass(old: DataFrame, new: DataFrame, mass: DataFrame) -> DataFrame:
+    """One row: the share of the points (mass: g, n) whose granule changes its label."""
+    both = old.join(new.withColumnRenamed("label", "label_new"), "g").join(mass, "g")
+    return both.agg((F.sum(F.when(F.col("label") != F.col("label_new"), F.col("n")).otherwise(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("changed_mass"))

@@ -22,7 +22,7 @@ def mutual_ranks(knn: DataFrame) -> DataFrame:
 
 
 def search(knn: DataFrame, rule: str = "stable") -> DataFrame:
-    """One row: lambda, the k at which the search for natural neighbours stops.
+    """One row: natural_k, the k at which the search for natural neighbours stops.
 
     A granule has a mutual neighbour at k iff the least of its mutual ranks is at most k, so the
     search is a function of that histogram: no rounds. stable: none is left, or as many have been
@@ -43,7 +43,7 @@ def search(knn: DataFrame, rule: str = "stable") -> DataFrame:
         "coverage": F.expr(f"1 - left / {max(1, m)} >= 0.95 and streak >= 2"),
         "empty": F.expr("left = 0 and streak >= 2"),
     }[rule]
-    return left.agg(F.coalesce(F.min(F.when(stop, F.col("k"))), F.max("k")).alias("lambda"))
+    return left.agg(F.coalesce(F.min(F.when(stop, F.col("k"))), F.max("k")).alias("natural_k"))
 
 
 def edges(knn: DataFrame, lam: int, fallback: bool = True) -> DataFrame:

@@ -3,25 +3,41 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granula.operators.labels import ratios, representative_pairs, representatives
+from granula.operators.scale import unit_scale
 
 
-def internal_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def internal_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, high: float = 0.85, low: float = 0.02) -> DataFrame:
     """One row: separation, compactness, score. Mean distance of representatives over the mean of
-    the clusters' block means (zero diagonals included); times 0.20 if a cluster is over 85%, times
-    0.50 if one is under 2%; one cluster: -1e18."""
+    the clusters' block means (zero diagonals included); times 0.20 if a cluster is over `high`, times
+    0.50 if one is under `low`; one cluster: -1e18."""
+    raw = F.expr(f"separation / (compactness + 1e-12) * if(largest > {high}, 0.20, 1) * if(smallest < {low}, 0.50, 1)")
+    return _blocks(dpc, labels, pairs).select(F.coalesce("separation", F.lit(0.0)).alias("separation"), "compactness", F.when(F.col("clusters") < 2, -1e18).otherwise(raw).alias("score"))
+
+
+def strict_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """One row: the internal score for exactly k clusters: -1e18 with another number or with a cluster
+    over .92 or under .01 (k = 2; else .65 and .025); less for what the largest has over its share, and
+    a tenth if a cluster is a single granule."""
+    high, low = (0.92, 0.01) if k == 2 else (0.65, 0.025)
+    raw = F.expr(f"separation / (compactness + 1e-12) / (1 + 8 * greatest(largest - {1 / k}, 0)) * if(least <= 1, 0.10, 1)")
+    bad = F.expr(f"clusters < 2 or clusters != {k} or largest > {high} or smallest < {low}")
+    return _blocks(dpc, labels, pairs).select("separation", "compactness", F.when(bad, -1e18).otherwise(raw).alias("score"))
+
+
+def _blocks(dpc: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: separation, compactness, the clusters' ratios and `least`, the smallest size."""
     sep = representative_pairs(representatives(dpc, labels), pairs).agg(F.avg("d").alias("separation"))
     a, b = labels.selectExpr("g as i", "label as li"), labels.selectExpr("g as j", "label as lj")
     size = labels.groupBy("label").agg(F.count("*").alias("m"))
     inner = pairs.join(a, "i").join(b, "j").where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum("d").alias("s"))
-    comp = size.join(inner, "label", "left").agg(F.avg(F.coalesce(F.expr("s / (m * m)"), F.lit(0.0))).alias("compactness"))
-    out = sep.crossJoin(comp).crossJoin(ratios(labels))
-    raw = F.expr("separation / (compactness + 1e-12) * if(largest > 0.85, 0.20, 1) * if(smallest < 0.02, 0.50, 1)")
-    return out.select(F.coalesce("separation", F.lit(0.0)).alias("separation"), "compactness", F.when(F.col("clusters") < 2, -1e18).otherwise(raw).alias("score"))
+    comp = size.join(inner, "label", "left").agg(F.avg(F.coalesce(F.expr("s / (m * m)"), F.lit(0.0))).alias("compactness"), F.min("m").alias("least"))
+    return sep.crossJoin(comp).crossJoin(ratios(labels))
 
 
 def weighted_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, mass: DataFrame) -> DataFrame:
@@ -34,6 +50,20 @@ def weighted_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, mass: Da
     return sep.crossJoin(comp).selectExpr("separation", "compactness", "separation / (compactness + 1e-12) as score")
 
 
+def mass_score(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, mass: DataFrame, products: bool = True, high: float = 0.92, low: float = 0.01, factor: float = 0.20) -> DataFrame:
+    """One row: weighted_score, its separation weighed by products of the clusters' masses (or plain),
+    times `factor` if a cluster has over `high` of the mass, times 0.50 if one has under `low`; one
+    cluster: -1e18."""
+    size = labels.join(mass, "g").groupBy("label").agg(F.sum("n").alias("m"))
+    reps = representatives(dpc, labels)
+    far = representative_pairs(reps, pairs).join(size.toDF("li", "mi"), "li").join(size.toDF("lj", "mj"), "lj")
+    w = F.expr("mi * mj") if products else F.lit(1.0)
+    sep = far.agg((F.sum(w * F.col("d")) / F.sum(w)).alias("separation"))
+    comp = weighted_score(dpc, labels, pairs, mass).select("compactness")
+    raw = F.expr(f"separation / (compactness + 1e-12) * if(largest > {high}, {factor}, 1) * if(smallest < {low}, 0.50, 1)")
+    return sep.crossJoin(comp).crossJoin(ratios(labels.join(mass, "g"), "n")).select("separation", "compactness", F.when(F.col("clusters") < 2, -1e18).otherwise(raw).alias("score"))
+
+
 def contingency(labels: DataFrame, true: str = "label", pred: str = "pred") -> DataFrame:
     return labels.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
 
@@ -121,15 +151,59 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return out.withColumn("statistic", F.least("w_plus", "w_minus"))
 
 
-def wilcoxon_p(m: int, statistic: float) -> float:
-    """Exact two-sided p of a signed-rank statistic without ties: subsets of 1..m by their sum."""
+def wilcoxon_p(m: int, statistic: float, side: str = "two") -> float:
+    """Exact p of a signed-rank statistic without ties: subsets of 1..m by their sum. two: of the
+    smaller rank sum; greater: of the sum of the positive ranks, for a > b."""
     ways = [1] + [0] * (m * (m + 1) // 2)
     for r in range(1, m + 1):
         for s in range(len(ways) - 1, r - 1, -1):
             ways[s] += ways[s - r]
+    if side == "greater":
+        return sum(itertools.islice(ways, math.ceil(statistic), None)) / 2**m
     return min(1.0, 2 * sum(itertools.islice(ways, int(statistic) + 1)) / 2**m)
 
 
+def wilcoxon_tests(pairs: DataFrame, exact: int = 50) -> DataFrame:
+    """wilcoxon with p_two and p_greater: exact up to `exact` differences without ties, else by the
+    normal approximation with tie correction. One row for each test goes through Python."""
+    d = pairs.selectExpr("test", "round(abs(a - b), 12) as ad").where("ad != 0").groupBy("test", "ad").agg(F.count("*").alias("t"))
+    tied = d.groupBy("test").agg(F.sum(F.expr("t * t * t - t")).alias("ties"))
+
+    def run(batches):
+        for pdf in batches:
+            two, one = [], []
+            for m, plus, minus, ties in zip(pdf["m"], pdf["w_plus"], pdf["w_minus"], pdf["ties"], strict=True):
+                if m <= exact and not ties:
+                    two.append(wilcoxon_p(m, min(plus, minus)))
+                    one.append(wilcoxon_p(m, plus, "greater"))
+                else:
+                    sd = math.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)
+                    z = (plus - m * (m + 1) / 4) / sd if sd else 0.0
+                    two.append(math.erfc(abs(z) / math.sqrt(2)))
+                    one.append(math.erfc(z / math.sqrt(2)) / 2)
+            yield pdf.drop(columns="ties").assign(p_two=two, p_greater=one)
+
+    t = wilcoxon(pairs).join(tied, "test").select("test", "m", "w_plus", "w_minus", "statistic", "ties")
+    names = ", ".join(f"`{n}` {k}" for n, k in t.drop("ties").dtypes)
+    return t.mapInPandas(run, f"{names}, p_two double, p_greater double")
+
+
+def repeat_means(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Means of the metrics of repeated runs, with their number."""
+    return rows.groupBy(by).agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("repeats"))
+
+
+def centre_score(rho: F.Column, delta: F.Column, occurrence: F.Column) -> F.Column:
+    """Scaled density times scaled delta, up to a fifth more for what is often a neighbour."""
+    return unit_scale(rho) * unit_scale(delta) * (1 + 0.2 * unit_scale(occurrence))
+
+
+def summary(rows: DataFrame, rank: str, mode: str) -> DataFrame:
+    """One row: least, mean and largest rank, and how many rows have each mode."""
+    counts = rows.groupBy(mode).agg(F.count("*").alias("c")).agg(F.sort_array(F.collect_list(F.concat_ws("=", mode, "c"))).alias("m")).select(F.concat_ws(" ", "m").alias("modes"))
+    return rows.agg(F.min(rank).alias("least"), F.avg(rank).alias("mean"), F.max(rank).alias("most")).crossJoin(counts)
+
+
 def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """tests (test, p): adjusted p, flags before and after."""
     by = Window.orderBy("p", "test")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.functions.state import durable
 from granula.operators import granule
 
 
@@ -20,8 +21,14 @@ def _distance2(to: str) -> F.Column:
 
 def _two(points: DataFrame) -> DataFrame:
     """Only granules with both children."""
-    w = Window.partitionBy("g")
-    return points.withColumn("ones", F.sum("child").over(w)).withColumn("all", F.count("*").over(w)).where("ones > 0 and ones < all").drop("ones", "all")
+    return _both(points, 1)
+
+
+def _both(points: DataFrame, least: int) -> DataFrame:
+    """Only granules both of whose children have at least so many points: counts, joined back."""
+    points = durable(points)
+    ok = points.groupBy("g").agg(F.sum("child").alias("ones"), F.count("*").alias("all")).where(f"ones >= {least} and all - ones >= {least}")
+    return points.join(ok.select("g"), "g", "left_semi")
 
 
 def split_once(points: DataFrame, ties_left: bool = False) -> DataFrame:
@@ -35,10 +42,11 @@ def split_ellipsoid(points: DataFrame) -> DataFrame:
     """End points first, then once more by Mahalanobis distance to the children."""
     first = split_once(points)
     kids = granule.moments(first.withColumn("g", F.struct("g", "child")))
-    kids = kids.select(F.col("g.g").alias("g"), F.col("g.child").alias("k"), "cx", "cy", "a", "b", "c")
-    m2 = F.expr("greatest((c * (x - cx) * (x - cx) - 2 * b * (x - cx) * (y - cy) + a * (y - cy) * (y - cy)) / (a * c - b * b), 0)")
-    both = first.join(kids, "g").groupBy(*points.columns).agg(F.max(F.when(F.col("k") == 0, m2)).alias("d1"), F.max(F.when(F.col("k") == 1, m2)).alias("d2"))
-    return _two(both.withColumn("child", F.when(F.col("d1") < F.col("d2"), 0).otherwise(1)).drop("d1", "d2"))
+    shape = F.struct("cx", "cy", "a", "b", "c")
+    pair = kids.groupBy(F.col("g.g").alias("g")).agg(*(F.max(F.when(F.col("g.child") == i, shape)).alias(f"k{i}") for i in (0, 1)))
+    m2 = "greatest(({k}.c * (x - {k}.cx) * (x - {k}.cx) - 2 * {k}.b * (x - {k}.cx) * (y - {k}.cy) + {k}.a * (y - {k}.cy) * (y - {k}.cy)) / ({k}.a * {k}.c - {k}.b * {k}.b), 0)"
+    child = F.expr(f"if({m2.format(k='k0')} < {m2.format(k='k1')}, 0, 1)")
+    return _two(first.join(pair, "g").select(*points.columns, child.alias("child")))
 
 
 def split_axis_median(points: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ def children(split: DataFrame) -> DataFrame:
 
 def judge(points: DataFrame, min_leaf: int, gain: float = 1.0, axis_gate: float = 0.10, parent_gate: float = 0.25, pair_gate: float = 1.0) -> DataFrame:
     """The acceptance gates of one split: leaf sizes, density gain, distance gates in the parent's
-    axes and metric and in the pair's metric, the sum of axes."""
+    axes and metric and in the pair's metric, the sum of axes, no flat child."""
     kids = children(split_ellipsoid(points))
     a, b = (kids.where(F.col("child") == i).select("g", *(F.col(x).alias(f"{x}_{i}") for x in ("n", "cx", "cy", "a", "b", "c", "density", "l1", "l2"))) for i in (0, 1))
     both = granule.granules(points).join(a, "g").join(b, "g").withColumn("dx", F.expr("cx_0 - cx_1")).withColumn("dy", F.expr("cy_0 - cy_1"))
@@ -72,9 +80,23 @@ def judge(points: DataFrame, min_leaf: int, gain: float = 1.0, axis_gate: float
         f"sqrt((pc * dx * dx - 2 * pb * dx * dy + pa * dy * dy) / (pa * pc - pb * pb)) >= {pair_gate} as pair_ok",
         "not (least(n_0, n_1) <= {m} and greatest(n_0, n_1) >= n - {m}) as balance_ok".format(m=min_leaf),
         "l1_0 + l2_0 + l1_1 + l2_1 < l1 + l2 as axes_ok",
+        "l2_0 > 1e-3 * l1_0 and l2_1 > 1e-3 * l1_1 as shape_ok",
     )
 
 
+def refine_round(points: DataFrame, factor: float = 2.0, gain: float = 1.0, least: int | None = None, by: str = "mean") -> DataFrame:
+    """One round of outlier refinement: points with child, null where the granule stays. A granule of
+    outlying axes splits if both children have `least` points (else max(2, a tenth of the root of all
+    points)) and their densities add up to over gain times its own."""
+    if least is None:
+        least = max(2, math.ceil(0.1 * math.sqrt(points.count())))
+    g = granule.granules(points)
+    tried = split_ellipsoid(points.join(outlier_candidates(g, factor, by).select("g"), "g", "left_semi"))
+    kids = children(tried).groupBy("g").agg(F.min("n").alias("least"), F.sum("density").alias("sum"))
+    ok = kids.join(g, "g").where(f"least >= {least} and sum > {gain} * density").select("g")
+    return points.join(tried.join(ok, "g", "left_semi").select("id", "child"), "id", "left").select(*points.columns, "child")
+
+
 def outlier_candidates(g: DataFrame, factor: float = 2.0, by: str = "mean") -> DataFrame:
     """Granules whose axes add up to over factor times the mean (or median) sum."""
     mid = g.agg((F.avg if by == "mean" else F.median)(F.expr("l1 + l2")).alias("mid"))
@@ -82,14 +104,20 @@ def outlier_candidates(g: DataFrame, factor: float = 2.0, by: str = "mean") -> D
 
 
 def farthest_pair_split(points: DataFrame, min_samples: int = 2) -> DataFrame:
-    """By the farthest pair of each granule (ties: smallest ids): left iff d_alpha <= d_beta."""
-    p, q = points.alias("p"), points.select("g", *(F.col(c).alias(f"q{c}") for c in ("id", "x", "y"))).alias("q")
+    """By the farthest pair of each granule (ties: smallest ids): left iff d_alpha <= d_beta.
+
+    Only points that can be in it are paired: with the distance L of the end points and the radius R
+    about the centre, those whose distance to the centre is at least L - R."""
+    ends, c = granule.endpoints(points), points.groupBy("g").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    away = points.join(c, "g").withColumn("dc", F.sqrt(_distance2("c")))
+    bound = away.groupBy("g").agg(F.max("dc").alias("r")).join(ends, "g").selectExpr("g", "sqrt((p2x - p3x) * (p2x - p3x) + (p2y - p3y) * (p2y - p3y)) - r as least")
+    outer = away.join(bound, "g").where("dc >= least - 1e-9 * abs(least)").select(*points.columns)
+    p, q = outer.alias("p"), outer.select("g", *(F.col(c).alias(f"q{c}") for c in ("id", "x", "y"))).alias("q")
     d = F.expr("(x - qx) * (x - qx) + (y - qy) * (y - qy)")
     far = p.join(q, "g").where("id < qid").groupBy("g").agg(F.max(F.struct(d.alias("d"), (-F.col("id")).alias("i"), (-F.col("qid")).alias("j"), "x", "y", "qx", "qy")).alias("f"))
     ends = far.selectExpr("g", "f.x as ax", "f.y as ay", "f.qx as bx", "f.qy as by")
     out = points.join(ends, "g").withColumn("child", F.when(_distance2("a") <= _distance2("b"), 0).otherwise(1)).select(*points.columns, "child")
-    w = Window.partitionBy("g")
-    return out.withColumn("ones", F.sum("child").over(w)).withColumn("all", F.count("*").over(w)).where(f"ones >= {min_samples} and all - ones >= {min_samples}").drop("ones", "all")
+    return _both(out, min_samples)
 
 
 def prune_level(parents: DataFrame, kids: DataFrame) -> DataFrame:

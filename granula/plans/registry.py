@@ -309,7 +309,7 @@ query("degree_cap", BASE + "SELECT i, j FROM ed QUALIFY row_number() OVER (PARTI
 _LAM = BASE + """, fi AS (SELECT i, min(m) AS f FROM mk GROUP BY i), nn AS (SELECT count(*) AS m FROM fi),
 ks AS (SELECT k, (SELECT count(*) FROM fi WHERE f > k) AS l, m FROM nn, (SELECT unnest(range(1, (SELECT {most} FROM nn) + 1)) AS k)),
 st AS (SELECT *, k - 1 - coalesce((SELECT max(o.k) FROM (SELECT k, l, lag(l) OVER (ORDER BY k) AS was FROM ks) o WHERE o.k <= ks.k AND (o.was IS NULL OR o.was <> o.l)) - 1, 0) AS streak FROM ks)
-SELECT coalesce(min(k) FILTER (WHERE {stop}), max(k)) AS lambda FROM st"""
+SELECT coalesce(min(k) FILTER (WHERE {stop}), max(k)) AS natural_k FROM st"""
 query("natural_lambda", _LAM.format(most="m - 1", stop="l = 0 OR streak >= ceil(ln(m) + ln(k))"))(lambda v: natural.search(v.kn))
 query("natural_lambda_coverage", _LAM.format(most="least(m - 1, greatest(1, ceil(2 * log2(m))))::BIGINT", stop="1 - l / m >= 0.95 AND streak >= 2"))(lambda v: natural.search(v.kn, "coverage"))
 query("natural_lambda_empty", _LAM.format(most="least(m - 1, greatest(4, ceil(sqrt(m)) + 4))::BIGINT", stop="l = 0 AND streak >= 2"))(lambda v: natural.search(v.kn, "empty"))
@@ -328,7 +328,7 @@ _PM = "pm AS (SELECT gr.g, coalesce(least(1, greatest(-1, ln(greatest(any_value(
 query("prominence", BASE + f", {_PM} SELECT g, {r('prominence')} FROM pm")(lambda v: natural.prominence(v.ed, v.gr))
 query("natural_gamma", BASE + f", {_PM}, md AS (SELECT median(rho) AS m FROM dp), mm AS (SELECT m, median(abs(rho - m)) AS mad FROM dp, md GROUP BY m) SELECT ga.g, {r('gamma * exp(0.5 * least(2, greatest(-2, (rho - m) / greatest(mad, 1e-12))) + 0.5 * prominence) AS gamma')} FROM ga JOIN pm ON pm.g = ga.g, mm")(lambda v: dpc.natural_gamma(v.dp, natural.prominence(v.ed, v.gr)))
 query("center_score", BASE + f", z AS (SELECT gr.g, count(j) / ((SELECT count(*) FROM gr) * {LAMBDA}.0) AS o FROM gr LEFT JOIN kn ON kn.j = gr.g AND r <= {LAMBDA} GROUP BY gr.g), y AS (SELECT dp.g, rho, delta, o FROM dp JOIN z ON z.g = dp.g) SELECT g, {r(_US.format('rho') + ' * ' + _US.format('delta') + ' * (1 + 0.2 * ' + _US.format('o') + ') AS score')} FROM y")(
-    lambda v: v.dp.join(natural.occurrence(v.kn, LAMBDA), "g").select("g", (scale.unit_scale(F.col("rho")) * scale.unit_scale(F.col("delta")) * (1 + 0.2 * scale.unit_scale(F.col("occurrence")))).alias("score"))
+    lambda v: v.dp.join(natural.occurrence(v.kn, LAMBDA), "g").select("g", score.centre_score(F.col("rho"), F.col("delta"), F.col("occurrence")).alias("score"))
 )
 query("fuzzy_membership", BASE + f", oc2 AS (SELECT gr.g, count(j) / ((SELECT count(*) FROM gr) * {LAMBDA}.0) AS o FROM gr LEFT JOIN kn ON kn.j = gr.g AND r <= {LAMBDA} GROUP BY gr.g), wi AS (SELECT i AS j, sum(1 / (1 + d)) AS wj FROM ed GROUP BY i), z AS (SELECT i, label, 1 / (1 + d) AS w, wj, o, sum(o) OVER (PARTITION BY i) AS os FROM ed JOIN wi ON wi.j = ed.j JOIN oc2 ON oc2.g = ed.j JOIN la ON la.g = ed.j) SELECT i AS g, label, {r('sum(w / wj * w * o / greatest(os, 1e-12)) AS membership')} FROM z GROUP BY i, label")(lambda v: natural.membership(v.ed, v.la, natural.occurrence(v.kn, LAMBDA)))
 query("ambiguous_flags", BASE + ", z AS (SELECT i AS g, min(label) <> max(label) AS mixed, max(d) AS radius FROM ed JOIN la ON la.g = j GROUP BY i), y AS (SELECT z.*, delta FROM z JOIN dp ON dp.g = z.g), m AS (SELECT median(radius) AS rm, median(delta) AS dm FROM y), k AS (SELECT rm, dm, median(abs(radius - rm)) AS rd, median(abs(delta - dm)) AS dd FROM y, m GROUP BY rm, dm) SELECT g, mixed, radius > rm + 1.5 * rd AS wide, delta > dm + 1.5 * dd AS far, mixed OR radius > rm + 1.5 * rd OR delta > dm + 1.5 * dd AS ambiguous FROM y, k")(lambda v: natural.ambiguous(v.ed, v.la, v.dp))
@@ -345,7 +345,7 @@ _WX = "w AS (SELECT s_nationkey % 5 AS test, round(s_acctbal - s_suppkey * 10.0,
 query("wilcoxon_stat", f"WITH {_WX} SELECT test, count(*) AS m, {r('sum(CASE WHEN d > 0 THEN k ELSE 0 END)::DOUBLE AS w_plus', 'sum(CASE WHEN d < 0 THEN k ELSE 0 END)::DOUBLE AS w_minus', 'least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END))::DOUBLE AS statistic')} FROM x GROUP BY test")(lambda v: score.wilcoxon(v.paired))
 query("holm", "WITH t AS (SELECT s_suppkey AS test, (s_suppkey * 37 % 101) / 1000.0::DOUBLE AS p FROM supplier), i AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS m FROM t), a AS (SELECT test, p, least(1, max((m - i + 1) * p) OVER (ORDER BY i)) AS adj FROM i) " + f"SELECT test, {r('p::DOUBLE AS p', 'adj::DOUBLE AS adjusted')}, p < 0.05 AS raw_significant, adj < 0.05 AS significant FROM a")(lambda v: score.holm(v.table("supplier").selectExpr("s_suppkey as test", "(s_suppkey * 37 % 101) / cast(1000.0 as double) as p")))
 query("win_tie_loss", "SELECT s_nationkey % 5 AS test, count(*) FILTER (WHERE s_acctbal > s_suppkey * 10.0) AS win, count(*) FILTER (WHERE abs(s_acctbal - s_suppkey * 10.0) <= 1e-8) AS tie, count(*) FILTER (WHERE s_acctbal < s_suppkey * 10.0) AS loss FROM supplier GROUP BY 1")(lambda v: score.win_tie_loss(v.paired))
-query("repeat_means", f"SELECT l_suppkey, {r('avg(l_quantity) AS quantity', 'avg(l_discount) AS discount')}, count(*) AS repeats FROM lineitem GROUP BY l_suppkey")(lambda v: v.table("lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.count("*").alias("repeats")))
+query("repeat_means", f"SELECT l_suppkey, {r('avg(l_quantity) AS quantity', 'avg(l_discount) AS discount')}, count(*) AS repeats FROM lineitem GROUP BY l_suppkey")(lambda v: score.repeat_means(v.table("lineitem").selectExpr("l_suppkey", "l_quantity as quantity", "l_discount as discount"), "l_suppkey", ["quantity", "discount"]))
 
 # Whole pipelines: iterative, so without SQL.
 for _name, _config in pipelines.CONFIGS.items():
@@ -365,3 +365,6 @@ def oracle_sql():
 
 def flagship(spark, sf_dir):
     return pipelines.confusion(io.load(spark, sf_dir), pipelines.CONFIGS["ellipsoid_dpc"])
+
+
+from granula.plans import more  # noqa: E402, F401  its queries are added to ALL

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granula.functions.state import durable
+
 
 def read_matrix(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """A text matrix without header, one point per line: (line, features)."""
@@ -49,8 +51,12 @@ def number_rows(df: DataFrame) -> DataFrame:
 
 
 def number_by(df: DataFrame, *keys: str) -> DataFrame:
-    """point_id from 0 in the order of unique keys."""
-    return df.withColumn("point_id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    """point_id from 0 in the order of unique keys: ranges of keys are numbered each on its own, from
+    the number of rows in the ranges before."""
+    ranged = durable(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+    offset = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
+    return ranged.withColumn("_r", within).join(F.broadcast(offset), "_p").select(*df.columns, (F.col("_o") + F.col("_r")).cast("long").alias("point_id"))
 
 
 def matrix_lines(points: DataFrame, decimals: int = 10) -> DataFrame:
