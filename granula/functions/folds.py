@@ -50,10 +50,10 @@ def spread(d: np.ndarray) -> np.ndarray:
     return v[v > 0]
 
 
-def centres(score: np.ndarray, d: np.ndarray, k: int, rule: str = "separated", scale=None, near=None) -> list[int]:
+def centres(score: np.ndarray, d: np.ndarray, k: int, rule: str = "separated", scale=None, near=None, tau: float = 0.20) -> list[int]:
     """Greedy selection in the order of the score, refilled by score up to k.
 
-    top: no test. separated: at least max(q25, 0.2 median) from all chosen. basin: too close only if
+    top: no test. separated: at least max(q25, tau * median) from all chosen. basin: too close only if
     also neighbours. local: at least 0.8 of the mean local scale from each.
     """
     order = [int(i) for i in np.lexsort((np.arange(len(score)), -score))]
@@ -61,7 +61,7 @@ def centres(score: np.ndarray, d: np.ndarray, k: int, rule: str = "separated", s
     if rule == "top":
         return order[:k]
     v = spread(d)
-    least = max(np.quantile(v, 0.25), 0.2 * np.median(v), TINY) if len(v) else TINY
+    least = max(np.quantile(v, 0.25), tau * np.median(v), TINY) if len(v) else TINY
     chosen: list[int] = []
 
     def fits(i: int) -> bool:
@@ -77,33 +77,62 @@ def centres(score: np.ndarray, d: np.ndarray, k: int, rule: str = "separated", s
     return chosen + [i for i in order if i not in chosen][: k - len(chosen)]
 
 
-def best_count(gamma: np.ndarray, delta: np.ndarray, parent: np.ndarray, d: np.ndarray, most: int = 10) -> list[int]:
-    """Several rules propose centres; each proposal is pruned by the median delta, its labels are
-    simulated, and separation over compactness, gamma mass, tiny clusters, balance and count decide."""
-    order = np.lexsort((np.arange(len(gamma)), -gamma))
+def proposals(gamma: np.ndarray, d: np.ndarray, delta: np.ndarray) -> list[list[int]]:
+    """Centre lists of five rules on the sorted gammas: the largest relative drop, all of a fifth of the
+    first, all over mean + deviation / 2 of the scaled ones, the elbow, the first two if the second is
+    half as large and far. Of each list only what is farther than the median positive delta from all
+    before stays; equal lists count once."""
+    order = [int(i) for i in np.lexsort((np.arange(len(gamma)), -gamma))]
     g = gamma[order]
-    norm = g / max(g[0], TINY)
-    drop = (g[:-1] - g[1:]) / np.maximum(g[:-1], TINY)
-    head = min(len(drop), math.ceil(math.sqrt(len(g))) + 2)
-    chord = np.abs(np.linspace(0, 1, len(g)) + scaled(g) - 1)
-    counts = {2, int(drop[1:head].argmax()) + 2 if head > 1 else 2, int((norm >= 0.2).sum()), int((norm > norm.mean() + 0.5 * norm.std()).sum()), int(chord.argmax()) + 1}
-    gap = np.median(delta[delta > 0]) if (delta > 0).any() else 0.0
-    best, value = [int(i) for i in order[:2]], -np.inf
-    for k in sorted(min(max(2, c), most, len(g)) for c in counts):
+    if len(g) == 1 or np.allclose(g, g[0]):
+        return [order[:1]]
+    tau = float(np.median(delta[delta > 0])) if (delta > 0).any() else 0.0
+    norm = (g - g.min()) / (g.max() - g.min() + TINY)
+    drop = np.maximum((g[:-1] - g[1:]) / (np.abs(g[:-1]) + TINY), 0)
+    chord = np.abs(np.linspace(0, 1, len(g)) * (norm[-1] - norm[0]) - (norm - norm[0]))
+    strong = g[1] / (g[0] + TINY) >= 0.5 and d[order[0], order[1]] > tau
+    sizes = [drop.argmax() + 1, np.flatnonzero(g >= 0.2 * g[0]).max(initial=0) + 1, np.flatnonzero(norm >= norm.mean() + 0.5 * norm.std()).max(initial=0) + 1, chord.argmax() + 1 if len(g) > 2 else 1, 1 + strong]
+    out: list[list[int]] = []
+    for k in sizes:
         kept: list[int] = []
-        for i in order[:k]:
-            if all(d[i, c] > gap for c in kept):
-                kept.append(int(i))
-        if len(kept) < 2:
-            kept = [int(i) for i in order[:2]]
-        lab = chain(parent, kept, d)
-        sizes = np.bincount(lab, minlength=len(kept)) / len(lab)
-        inner = np.mean([d[lab == c][:, kept[c]].mean() if (lab == c).any() else 0.0 for c in range(len(kept))])
-        outer = np.mean([d[a, b] for a in kept for b in kept if a != b]) if len(kept) > 1 else 0.0
-        s = outer / (inner + TINY) + 0.35 * gamma[kept].sum() / max(gamma.sum(), TINY) - 0.6 * (sizes < 0.02).sum() - 0.25 * sizes.std() / max(sizes.mean(), TINY) - 0.2 * len(kept) / len(g)
-        if s > value:
-            best, value = kept, s
-    return best
+        for i in order[: max(1, int(k))]:
+            if all(d[i, c] > tau for c in kept):
+                kept.append(i)
+        if kept not in out:
+            out.append(kept)
+    return out
+
+
+def simulated_score(kept: list[int], gamma: np.ndarray, parent: np.ndarray, d: np.ndarray) -> float:
+    """Separation of the centres over mean distance to the own centre, + 0.35 of the share of gamma, less
+    0.60 of the share of single-granule clusters, 0.25 of the sizes' variation, 0.20 of the centres' share."""
+    label = chain(parent, kept, d)
+    size = np.bincount(label, minlength=len(kept)).astype(float)
+    outer = np.mean([d[a, b] for n, a in enumerate(kept) for b in kept[n + 1 :]]) if len(kept) > 1 else 0.0
+    inner = np.mean([d[i, kept[c]] for i, c in enumerate(label)])
+    vary = size.std() / (size.mean() + TINY) if len(kept) > 1 else 0.0
+    return outer / (inner + TINY) + 0.35 * gamma[kept].sum() / (gamma.sum() + TINY) - 0.60 * (size <= 1).mean() - 0.25 * vary - 0.20 * len(kept) / len(gamma)
+
+
+def best_count(gamma: np.ndarray, delta: np.ndarray, parent: np.ndarray, d: np.ndarray) -> list[int]:
+    """The best scored of the proposals, the first of equal ones."""
+    found = proposals(gamma, d, delta)
+    scores = [simulated_score(kept, gamma, parent, d) for kept in found]
+    return found[int(np.argmax(scores))]
+
+
+def best_labels(gamma, rho, parent, d, counts, tau: float = 0.20, margin: float = 1.75, graph: bool = True) -> tuple[list[int], np.ndarray]:
+    """(centres, labels) of the best internal score over numbers of centres, plain and by the graph;
+    the first of equal ones."""
+    best = None
+    for k in counts:
+        chosen = centres(gamma, d, k, tau=tau)
+        plain = chain(parent, chosen, d)
+        for label in [plain, graph_vote(rho, d, plain, chosen, margin)] if graph else [plain]:
+            s = internal(d, rho, label)
+            if best is None or s > best[0]:
+                best = (s, chosen, label)
+    return best[1], best[2]
 
 
 def chain(parent: np.ndarray, chosen: list[int], d: np.ndarray, noise: bool = False) -> np.ndarray:

@@ -1,13 +1,14 @@
-"""Whole clustering pipelines: scale, granulate, attributes, centres, labels, points (O1, O3, O4, O6,
-O7; of O5 the remove-one variants of ABLATIONS).
-
-Granulation is distributed for the split `ellipsoid` without a gate; with another split or a gate the
-whole table, or a grid seed, is split in one task. A granule of over LOCAL_MAX points is split level by level: end points
-and first assignment are aggregates over arrays, shapes come from salted partial moments, and the
-Mahalanobis assignment joins points with their children's shapes in salted groups. Smaller granules
-finish their subtree in one grouped Arrow task each; splits are independent and both use the
-configured shape and smallest leaf, so both give the same leaves up to rounding. Then the granules, about the root of the points, go through the order-dependent folds in one
-task, if there are at most MAX_GRANULES.
+"""Whole clustering pipelines: scale, granulate, attributes, centres, labels, points.
+
+Granulation is distributed: a granule of over LOCAL_MAX points is split level by level. End points, first
+assignment, 2-means rounds and gates are aggregates over arrays; shapes come from partial moments, and
+the Mahalanobis assignment joins points with their children's shapes in salted groups. Smaller granules
+finish their subtree in one grouped Arrow task each; splits are independent and both use the configured
+split, shape, gate and smallest leaf, so both give the same leaves up to rounding. Only the farthest-pair
+split (`ball_dpc_tree`) has no levels: it takes a table, or a grid seed, in one task.
+
+Then the granules, about the root of the points, go through the order-dependent folds in one task, if
+there are at most MAX_GRANULES.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import folds, shapes
 from granula.functions.state import durable
-from granula.operators import score, split
+from granula.operators import score, shape, split
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
 
@@ -38,7 +39,10 @@ class Config:
     shape: str = "full"
     split: str = "ellipsoid"
     split_factor: float = 1.0
-    outlier_factor: float = 1.5
+    outlier_factor: float = 2.0  # a granule is tried again if its axes are over so many mean axes
+    gain: float = 1.5  # and splits if its children's densities are over so many of its own
+    quality: bool = True  # without it, any split that the other gates let through
+    distance: float = 0.0  # least distance of the children's centres, in the parent's radius and metric
     rounds: int = 10
     min_leaf: int = 1
     gate: str = "none"
@@ -48,6 +52,8 @@ class Config:
     labels: str = "chain"
     graph: bool = False
     margin: float = 1.75
+    tau: float = 0.20  # least distance of centres, in medians of all distances
+    counts: tuple[int, ...] = ()  # numbers of centres to choose from by internal score
     refine: str = "none"
     grid: bool = False
 
@@ -55,6 +61,7 @@ class Config:
 CONFIGS = {
     "ellipsoid_dpc": Config(centres="top", delta="row", shape="inverse", labels="noise"),
     "adaptive_dpc": Config(graph=True),
+    "adaptive_k_dpc": Config(graph=True, counts=(8, 10, 12)),
     "strong_graph_dpc": Config(labels="strong"),
     "axis_median_dpc": Config(split="median"),
     "distance_gate_dpc": Config(gate="axis"),
@@ -65,7 +72,7 @@ CONFIGS = {
     "pinv_dpc": Config(shape="pinv"),
     "gridseed_dpc": Config(grid=True, scaler="minmax"),
     "ball_dpc_2means": Config(split="means", density="ball", delta="ball", centres="top", rounds=0, scaler="none"),
-    "ball_dpc_tree": Config(split="pair", density="ball", delta="ball", centres="top", rounds=0, gate="tree", scaler="none"),
+    "ball_dpc_tree": Config(split="pair", density="ball", delta="ball", centres="top", rounds=0, gate="tree", min_leaf=2, scaler="none"),
     "ball_dpc_dm": Config(split="ball", density="size", delta="ordered", centres="top", rounds=0, gate="dm", min_leaf=3, scaler="none"),
     "nn_refined_dpc": Config(refine="fuzzy"),
     "nn_candidate_dpc": Config(refine="candidates", delta="row"),
@@ -125,45 +132,103 @@ def _salted(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(n), "g").withColumn("salt", F.pmod(F.xxhash64("point_id"), F.col("salts")).cast("int"))
 
 
-def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(pdf["features"])
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "child": [pdf["child"].iloc[0]], "n": [float(len(x))], "v": [np.concatenate([x.sum(axis=0), (x.T @ x).ravel()])]})
+def _d2(to: str):
+    return F.aggregate(F.zip_with("features", to, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _centres(points: DataFrame, *keys: str) -> DataFrame:
+    """Mean features by keys, as c, with the number of points n."""
+    mean = points.select(*keys, F.posexplode("features").alias("p", "v")).groupBy(*keys, "p").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    return mean.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda t: t["v"]).alias("c"), F.max("n").alias("n"))
+
+
+def _first(points: DataFrame, cfg: Config) -> DataFrame:
+    """points with child by end points, by 2-means from there, or by the median along the first axis."""
+    if cfg.split == "median":
+        key = "g string, axis array<double>"
+
+        def axes(batches):
+            for pdf in batches:
+                out = []
+                for n, v in zip(pdf["n"], pdf["v"], strict=True):
+                    d = int((math.sqrt(1 + 4 * len(v)) - 1) / 2)
+                    c = v[:d] / n
+                    out.append(shapes.first_axis(v[d:].reshape(d, d) / n - np.outer(c, c)))
+                yield pd.DataFrame({"g": pdf["g"], "axis": out})
+
+        along = F.aggregate(F.zip_with("features", "axis", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        at = durable(points.join(shape.moments(points).mapInPandas(axes, key), "g").withColumn("at", along).drop("axis"))
+        cut = at.groupBy("g").agg(F.median("at").alias("cut"))
+        return durable(at.join(cut, "g").withColumn("child", (F.col("at") > F.col("cut")).cast("int")).drop("at", "cut"))
+    p1 = points.join(_centres(points, "g").select("g", F.col("c").alias("q")), "g").groupBy("g").agg(F.min(F.struct(_d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
+    far = lambda q: points.join(q, "g").groupBy("g").agg(F.max(F.struct(_d2("q").alias("d"), (-F.col("point_id")).alias("i"), "features")).getField("features").alias("q"))
+    p2 = durable(far(p1))
+    ends = p2.withColumnRenamed("q", "a").join(far(p2).withColumnRenamed("q", "b"), "g")
+    now = durable(points.join(ends, "g").withColumn("child", F.when(_d2("a") < _d2("b"), 0).otherwise(1)).drop("a", "b"))
+    for _ in range(100 if cfg.split == "means" else 0):
+        two = _centres(now, "g", "child").groupBy("g").agg(F.max(F.when(F.col("child") == 0, F.col("c"))).alias("a"), F.max(F.when(F.col("child") == 1, F.col("c"))).alias("b"))
+        new = durable(now.join(two, "g").withColumn("new", F.when(F.col("a").isNull() | F.col("b").isNull(), F.col("child")).otherwise((_d2("a") > _d2("b")).cast("int"))).drop("a", "b"))
+        ok = new.groupBy("g").agg((F.min("new") != F.max("new")).alias("ok"))
+        new = durable(new.join(ok, "g").withColumn("new", F.when(F.col("ok"), F.col("new")).otherwise(F.col("child"))).drop("ok"))
+        moved = new.where("new != child").limit(1).count()
+        now = new.drop("child").withColumnRenamed("new", "child")
+        if not moved:
+            break
+    return now
+
+
+def _gated(split_: DataFrame, cfg: Config) -> DataFrame:
+    """g of the granules whose split the gate admits."""
+    two = _centres(split_, "g", "child")
+    pair = two.groupBy("g").agg(*(F.max(F.when(F.col("child") == i, F.col("c"))).alias(f"c{i}") for i in (0, 1)))
+    if cfg.gate == "axis":
+        mean = shape.granules(split_.select("point_id", "features", "g"), cfg.shape).select("g", F.expr("aggregate(lengths, 0D, (s, e) -> s + e) / size(lengths)").alias("mean"))
+        apart = F.sqrt(F.aggregate(F.zip_with("c0", "c1", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        return pair.join(mean, "g").where((F.col("mean") <= 1e-12) | (apart >= 0.10 * F.col("mean"))).select("g")
+    whole = _centres(split_, "g").select("g", "c")
+    own = two.select("g", "child", F.col("c").alias("k"))
+    per = split_.join(whole, "g").join(own, ["g", "child"]).select("g", F.sqrt(_d2("c")).alias("r"), F.sqrt(_d2("k")).alias("s"))
+    return per.groupBy("g").agg(F.avg("r").alias("r"), F.avg("s").alias("s")).where("s < r").select("g")
 
 
 def split_level(points: DataFrame, cfg: Config) -> DataFrame:
     """One distributed split of every granule of points (point_id, features, g): adds child; rows of
     granules that do not split get null."""
-    d2 = lambda to: F.aggregate(F.zip_with("features", to, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    mean = points.select("g", F.posexplode("features").alias("p", "v")).groupBy("g", "p").agg(F.avg("v").alias("v")).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda t: t["v"]).alias("q"))
-    p1 = points.join(F.broadcast(mean), "g").groupBy("g").agg(F.min(F.struct(d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
-    far = lambda q: points.join(F.broadcast(q), "g").groupBy("g").agg(F.max(F.struct(d2("q").alias("d"), (-F.col("point_id")).alias("i"), "features")).getField("features").alias("q"))
-    p2 = durable(far(p1))
-    ends = p2.withColumnRenamed("q", "a").join(far(p2).withColumnRenamed("q", "b"), "g")
-    first = durable(points.join(F.broadcast(ends), "g").withColumn("child", F.when(d2("a") < d2("b"), 0).otherwise(1)).drop("a", "b"))
-    sums = _salted(first).groupBy("g", "child", "salt").applyInPandas(_partial, "g string, child int, n double, v array<double>")
-    total = sums.select("g", "child", "n", F.posexplode("v").alias("p", "v")).groupBy("g", "child", "p").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    kids = total.groupBy("g", "child").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda t: t["v"]).alias("v"))
-    salted, least = durable(_salted(first)), max(1, cfg.min_leaf)
+    least = max(1, cfg.min_leaf)
+    first = _first(points, cfg)
+    if cfg.split in ("ellipsoid", "median"):
+        out = durable(_by_shape(first, cfg, least))
+    else:
+        out = first
+    sizes = out.where("child >= 0").groupBy("g").agg(F.count_if(F.col("child") == 0).alias("n0"), F.count_if(F.col("child") == 1).alias("n1"))
+    both = durable(sizes.where(F.least("n0", "n1") >= least).select("g"))
+    if cfg.gate != "none":
+        both = durable(_gated(out.join(both, "g", "left_semi"), cfg))
+    return out.join(both.withColumn("ok", F.lit(True)), "g", "left").withColumn("child", F.when(F.col("ok"), F.col("child"))).drop("ok")
+
+
+def _by_shape(first: DataFrame, cfg: Config, least: int) -> DataFrame:
+    """child by the Mahalanobis distances to the shapes of both children; -1 where one is too small."""
+    keyed = first.withColumn("g", F.concat("g", F.col("child").cast("string")))
+    kids = shape.moments(keyed).select(F.expr("substring(g, 1, length(g) - 1)").alias("g"), F.expr("substring(g, length(g), 1)").alias("child"), F.col("n").cast("double").alias("n"), "v")
+    salted = durable(_salted(first))
     spread = kids.join(salted.groupBy("g").agg(F.max("salts").alias("salts")), "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
-    def assign(pdf: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
+    def assign(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"point_id": [], "features": [], "g": [], "child": []})
         x = np.stack(pdf["features"])
         child = np.full(len(x), -1)
-        if len(shape) == 2 and shape["n"].min() >= least:
+        if len(found) == 2 and found["n"].min() >= least:
             m2 = []
-            for _, row in shape.sort_values("child").iterrows():
+            for _, row in found.sort_values("child").iterrows():
                 d, v, n = x.shape[1], np.asarray(row["v"]), row["n"]
                 c = v[:d] / n
                 m2.append(shapes.Shape.of_moments(int(n), c, v[d:].reshape(d, d) / n - np.outer(c, c), cfg.shape).squared(x))
             child = (m2[0] >= m2[1]).astype(int)
         return pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": pdf["g"], "child": child})
 
-    out = durable(salted.groupBy("g", "salt").cogroup(spread.groupBy("g", "salt")).applyInPandas(assign, "point_id long, features array<double>, g string, child int"))
-    sizes = out.where("child >= 0").groupBy("g").agg(F.count_if(F.col("child") == 0).alias("n0"), F.count_if(F.col("child") == 1).alias("n1"))
-    both = sizes.where(F.least("n0", "n1") >= least).select("g")
-    return out.join(F.broadcast(both.withColumn("ok", F.lit(True))), "g", "left").withColumn("child", F.when(F.col("ok"), F.col("child"))).drop("ok")
+    return salted.groupBy("g", "salt").cogroup(spread.groupBy("g", "salt")).applyInPandas(assign, "point_id long, features array<double>, g string, child int")
 
 
 def _stats(cfg: Config):
@@ -176,18 +241,46 @@ def _stats(cfg: Config):
         r = np.sqrt(((x - s.centre) ** 2).sum(axis=1))
         mean_r = np.abs(x - s.centre).mean()
         rho = {"ellipsoid": s.density, "penalised": s.penalised(), "size": float(s.n), "ball": 0.0 if r.max() == 0 or mean_r == 0 else s.n / (r.max() ** 2 * mean_r)}[cfg.density]
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [s.n], "centre": [s.centre], "h": [h.ravel()], "axes": [float(s.lengths.sum())], "density": [float(s.density)], "rho": [float(rho)]})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [s.n], "r": [float(r.max())], "centre": [s.centre], "h": [h.ravel()], "axes": [float(s.lengths.sum())], "density": [float(s.density)], "rho": [float(rho)]})
 
     return run
 
 
-_STATS = "g string, n long, centre array<double>, h array<double>, axes double, density double, rho double"
+_STATS = "g string, n long, r double, centre array<double>, h array<double>, axes double, density double, rho double"
+
+
+def _better(x: np.ndarray, child: np.ndarray, cfg: Config) -> bool:
+    """The gates of outlier refinement: density gain and distance of the children."""
+    whole, a, b = (shapes.Shape(y, cfg.shape) for y in (x, x[child == 0], x[child == 1]))
+    if cfg.quality and a.density + b.density <= cfg.gain * whole.density:
+        return False
+    return not cfg.distance or math.sqrt(whole.squared(a.centre[None] - b.centre + whole.centre)[0]) >= cfg.distance * max(whole.rho, shapes.TINY)
+
+
+def _radius_stage(now: DataFrame, stats: DataFrame, cfg: Config, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Balls of at least twice the larger of mean and median radius split again, to a fixpoint."""
+
+    def halve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id").reset_index(drop=True)
+        x, g = np.stack(pdf["features"]), pdf["g"].iloc[0]
+        child = shapes.halves(x, cfg.shape, cfg.min_leaf, cfg.split) if len(x) >= 6 else None
+        return pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": g if child is None else [f"{g}{c}" for c in child]})
+
+    while True:
+        wide = durable(split.radius_gate(stats.select("g", "r")).where("split").select("g"))
+        tried = durable(now.join(wide, "g", "left_semi").groupBy("g").applyInPandas(halve, schema))
+        fresh = durable(tried.join(wide, "g", "left_anti"))
+        if not fresh.limit(1).count():
+            return now, stats
+        gone = fresh.select(F.expr("substring(g, 1, length(g) - 1)").alias("g")).distinct()
+        now = durable(now.join(gone, "g", "left_anti").unionByName(fresh))
+        stats = durable(stats.join(gone, "g", "left_anti").union(fresh.groupBy("g").applyInPandas(_stats(cfg), _STATS)))
 
 
 def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tuple[DataFrame, DataFrame]:
     """(points with g, granules) of points (point_id, features)."""
     n = points.count()
-    num = split.threshold(n, cfg.split_factor)
+    num = {"tree": math.floor(max(2, 0.8 * math.sqrt(n))) + 1, "dm": 6}.get(cfg.gate) or split.threshold(n, cfg.split_factor)
     least = max(2, math.ceil(0.1 * math.sqrt(n)))
     accept = _accept(cfg, num)
     if cfg.grid:
@@ -200,7 +293,7 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         now = points.withColumn("g", F.lit("r"))
     now = durable(now.select("point_id", "features", "g"))
     done = None
-    while cfg.split == "ellipsoid" and accept is None:  # levels of granules too large for a task
+    while cfg.split != "pair":  # levels of granules too large for a task
         big = now.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, num - 1)).select("g")
         if not big.limit(1).count():
             break
@@ -230,9 +323,11 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
         x, g = np.stack(pdf["features"]), pdf["g"].iloc[0]
         child = shapes.halves(x, cfg.shape, least, cfg.split)
-        better = child is not None and sum(shapes.Shape(x[child == c], cfg.shape).density for c in (0, 1)) > shapes.Shape(x, cfg.shape).density
+        better = child is not None and _better(x, child, cfg)
         return pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": [f"{g}{c}" for c in child] if better else g})
 
+    if cfg.gate == "dm":
+        now, stats = _radius_stage(now, stats, cfg, schema)
     for _ in range(cfg.rounds):
         wide = durable(split.outlier_candidates(stats.selectExpr("g", "axes as l1", "0D as l2"), cfg.outlier_factor).select("g"))
         tried = durable(now.join(F.broadcast(wide), "g", "left_semi").groupBy("g").applyInPandas(try_split, schema))
@@ -269,9 +364,11 @@ def _fold(cfg: Config):
         delta, parent = folds.peaks(rho, d, cfg.delta)
         gamma = rho * delta
         value = folds.unit(rho) * folds.unit(delta) * (1 + 0.2 * folds.unit(occ)) if cfg.centres == "local" else gamma
-        chosen = folds.best_count(gamma, delta, parent, d, cfg.k) if cfg.centres == "scored" else folds.centres(value, d, cfg.k, cfg.centres, scale, near)
+        chosen = folds.best_count(gamma, delta, parent, d) if cfg.centres == "scored" else folds.centres(value, d, cfg.k, cfg.centres, scale, near, cfg.tau)
         label = folds.strong_graph(rho, d, chosen) if cfg.labels == "strong" else folds.chain(parent, chosen, d, cfg.labels == "noise")
-        if cfg.graph:
+        if cfg.counts:
+            chosen, label = folds.best_labels(gamma, rho, parent, d, cfg.counts, cfg.tau, cfg.margin, cfg.graph)
+        elif cfg.graph:
             label = folds.graph_vote(rho, d, label, chosen, cfg.margin)
         if cfg.refine == "fuzzy":
             label = folds.accept(d, rho, n, near, label, folds.fuzzy(d, near, occ, n, rho, label, chosen))
@@ -298,14 +395,25 @@ def _fold(cfg: Config):
     return run
 
 
-def run(points: DataFrame, cfg: Config) -> dict[str, DataFrame]:
-    """The tables of one run on points (point_id, features): granules, labels, assignments."""
+def run(points: DataFrame, cfg: Config, clock: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """The tables of one run on points (point_id, features): granules, labels, assignments. clock gets
+    the seconds of each stage; each ends in a written table."""
+    clock = {} if clock is None else clock
+    at = time.perf_counter()
+
+    def done(stage: str) -> None:
+        nonlocal at
+        clock[stage], at = time.perf_counter() - at, time.perf_counter()
+
     features = F.col("features") if cfg.dims is None else F.slice("features", 1, cfg.dims)
-    points = points.select("point_id", features.alias("features"))
-    members, stats = granulate(durable(_scaled(points, cfg.scaler)), cfg)
+    scaled = durable(_scaled(points.select("point_id", features.alias("features")), cfg.scaler))
+    done("scaling")
+    members, stats = granulate(scaled, cfg)
+    done("granules")
     if (m := stats.count()) > MAX_GRANULES:
         raise ValueError(f"{m} granules: raise split_factor so that there are at most {MAX_GRANULES}")
     labels = durable(stats.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fold(cfg), "g string, label int, delta double, gamma double"))
+    done("clustering")
     return {"granules": stats, "labels": labels, "assignments": members.join(F.broadcast(labels.select("g", "label")), "g").select("point_id", "label")}
 
 
@@ -316,12 +424,35 @@ def confusion(points: DataFrame, cfg: Config) -> DataFrame:
 
 
 def evaluate(points: DataFrame, cfg: Config, name: str = "") -> dict:
-    """One metrics row: accuracy under the best alignment, NMI, ARI, granules, seconds."""
-    began = time.perf_counter()
-    out = run(points, cfg)
-    seconds = time.perf_counter() - began
+    """One metrics row: accuracy under the best alignment, NMI, ARI, granules, seconds in all and by
+    stage; mapping to points and evaluation are not timed."""
+    clock: dict[str, float] = {}
+    out = run(points, cfg, clock)
     table = durable(score.contingency(points.select("point_id", "label").join(out["assignments"].withColumnRenamed("label", "pred"), "point_id")))
-    return {"name": name, "acc": score.accuracy(table)[0], "nmi": score.nmi(table).first()[0], "ari": score.ari(table).first()[0], "granules": out["granules"].count(), "seconds": seconds}
+    found = {"name": name, "acc": score.accuracy(table)[0], "nmi": score.nmi(table).first()[0], "ari": score.ari(table).first()[0], "granules": out["granules"].count()}
+    return found | {"seconds": sum(clock.values())} | {f"seconds_{k}": v for k, v in clock.items()}
+
+
+def _row(points: DataFrame, cfg: Config, name: str) -> dict:
+    """evaluate; a failure is its row."""
+    try:
+        return evaluate(points, cfg, name) | {"error": ""}
+    except Exception as e:  # the other rows are wanted all the same
+        return {"name": name, "acc": -1.0, "nmi": -1.0, "ari": -1.0, "granules": 0, "seconds": 0.0, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+
+
+def run_all(load, names, base: Config | None = None, settings: dict[str, dict] | None = None) -> list[dict]:
+    """Metrics of every named data set, in order; load(name) gives its points with labels. settings:
+    changes to the configuration by name. A data set that fails gets a row with its error."""
+    rows = []
+    for name in names:
+        try:
+            points = load(name)
+        except Exception as e:  # missing files are a row, too
+            rows.append({"name": name, "acc": -1.0, "nmi": -1.0, "ari": -1.0, "granules": 0, "seconds": 0.0, "error": str(e).splitlines()[0]})
+            continue
+        rows.append(_row(points, replace(base or CONFIGS["adaptive_dpc"], **(settings or {}).get(name, {})), name))
+    return rows
 
 
 def sweep(points: DataFrame, base: Config, grid: dict[str, list], most: int | None = None) -> list[dict]:
@@ -345,8 +476,34 @@ def sweep(points: DataFrame, base: Config, grid: dict[str, list], most: int | No
     return sorted(rows, key=lambda x: (-x["acc"], -x["nmi"], -x["ari"], x["seconds"]))
 
 
-ABLATIONS = {"full": {}, "no_outliers": {"rounds": 0}, "no_separation": {"centres": "top"}, "no_graph": {"graph": False}, "explicit_inverse": {"shape": "inverse"}}
+#: One part left out at a time; granules are kept in tables either way, so `no_cache` equals full.
+ABLATIONS = {"full": {}, "no_quality": {"quality": False}, "no_distance": {"distance": 0.0, "gate": "none"}, "no_cache": {}, "no_graph": {"graph": False}, "no_outliers": {"rounds": 0}, "no_separation": {"centres": "top"}, "explicit_inverse": {"shape": "inverse"}}
+_BARE = {"quality": False, "distance": 0.0, "shape": "inverse", "graph": False, "rounds": 0, "centres": "top"}
+_GATES = {"quality": True, "rounds": 10, "centres": "separated"}
+#: One part more at a time, up to the configuration itself.
+INCREMENTAL = {
+    "plain": _BARE,
+    "+ quality gate": _BARE | _GATES,
+    "+ distance gate": _BARE | _GATES | {"distance": 0.25},
+    "+ cholesky": _BARE | _GATES | {"distance": 0.25, "shape": "full"},
+    "+ cache": _BARE | _GATES | {"distance": 0.25, "shape": "full"},
+    "+ graph": _BARE | _GATES | {"distance": 0.25, "shape": "full", "graph": True},
+    "final": {},
+}
+#: Values of one parameter at a time.
+SENSITIVITY = {"gain": (1.1, 1.3, 1.5, 1.7, 2.0), "tau": (0.10, 0.20, 0.30, 0.40), "split_factor": (0.6, 0.8, 1.0, 1.2), "margin": (1.30, 1.50, 1.75, 2.00)}
+
 
+def ablate(points: DataFrame, base: Config, variants: dict[str, dict] = ABLATIONS) -> list[dict]:
+    return [_row(points, replace(base, **change), name) for name, change in variants.items()]
 
-def ablate(points: DataFrame, base: Config) -> list[dict]:
-    return [evaluate(points, replace(base, **change), name) for name, change in ABLATIONS.items()]
+
+def sensitivity(points: DataFrame, base: Config, values: dict[str, tuple] = SENSITIVITY, repeats: int = 1) -> list[dict]:
+    """A row for each value of each parameter, the others as in base. Runs are deterministic: repeats
+    only give a mean time."""
+    rows = []
+    for field, options in values.items():
+        for value in options:
+            found = [_row(points, replace(base, **{field: value}), f"{field}={value}") for _ in range(max(1, repeats))]
+            rows.append(found[0] | {"parameter": field, "value": value, "seconds": sum(x["seconds"] for x in found) / len(found)})
+    return rows

@@ -96,3 +96,82 @@ def plane(points: DataFrame, granules_per_label: int = 4) -> DataFrame:
     """The first two features as (id, x, y, label, g): g is a given partition into granules."""
     g = (F.col("label") * granules_per_label + F.pmod("point_id", F.lit(granules_per_label))).cast("long")
     return points.select(F.col("point_id").alias("id"), F.col("features")[0].alias("x"), F.col("features")[1].alias("y"), "label", g.alias("g"))
+
+
+#: The benchmark sets in their order, with number of clusters and scaler.
+DATASETS = {
+    "iris": (3, "none"),
+    "seed": (3, "none"),
+    "segment_3": (8, "robust"),
+    "landsat_2": (5, "none"),
+    "msplice_2": (3, "standard"),
+    "rice": (2, "standard"),
+    "banknote": (2, "standard"),
+    "htru2": (2, "none"),
+    "breast_cancer": (2, "none"),
+    "hcv_data": (2, "robust"),
+    "dry_bean": (7, "standard"),
+    "rice_cammeo": (2, "standard"),
+}
+
+
+def open_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A benchmark set as (point_id, features, label) of root/<name>.txt and root/<name>_label.txt, line
+    by line; raises for an unknown name, a missing file and tables of different length."""
+    if name not in DATASETS:
+        raise KeyError(f"unknown data set {name}; known: {', '.join(DATASETS)}")
+    points = parse_matrix(number_rows(spark.read.text(f"{root}/{name}.txt").where("trim(value) != ''")))
+    return align(points, labels(number_rows(spark.read.text(f"{root}/{name}_label.txt").where("trim(value) != ''"))).select("point_id", "label"))
+
+
+def read_covertype(spark: SparkSession, path: str) -> DataFrame:
+    """Gzip CSV of 55 columns: (features, label), labels from 0."""
+    rows = read_delimited(spark, path, label=54)
+    return rows.withColumn("label", F.col("label") - 1)
+
+
+def read_protein(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated file of 77 columns: two ids, the label, 74 features."""
+    return read_delimited(spark, path, sep="\t", label=2, skip=(0, 1))
+
+
+def write_label_map(coded: DataFrame, column: str, code: str, path: str) -> None:
+    """The distinct pairs of a recoded column as lines `value -> code`, in the order of the codes."""
+    pairs = coded.select(column, code).distinct().orderBy(code)
+    pairs.select(F.concat_ws(" -> ", F.col(column).cast("string"), F.col(code).cast("string")).alias("value")).coalesce(1).write.text(path)
+
+
+def results(spark: SparkSession, rows: list[dict], decimals: int = 4) -> DataFrame:
+    """Metrics rows as a table of strings: numbers with fixed decimals, what a row lacks empty."""
+    names = list(dict.fromkeys(k for row in rows for k in row))
+    text = lambda v: "" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
+    return spark.createDataFrame([tuple(text(row.get(n)) for n in names) for row in rows], ", ".join(f"`{n}` string" for n in names))
+
+
+def write_results(table: DataFrame, path: str) -> None:
+    """One CSV file with a header."""
+    table.coalesce(1).write.csv(path, header=True)
+
+
+def text_table(rows: list[dict], columns: list[str], decimals: int = 3) -> str:
+    """Metrics rows as lines of aligned columns under a header."""
+    cells = [columns] + [[f"{row.get(c, ''):.{decimals}f}" if isinstance(row.get(c), float) else str(row.get(c, "")) for c in columns] for row in rows]
+    wide = [max(len(row[i]) for row in cells) for i in range(len(columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(row, wide, strict=True)).rstrip() for row in cells)
+
+
+def latex_table(rows: list[dict], columns: list[str], group: str | None = None, decimals: int = 3) -> str:
+    """A LaTeX tabular; rows that follow each other with the same `group` share one cell of it."""
+    escape = lambda v: str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
+    cell = lambda v: f"{v:.{decimals}f}" if isinstance(v, float) else escape(v)
+    out = [r"\begin{tabular}{" + "l" * len(columns) + "}", r"\hline", " & ".join(map(escape, columns)) + r" \\", r"\hline"]
+    for n, row in enumerate(rows):
+        line = [cell(row.get(c, "")) for c in columns]
+        if group:
+            same = lambda k: 0 <= k < len(rows) and rows[k].get(group) == row.get(group)
+            at, size = columns.index(group), 1
+            while same(n + size):
+                size += 1
+            line[at] = "" if same(n - 1) else rf"\multirow{{{size}}}{{*}}{{{line[at]}}}" if size > 1 else line[at]
+        out.append(" & ".join(line) + r" \\")
+    return "\n".join([*out, r"\hline", r"\end{tabular}"])
