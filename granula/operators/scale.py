@@ -116,5 +116,5 @@ def check_distances(pairs: DataFrame) -> DataFrame:
     """Counts of faults in a distance relation (i, j, d); distances are clamped at 0 by users."""
     other = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("d").alias("e"))
     return pairs.join(other, ["i", "j"], "left").agg(
-        F.count("*").alias("n"), F.count_if(F.col("d") < -TINY).alias("negative"), F.count_if(F.isnan("d") | F.col("d").isNull()).alias("not_finite"), F.count_if(F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) > 1e-9)).alias("asymmetric")
+        F.count("*").alias("n"), F.count_if(F.col("d") < -TINY).alias("negative"), F.count_if(F.isnan("d") | F.col("d").isNull()).alias("not_finite"), F.count_if(F.col("e").isNull() | (F.abs(F.col("d") - F.col("e")) > 1e-9)).alias("uneven")
     )

@@ -204,7 +204,10 @@ query("mad", BASE + f", q AS (SELECT median(density) AS m FROM gr) SELECT {r('an
 query("relative_margin", BASE + f"SELECT g, {r('(greatest(l1, 0) - greatest(l2, 0)) / (greatest(l1, 0) + 1e-12) AS margin')} FROM gr")(lambda v: v.gr.select("g", scale.relative_margin(F.col("l1"), F.col("l2")).alias("margin")))
 query("label_recode", "SELECT p_partkey, p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::INT AS code FROM part")(lambda v: scale.recode(v.table("part").select("p_partkey", "p_brand"), "p_brand", "code").select("p_partkey", "p_brand", "code"))
 query("pca_plane")(lambda v: scale.pca2(io.load(v.spark, v.dir)).select("point_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")))
-query("check_distances", BASE + "SELECT count(*) AS n, 0::BIGINT AS negative, 0::BIGINT AS not_finite, 0::BIGINT AS asymmetric FROM pr")(lambda v: scale.check_distances(v.pr))
+_FAULTS = "case when (i + j) % 7 = 0 and i < j then d + 1 when i % 11 = 1 and j % 5 = 0 then -d when i % 13 = 2 and j % 3 = 0 then {nan} else d end"
+query("check_distances", BASE + f", fa AS (SELECT i, j, {_FAULTS.format(nan="'nan'::DOUBLE")} AS d FROM pr) SELECT count(*) AS n, count(*) FILTER (WHERE a.d < -1e-12) AS negative, count(*) FILTER (WHERE isnan(a.d)) AS not_finite, count(*) FILTER (WHERE b.d IS NULL OR isnan(a.d) OR isnan(b.d) OR abs(a.d - b.d) > 1e-9) AS uneven FROM fa a LEFT JOIN fa b ON b.i = a.j AND b.j = a.i")(
+    lambda v: scale.check_distances(v.pr.select("i", "j", F.expr(_FAULTS.format(nan="double('nan')")).alias("d")))
+)
 
 # Granules.
 query("granule_count_center", BASE + f"SELECT g, n, {r('cx', 'cy')} FROM mo")(lambda v: granule.moments(v.p).select("g", "n", "cx", "cy"))
