@@ -15,7 +15,8 @@ w * w / 2**65.
 
 Defined cases: null text has no words; a row without doc_id is ignored; rows with the same doc_id
 are one document to each other (neither removes the other's words); an empty table gives an empty
-result; texts of under 13 words stay whole.
+result; texts of under 13 words stay whole; each row gets one row, repeated ones too. Rows of one doc_id
+with different texts lose the words at the places that are covered in any of them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from granula.llm.common import U64, chunks, durable, id_bits, mix, only_bits, pa
 WINDOW, ROUNDS = 13, 2
 #: Name ranges: at least 256, so that a name's first byte need not be sent.
 RANGES = 256
+#: More would leave about a name in each of a chunk's blocks.
+MAX_RANGES = 1 << 14
 #: Name ranges for each range of documents.
 PER_DOC_RANGE = 4
 _TAGS = [U64(0xA24BAED4963EE407 + 0x9FB21C651E98DF24 * i & (1 << 64) - 1) for i in range(8)]
@@ -219,16 +222,17 @@ def _remove(batches):
             np.subtract.at(edge, ends[ends < len(edge)], 1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            out.append((i, len(words), int(gone.sum()), kept.decode()))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+            out.append((i, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), int(gone.sum()), kept.decode()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["doc_id", "n_words", "sha", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all, changed): all (doc_id, n_words, sha), sha being that of the whole words joined by a
-    space; changed (doc_id, n_words, n_removed, kept) for the documents that lose words."""
+    space; changed (doc_id, n_words, sha, n_removed, kept) for the documents that lose words."""
     spark, source = docs.sparkSession, texts(docs)
     ranges = RANGES
-    while ranges < partitions(docs) and ranges < 1 << 14:
+    while ranges < partitions(docs) and ranges < MAX_RANGES:
         ranges *= 2
     rows = source.mapInArrow(_name_all(ranges), _ROWS)
     doc_ranges = ranges // PER_DOC_RANGE
@@ -242,14 +246,14 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return (b.select([0, 1]) for b in only_bits(batches, value.value))
 
     some = with_bit(source, bits).mapInArrow(run, "doc_id long, text string")
-    changed = some.join(covered, "doc_id").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    changed = some.join(covered, "doc_id").mapInArrow(_remove, "doc_id long, n_words long, sha string, n_removed long, kept string")
     return rows.where("kind = 0").select("doc_id", "n_words", "sha"), changed
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     whole, changed = remove_repeats(docs)
-    few = changed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("cut")).distinct()
-    return whole.distinct().join(few, ["doc_id", "n_words"], "left").select(
+    few = changed.select("doc_id", "sha", "n_removed", F.sha2("kept", 256).alias("cut")).distinct()
+    return whole.join(few, ["doc_id", "sha"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut", "sha").alias("kept_sha256")
     )

@@ -14,7 +14,8 @@ Defined cases: a null vector or one with a null, NaN or infinite component takes
 does a null vec_id; a vector shorter than the longest counts as 0 in the missing components; of
 rows with the same vec_id each is a candidate for other queries, and a query's own id is never its
 candidate; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read. Scores are whole numbers held as doubles: where they
+could reach 2**53 the search raises.
 """
 
 from __future__ import annotations
@@ -122,7 +123,10 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     `vectors`)."""
     spark = base.sparkSession
     base, queries = durable(base), durable(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
-    dims = base.agg(F.max(F.size("v"))).first()[0] or 0
+    size = base.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
+    dims, top = size.dims or 0, size.top or 0.0
+    if dims * top * top >= 1 << 53:
+        raise ValueError(f"components up to {top:.0f} in {dims} dimensions: products are whole only below 2**53")
     n = queries.count()
     out, batches = None, -(-2 * n // QUERIES)  # half full on average: by a hash, so none is over QUERIES
     for i in range(batches if dims else 0):
