@@ -2,17 +2,22 @@
 
 A text's lines are what stands between its line feeds, unchanged. All documents' line ids, document
 after document, are one sequence in which no run crosses a document's end. Prefix doubling ranks the
-suffixes by their first 1, 2, 4, ... lines: a round sorts (rank, rank of the suffix half a prefix
-further) by range partitions and numbers the sorted rows by partition offsets. Suffixes whose prefix
-nobody shares drop out, for all longer prefixes of theirs are unique too. Suffixes of equal rank at
-MIN_LINES lines are the intervals of the suffix array whose longest common prefix has that length at
-least: together they span the maximal repeated runs. In each interval the first suffix by
-(doc_id, line) keeps its lines, and the first MIN_LINES lines of every later one go.
-
-So a line goes when it lies in a run of MIN_LINES or more lines that also starts earlier, in an
-earlier document or further up in its own; deeper ranks would remove nothing else, for a longer run
-is the union of its parts of MIN_LINES lines, which start earlier too. Line ids are 64-bit hashes:
-two different lines of n in all share one with a chance of about n * n / 2**65.
+suffixes by their first 1, 2, 4, ... lines: a round counts the pairs (rank, rank of the suffix half a
+prefix further), orders the distinct pairs by range partitions and numbers them by partition offsets.
+Suffixes whose prefix nobody shares drop out, for all longer prefixes of theirs are unique too, and
+doubling goes on until none is left: then the order of all suffixes is known.
+
+The suffixes of one rank at a length are an interval of the suffix array whose longest common prefix
+has that length at least. In each interval from MIN_LINES lines on, the first suffix by (doc_id, line)
+keeps its lines, and every later one loses its prefix: of a suffix's intervals the deepest in which it
+is not the first counts. Together these prefixes are the later copies of all maximal repeated runs, so a
+line goes when it lies in a run of MIN_LINES or more lines that also starts earlier, in an earlier
+document or further up in its own. Line ids are 64-bit hashes: two different lines of n in all share one
+with a chance of about n * n / 2**65.
+
+Counts are summed where the rows are, distinct keys alone are ordered, and keys of over a ten-thousandth
+of all rows meet their rows by broadcast (there are at most ten thousand): a very common line is no hot
+spot anywhere.
 
 With min_words a run of fewer lines also counts, down to a single one, if it has so many words. Such
 a run is the union of its least parts: those that have too few words without their last line, and
@@ -45,34 +50,55 @@ def _positions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "n", "i", F.xxhash64("x", F.lit(3)).alias("line")).dropDuplicates(["doc_id", "th", "i"])
 
 
-def _ranked(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """rows with `rank`: the place of the first row of their key in the order of the keys."""
-    sorted_ = durable(rows.repartitionByRange(parts, *keys).withColumn("p", F.spark_partition_id()))
-    sums = sorted_.groupBy("p").agg(F.count("*").alias("m"))
-    offset = sums.select("p", (F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("offset"))
-    # A key never spans two range partitions, so ranks need no other partition's rows.
-    counts = sorted_.groupBy("p", *keys).agg(F.count("*").alias("m"))
-    first = F.sum("m").over(Window.partitionBy("p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
-    places = counts.select("p", *keys, F.col("m").alias("size"), first.alias("in_part")).join(F.broadcast(offset), "p").select(*keys, "size", (F.col("offset") + F.col("in_part") + 1).alias("rank"))
-    return sorted_.drop("p").join(places.where("size > 1"), keys).drop(*keys, "size")
+#: Keys that are broadcast, at most; a key of fewer than MIN_HOT rows is never hot.
+HOT_KEYS, MIN_HOT = 10_000, 1_000
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, th, i): the suffixes that go, with their first min_lines lines."""
+def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined by keys with found (keys, size, ...), size being the rows of a key."""
+    n = found.agg(F.sum("size")).first()[0] or 0
+    cut = max(MIN_HOT, n // HOT_KEYS + 1)
+    hot = found.where(F.col("size") >= cut)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col("size") < cut), keys)
+    return rows.join(F.broadcast(hot), keys).select(cold.columns).union(cold)
+
+
+def _ranked(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """The rows whose key others share, with `rank`: the place of the key's first row in the order of
+    those. The keys go."""
+    rows = durable(rows)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
+    placed = durable(counts.repartitionByRange(parts, *keys).withColumn("p", F.spark_partition_id()))
+    upto = F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    offset = placed.groupBy("p").agg(F.sum("size").alias("m")).select("p", upto.alias("offset"))
+    inside = F.sum("size").over(Window.partitionBy("p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    ranks = placed.withColumn("inside", inside).join(F.broadcast(offset), "p").select(*keys, "size", (F.col("offset") + F.col("inside") + 1).alias("rank"))
+    return _meet(rows, ranks, keys).drop(*keys, "size")
+
+
+def intervals(docs: DataFrame, min_lines: int = MIN_LINES):
+    """(length, suffixes) of each round from min_lines on: the suffixes (doc_id, th, i, rank) that share
+    their first `length` lines with others."""
     parts = partitions(docs)
-    lines = _positions(docs)
-    many = durable(lines.where(F.col("n") >= min_lines))
-    shared = many.groupBy("line").agg(F.count("*").alias("m")).where("m > 1").select("line")
-    now = durable(_ranked(many.join(shared, "line", "left_semi"), ["line"], parts))
+    now = durable(_ranked(_positions(docs).where(F.col("n") >= min_lines).drop("n"), ["line"], parts))
     done = 1
-    while done < min_lines:
-        step = min(done, min_lines - done)
+    while now.limit(1).count():
+        if done >= min_lines:
+            yield done, now
+        step = min(done, min_lines - done) if done < min_lines else done
         ahead = now.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        both = now.join(ahead, ["doc_id", "th", "i"]).withColumnRenamed("rank", "r")
-        now = durable(_ranked(both, ["r", "next"], parts))
+        now = durable(_ranked(now.join(ahead, ["doc_id", "th", "i"]).withColumnRenamed("rank", "r"), ["r", "next"], parts))
         done += step
-    first = now.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"))
-    return now.join(first, "rank").where(F.struct("doc_id", "th", "i") != F.col("f")).select("doc_id", "th", "i")
+
+
+def repeated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, th, i, m): the suffixes that go, with their first m lines."""
+    out = docs.sparkSession.createDataFrame([], "doc_id long, th long, i int, m int")
+    for length, now in intervals(docs, min_lines):
+        first = durable(now.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"), F.count("*").alias("size")))
+        late = _meet(now, first, ["rank"]).where(F.struct("doc_id", "th", "i") != F.col("f"))
+        out = out.union(durable(late.select("doc_id", "th", "i", F.lit(length).alias("m"))))
+    return out
 
 
 def _least_parts(min_words: int):
@@ -113,7 +139,7 @@ def repeated_words(docs: DataFrame, min_words: int) -> DataFrame:
 
 def remove(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept: the texts without the later copies of repeated runs."""
-    starts = repeated(docs, min_lines).withColumn("m", F.lit(min_lines))
+    starts = repeated(docs, min_lines)
     if min_words is not None:
         starts = starts.union(repeated_words(docs, min_words))
     gone = starts.groupBy("doc_id", "th", "i").agg(F.max("m").alias("m")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "m")).alias("at"))
