@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Folders of the open `scratch` blocks, innermost last.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `durable` wrote inside: for work whose result is written by then."""
+    path = f"{shared_dir(spark)}/granula/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder where Spark sees it, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/granula/{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it back: its lineage ends there, executors may go."""
+    folder = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(df.sparkSession)}/granula"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.functions import folds, shapes
-from granula.functions.state import durable
+from granula.functions.state import durable, scratch
 from granula.operators import score, shape, split
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
@@ -427,9 +427,10 @@ def evaluate(points: DataFrame, cfg: Config, name: str = "") -> dict:
     """One metrics row: accuracy under the best alignment, NMI, ARI, granules, seconds in all and by
     stage; mapping to points and evaluation are not timed."""
     clock: dict[str, float] = {}
-    out = run(points, cfg, clock)
-    table = durable(score.contingency(points.select("point_id", "label").join(out["assignments"].withColumnRenamed("label", "pred"), "point_id")))
-    found = {"name": name, "acc": score.accuracy(table)[0], "nmi": score.nmi(table).first()[0], "ari": score.ari(table).first()[0], "granules": out["granules"].count()}
+    with scratch(points.sparkSession):
+        out = run(points, cfg, clock)
+        table = durable(score.contingency(points.select("point_id", "label").join(out["assignments"].withColumnRenamed("label", "pred"), "point_id")))
+        found = {"name": name, "acc": score.accuracy(table)[0], "nmi": score.nmi(table).first()[0], "ari": score.ari(table).first()[0], "granules": out["granules"].count()}
     return found | {"seconds": sum(clock.values())} | {f"seconds_{k}": v for k, v in clock.items()}
 
 
