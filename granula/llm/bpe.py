@@ -169,18 +169,31 @@ class Transducer:
             self.cache[stretch] = got
         return got
 
-    def encode(self, text: str, step: int = 1 << 16) -> Iterator[tuple[int, str, bytes]]:
+    def encode(self, text: str, step: int = 1 << 18) -> Iterator[tuple[int, str, bytes]]:
         """(number, ids, symbols) of the tokens, for some stretches of text at a time.
 
         ids and symbols are joined by spaces; symbols as UTF-8.
         """
-        stretches = regex.findall(f"[^{_WHITE}]+", text) if _ONLY_PYTHON.search(text) else text.split()
+        cut = regex.compile(f"[^{_WHITE}]+").findall if _ONLY_PYTHON.search(text) else str.split
         cache, miss = self.cache, self._miss
-        for a in range(0, len(stretches), step):
-            got = [g for s in stretches[a : a + step] if (g := cache.get(s) or miss(s))[0]]
+        for part in _between_spaces(text, step):
+            got = [g for s in cut(part) if (g := cache.get(s) or miss(s))[0]]
             yield sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]).encode()
 
 
+_SPACE = regex.compile(f"[{_WHITE}]")
+
+
+def _between_spaces(text: str, step: int) -> Iterator[str]:
+    """text in parts of about step code points, cut at white space: a long text is not held in pieces."""
+    a = 0
+    while a < len(text):
+        m = _SPACE.search(text, min(a + step, len(text)))
+        b = m.start() if m else len(text)
+        yield text[a:b]
+        a = b if b > a else b + 1
+
+
 class TextMachine:
     """Incremental bytes to text: what is fed comes out as far as its characters are whole."""
 

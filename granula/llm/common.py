@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.functions.state import delete, durable, scratch, shared_dir  # noqa: F401  for the operators
+
 #: White space of all word contracts: space and U+0009 to U+000D. As a Java/RE2 character class.
 WS = r"\x20\x09-\x0D"
 _SPACE = np.zeros(256, bool)
@@ -31,46 +30,6 @@ _M1, _M2, _BASE = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), 0x9E3779B97F
 _SPAN = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; only a local session may go without."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        got = tempfile.gettempdir() + f"/granula-{spark.sparkContext.applicationId}"
-    return got.rstrip("/")
-
-
-#: Folders of the open `scratch` blocks, innermost last.
-_SCRATCH: list[str] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what `durable` wrote inside: for work whose result is written by then."""
-    path = f"{shared_dir(spark)}/granula/{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
-    try:
-        yield
-    finally:
-        _SCRATCH.remove(path)
-        delete(spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder where Spark sees it, if it is there."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, executors may go."""
-    folder = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(df.sparkSession)}/granula"
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame, target_bytes: int = 64 << 20) -> int:
     """Shuffle partitions: the session's number, or more if the input is large."""
     spark = df.sparkSession
