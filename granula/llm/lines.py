@@ -54,49 +54,51 @@ def _positions(docs: DataFrame) -> DataFrame:
 HOT_KEYS, MIN_HOT = 10_000, 1_000
 
 
-def _meet(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined by keys with found (keys, size, ...), size being the rows of a key."""
-    n = found.agg(F.sum("size")).first()[0] or 0
+def _meet(rows: DataFrame, found: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows (n of them at most) joined by keys with found (keys, size, ...), size being a key's rows."""
     cut = max(MIN_HOT, n // HOT_KEYS + 1)
+    if n < cut:
+        return rows.join(found, keys)
     hot = found.where(F.col("size") >= cut)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col("size") < cut), keys)
     return rows.join(F.broadcast(hot), keys).select(cold.columns).union(cold)
 
 
-def _ranked(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """The rows whose key others share, with `rank`: the place of the key's first row in the order of
-    those. The keys go."""
+def _ranked(rows: DataFrame, keys: list[str], parts: int, n: int | None = None) -> DataFrame:
+    """The rows (n at most) whose key others share, with `rank`: the place of the key's first row in the
+    order of those. The keys go."""
     rows = durable(rows)
+    n = rows.count() if n is None else n
     counts = rows.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     placed = durable(counts.repartitionByRange(parts, *keys).withColumn("p", F.spark_partition_id()))
     upto = F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
     offset = placed.groupBy("p").agg(F.sum("size").alias("m")).select("p", upto.alias("offset"))
     inside = F.sum("size").over(Window.partitionBy("p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     ranks = placed.withColumn("inside", inside).join(F.broadcast(offset), "p").select(*keys, "size", (F.col("offset") + F.col("inside") + 1).alias("rank"))
-    return _meet(rows, ranks, keys).drop(*keys, "size")
+    return _meet(rows, ranks, keys, n).drop(*keys, "size")
 
 
 def intervals(docs: DataFrame, min_lines: int = MIN_LINES):
-    """(length, suffixes) of each round from min_lines on: the suffixes (doc_id, th, i, rank) that share
-    their first `length` lines with others."""
+    """(length, suffixes, their number) of each round from min_lines on: the suffixes (doc_id, th, i, rank)
+    that share their first `length` lines with others."""
     parts = partitions(docs)
     now = durable(_ranked(_positions(docs).where(F.col("n") >= min_lines).drop("n"), ["line"], parts))
     done = 1
-    while now.limit(1).count():
+    while n := now.count():
         if done >= min_lines:
-            yield done, now
+            yield done, now, n
         step = min(done, min_lines - done) if done < min_lines else done
         ahead = now.select("doc_id", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
-        now = durable(_ranked(now.join(ahead, ["doc_id", "th", "i"]).withColumnRenamed("rank", "r"), ["r", "next"], parts))
+        now = durable(_ranked(now.join(ahead, ["doc_id", "th", "i"]).withColumnRenamed("rank", "r"), ["r", "next"], parts, n))
         done += step
 
 
 def repeated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, th, i, m): the suffixes that go, with their first m lines."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, th long, i int, m int")
-    for length, now in intervals(docs, min_lines):
-        first = durable(now.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"), F.count("*").alias("size")))
-        late = _meet(now, first, ["rank"]).where(F.struct("doc_id", "th", "i") != F.col("f"))
+    for length, now, n in intervals(docs, min_lines):
+        first = now.groupBy("rank").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"), F.count("*").alias("size"))
+        late = _meet(now, first, ["rank"], n).where(F.struct("doc_id", "th", "i") != F.col("f"))
         out = out.union(durable(late.select("doc_id", "th", "i", F.lit(length).alias("m"))))
     return out
 
