@@ -173,10 +173,13 @@ ID_BITS = 1 << 24
 
 def id_bits(ids: DataFrame, column: str) -> bytes:
     """A one-hash Bloom filter of a long column, folded to words by Spark before it is fetched."""
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(ID_BITS))
+    return fold_bits(ids.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(ID_BITS)).alias("b")))
+
+
+def fold_bits(places: DataFrame) -> bytes:
+    """The set of bits at places (b), each under ID_BITS."""
     words = (
-        ids.select(bit.alias("b"))
-        .groupBy(F.floor(F.col("b") / 32).alias("w"))
+        places.groupBy(F.floor(F.col("b") / 32).alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("v"))
         .toPandas()
     )

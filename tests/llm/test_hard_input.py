@@ -78,6 +78,38 @@ def test_one_row_per_row_in_substring_dedup(spark):
     assert got == [(1, 32, 0), (2, 32, 32), (2, 32, 32), (3, 32, 31), (4, 32, 31), (4, 32, 31), (5, 0, 0), (6, 60_000, 0)]
 
 
+def naive_removal(texts):
+    """(doc_id, n_removed, sha of the kept words) of each (doc_id, text), by all windows' words."""
+    first, split = {}, [(i, WORD.findall(t or "")) for i, t in texts]
+    for i, w in split:
+        for p in range(len(w) - 12):
+            key = tuple(w[p : p + 13])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        kept = " ".join(x for q, x in enumerate(w) if q not in gone)
+        out.append((i, len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bits", [64, 14, 10])
+def test_names_that_meet_by_chance_remove_nothing(spark, bits):
+    r = random.Random(3)
+    texts = []
+    for i in range(120):
+        words = [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.randrange(0, 60))]
+        if i % 3 == 2:
+            old = texts[r.randrange(len(texts))][1].split()
+            cut = r.randrange(0, max(1, len(old)))
+            words[3:3] = old[cut : cut + 30] + ["x"] * r.randrange(0, 30)
+        texts.append((i, " ".join(words)))
+    texts += [(40, texts[7][1]), (40, texts[90][1] + " y"), (90, texts[40][1]), (11, texts[11][1])]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    got = sorted((x.doc_id, x.n_removed, x.kept_sha256) for x in substring.digests(d, bits).collect())
+    assert got == naive_removal(texts)
+
+
 def test_mixing_of_long_texts_and_equal_keys(spark):
     rows = [(1, "a " * 100_000, "s"), (1, "a " * 100_000, "s"), (2, "b", "s"), (2, "b", "s"), (3, None, None), (4, "", "t"), (None, "x", "s")]
     d = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
