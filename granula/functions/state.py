@@ -42,9 +42,13 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path in the innermost `scratch` block, or in the shared folder."""
+    return f"{_SCRATCH[-1] if _SCRATCH else f'{shared_dir(spark)}/granula'}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, executors may go."""
-    folder = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(df.sparkSession)}/granula"
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
