@@ -6,9 +6,11 @@ a block's bound is the sum over the components of the largest product that the b
 A batch of queries walks the blocks in the order of their bounds, a block at a time through its
 forward index, and a query leaves off when the next bound is below its k-th score.
 
-Queries are sent to all tasks in batches of QUERIES at most, a fixed size, one pass over the blocks
-for each batch; each task returns k rows per query from its share of the blocks, and a window over
-the query keeps k.
+A first pass scores every query against the same few vectors; their k-th score is a floor that no task
+need go below. Then queries are sent to all tasks in batches of QUERIES at most, a fixed size, one job
+over the blocks for each batch, whose result is written, so that neither the plan nor what is sent at
+once grows with the queries. Each task returns at most k rows per query from its share of the blocks,
+none below the floor, and a window over the query keeps k.
 
 Defined cases: a null vector or one with a null, NaN or infinite component takes no part, neither
 does a null vec_id; a vector shorter than the longest counts as 0 in the missing components; of
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granula.functions.state import fresh
 from granula.llm.common import durable
 
-BLOCK, QUERIES = 512, 4096
+#: Rows of a block, queries sent at once and taken through the blocks at once, vectors of the first pass.
+BLOCK, QUERIES, SLICE, FIRST = 512, 1 << 16, 4096, 2048
 #: Blocks that a task holds and orders at a time.
 HELD = 32
 
@@ -82,62 +86,104 @@ class _Best:
         self.score[rows], self.ids[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
+class _Slice:
+    """Some queries on their way through a task's blocks."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.q, self.floor = ids, q, floor
+        self.plus, self.minus = np.maximum(q, 0), np.minimum(q, 0)
+        self.best = _Best(len(ids), k)
+
+    def walk(self, held: list) -> None:
+        bound = self.plus @ np.array([b[2] for b in held]).T + self.minus @ np.array([b[3] for b in held]).T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        live = np.arange(len(self.ids))
+        for step in range(len(held)):
+            nxt = order[live, step]
+            go = bound[live, nxt] >= np.maximum(self.best.score[live, -1], self.floor[live])  # at an equal bound a smaller id may win
+            live, nxt = live[go], nxt[go]
+            for b in np.unique(nxt):
+                rows = live[nxt == b]
+                ids, m = held[b][:2]
+                scores = self.q[rows] @ m.T
+                scores[self.ids[rows, None] == ids[None, :]] = -np.inf
+                self.best.add(rows, scores, ids)
+
+    def found(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.best.score) & (self.best.score >= self.floor[:, None]))
+        score = self.best.score[row, col].astype(np.int64)
+        return pa.record_batch([pa.array(self.ids[row]), pa.array(self.best.ids[row, col]), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
 def _search(queries, k: int):
     def run(batches):
-        qids, q = queries.value
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        best, held = _Best(len(qids), k), []
-
-        def walk():
-            if not held:
-                return
-            bound = plus @ np.array([b[2] for b in held]).T + minus @ np.array([b[3] for b in held]).T
-            order = np.argsort(-bound, axis=1, kind="stable")
-            live = np.arange(len(qids))
-            for step in range(len(held)):
-                nxt = order[live, step]
-                live_bound = bound[live, nxt]
-                go = live_bound >= best.score[live, -1]  # at an equal bound a smaller id may win
-                live, nxt = live[go], nxt[go]
-                for b in np.unique(nxt):
-                    rows = live[nxt == b]
-                    ids, m = held[b][:2]
-                    scores = q[rows] @ m.T
-                    scores[qids[rows, None] == ids[None, :]] = -np.inf
-                    best.add(rows, scores, ids)
-            held.clear()
-
+        ids, q, floor = queries.value
+        slices = [_Slice(ids[a : a + SLICE], q[a : a + SLICE], floor[a : a + SLICE], k) for a in range(0, len(ids), SLICE)]
+        held = []
         for block in _blocks(batches, q.shape[1]):
             held.append(block)
             if len(held) >= HELD:
-                walk()
-        walk()
-        row, col = np.nonzero(np.isfinite(best.score))
-        yield pa.record_batch([pa.array(qids[row]), pa.array(best.ids[row, col]), pa.array(best.score[row, col].astype(np.int64))], ["query_id", "vec_id", "score"])
+                for s in slices:
+                    s.walk(held)
+                held.clear()
+        for s in slices:
+            if held:
+                s.walk(held)
+            yield s.found()
+
+    return run
+
+
+def _floors(first, k: int):
+    """Rows (vec_id, v) with the k-th score among the first vectors, their own id aside."""
+
+    def run(batches):
+        ids, m = first.value
+        for batch in batches:
+            qids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), m.shape[1])
+            floor = np.full(len(qids), -np.inf)
+            for a in range(0, len(qids) if len(ids) >= k else 0, SLICE):
+                scores = q[a : a + SLICE] @ m.T
+                scores[qids[a : a + SLICE, None] == ids[None, :]] = -np.inf
+                floor[a : a + SLICE] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(floor)], ["vec_id", "v", "floor"])
 
     return run
 
 
+_FOUND = "query_id long, rank int, vec_id long, score long"
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of base for each row of queries (both from
     `vectors`)."""
     spark = base.sparkSession
-    base, queries = durable(base), durable(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    base = durable(base)
     size = base.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
     dims, top = size.dims or 0, size.top or 0.0
     if dims * top * top >= 1 << 53:
         raise ValueError(f"components up to {top:.0f} in {dims} dimensions: products are whole only below 2**53")
-    n = queries.count()
-    out, batches = None, -(-2 * n // QUERIES)  # half full on average: by a hash, so none is over QUERIES
-    for i in range(batches if dims else 0):
-        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == i).toArrow()
-        shared = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("v").combine_chunks(), dims)))
+    if not dims:
+        return spark.createDataFrame([], _FOUND)
+
+    def sent(rows: DataFrame, *more: str):
+        got = rows.toArrow()
+        column = lambda c: got.column(c).combine_chunks()
+        return spark.sparkContext.broadcast((column("vec_id").to_numpy(), _matrix(column("v"), dims), *(column(c).to_numpy() for c in more)))
+
+    single = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = durable(single.mapInArrow(_floors(sent(base.limit(FIRST)), k), "vec_id long, v array<long>, floor double"))
+    batches = -(-2 * queries.count() // QUERIES)  # half full on average: by a hash, so none is over QUERIES
+    if not batches:
+        return spark.createDataFrame([], _FOUND)
+    by, path = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), fresh(spark)
+    for i in range(batches):
+        shared = sent(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == i), "floor")
         found = base.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.select("query_id", F.row_number().over(by).alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        best.select("query_id", F.col("rank").cast("int"), "vec_id", "score").write.parquet(f"{path}/batch={i}")
+        shared.unpersist()
+    return spark.read.schema(_FOUND).parquet(path).select("query_id", "rank", "vec_id", "score")
 
 
 def every_50th(embeddings: DataFrame) -> DataFrame:

@@ -211,9 +211,12 @@ def test_automaton_equals_edit_distance():
         assert m.match(w) == (min(near)[::-1] if near else None), w
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("queries, first", [(1 << 16, 2048), (6, 4), (6, 40)])
+def test_topk(spark, monkeypatch, queries, first):
     import random
 
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    monkeypatch.setattr(topk, "FIRST", first)
     r = random.Random(1)
     rows_ = [(i, [r.choice([0.0, 0.1, -0.3, r.uniform(-1, 1)]) for _ in range(6)]) for i in range(700)] + [(700, None), (701, [float("nan")] * 6), (702, [None] * 6), (None, [0.1] * 6)]
     e = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
