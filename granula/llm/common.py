@@ -233,6 +233,27 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return safe.select("row.*").union(other.join(ids, "doc_id", "left_anti").select("row.*"))
 
 
+#: Rows of a key up to which they may meet in one task, and most keys that may have more.
+HOT_ROWS, HOT_KEYS = 256, 50_000
+
+
+def hot_rows(total: int) -> int:
+    """The rows above which a key of a table of so many rows is hot: at most HOT_KEYS keys are."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with found, which has one row for each key and, as size, its number of rows.
+
+    What found has of hot keys, HOT_KEYS rows at most, is broadcast, so no task gets all rows of one
+    key. Both tables are read more than once: they should be durable.
+    """
+    most = hot_rows(rows.count())
+    hot = F.broadcast(found.where(F.col(size) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(size) <= most), key)
+    return cold.union(rows.join(hot, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is its component's smallest node.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, WS, by_ids, durable, mix, partitions
+from granula.llm.common import U64, WS, by_ids, durable, join_hot, mix, partitions
 
 #: Bits per digest still without a slot, at each level.
 GAMMA = 2
@@ -146,8 +146,8 @@ def dedup(docs: DataFrame, is_history) -> DataFrame:
     new batch. The result does not depend on where that line is drawn.
     """
     rows = durable(digests(docs).withColumn("old", F.coalesce(is_history, F.lit(False))))
-    found = groups(rows.where("old"), rows.where("not old"))
-    return rows.join(found, "sha").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    found = durable(groups(rows.where("old"), rows.where("not old")))
+    return join_hot(rows, found, "sha", "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def history_half() -> F.Column:
