@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, chunks, components, durable, id_bits, mix, only_bits, partitions, pow2, range_hash, texts, with_bit, without_ids
+from granula.llm.common import U64, chunks, components, durable, id_bits, join_hot, mix, only_bits, partitions, pow2, range_hash, texts, with_bit, without_ids
 
 N = 5
 SLOTS, BLOCKS = 1 << 20, 64
@@ -225,7 +225,7 @@ def _lists(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     parts = partitions(docs)
     rows = durable(source.mapInArrow(_first_pass, "doc_id long, n long, k long, sig array<long>, block int, counts binary"))
     members = rows.where("block is null").select("doc_id", "n", "k", "sig")
-    classes = durable(members.where("n > 0").groupBy("k").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("k", F.col("c.doc_id").alias("rep"), "c.n", "c.sig"))
+    classes = durable(members.where("n > 0").groupBy("k").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c"), F.count("*").alias("size")).select("k", F.col("c.doc_id").alias("rep"), "c.n", "c.sig", "size"))
     members = members.drop("sig")
     counts = spark.sparkContext.broadcast(_frequencies(rows))
     by_list, in_list = F.expr(f"shiftright(x, {POS_BITS})"), "over (partition by h)"
@@ -279,7 +279,15 @@ def link_counts(docs: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a"))
     far = both.join(sizes.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.sum("size").alias("far"))
     per = sizes.join(far, "k", "left").select("k", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    return members.join(per, "k", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    per = durable(per.join(classes.select("k", "size"), "k"))
+    linked = join_hot(members.where("n > 0"), per, "k", "size").select("doc_id", F.col("n_links").cast("long").alias("n_links"))
+    return linked.union(members.where("n = 0").select("doc_id", F.lit(0).cast("long")))
+
+
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, rep, size, root) of each class: its first document, its rows and its component."""
+    found = classes.select("k", "rep", "size").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return durable(found.select("k", "rep", "size", F.coalesce("root", "rep").alias("root")))
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,22 +295,28 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of docs; links (u, v) between class ids (a class: documents with equal sets): not all, but those
     that hold the components together."""
     source, members, classes, lists = _lists(docs)
-    in_list = "over (partition by h)"
     first = durable(lists.where("k != pk").where(_may_link("", "p")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b")).distinct())
     links = _verify(first, classes, source)
-    roots = components(links)
+    comp = _rooted(classes, components(links))
 
     # What is left: members outside their pivot's component, against other components in the list.
-    comp = classes.select("k", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("root", "rep").alias("c"))
-    # In a list of two the pivot has met the other.
-    mixed = lists.where("m > 2").select("h", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot")).join(comp, "k")
-    mixed = mixed.selectExpr("*", f"max(struct(pivot, c)) {in_list}.c as pc", f"min(c) {in_list} as c0", f"max(c) {in_list} as c1").where("c0 != c1").drop("c0", "c1")
+    # In a list of two the pivot has met the other. Lists are summed up in parts: members of a long one don't meet in a task.
+    listed = lists.where("m > 2").select("h", "m", "k", "n", "pos", "shared", (F.col("k") == F.col("pk")).alias("pivot"))
+    parts = listed.select("h", "m", "k", "pivot").join(comp.select("k", F.col("root").alias("c")), "k").groupBy("h", "m", "c").agg(F.max("pivot").alias("pivot"), F.count("*").alias("size"))
+    mixed = parts.groupBy("h", "m").agg(F.max(F.struct("pivot", "c", "size")).alias("p")).where("p.size < m")
+    in_block = f"cast(pmod(xxhash64(k), ceil(m / {BLOCK_SETS})) as int)"
+    blocks = "cast(ceil({} / %d) as int)" % BLOCK_SETS
+    mixed = durable(mixed.selectExpr("h", "p.c as pc", f"{blocks.format('m')} as blocks", f"{blocks.format('(m - p.size)')} as odd_blocks"))
+    few = F.broadcast if mixed.count() <= BROADCAST_PAIRS else lambda x: x
+    spread = mixed.selectExpr("h", "pc", "blocks", "odd_blocks", "explode(sequence(0, blocks - 1)) as block")
     # Lists with one component hold no pair in question; so the shingles before are those of these.
-    tagged = durable(mixed.selectExpr("*", _PREV))
-    odd = tagged.where("c != pc")
+    rest = listed.withColumn("block", F.expr(in_block)).join(few(spread), ["h", "block"]).join(comp.select("k", F.col("root").alias("c")), "k")
+    tagged = durable(rest.selectExpr("*", _PREV))
+    odd_block = F.expr("cast(pmod(xxhash64(k, 1), odd_blocks) as int)").alias("b1")
+    odd = tagged.where("c != pc").select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")), odd_block, F.expr("explode(sequence(0, blocks - 1))").alias("b2"))
+    others = tagged.where("not pivot").select("h", "k", "n", "pos", "shared", "prev", "c", "pc", F.col("block").alias("b2"), F.expr("explode(sequence(0, odd_blocks - 1))").alias("b1"))
     more = (
-        odd.select("h", *(F.col(x).alias(f"o{x}") for x in ("k", "n", "pos", "shared", "prev", "c")))
-        .join(tagged.where("not pivot").select("h", "k", "n", "pos", "shared", "prev", "c", "pc"), "h")
+        odd.join(others, ["h", "b1", "b2"])
         .where(F.col("c") != F.col("oc"))
         .where(~F.arrays_overlap("prev", "oprev"))  # else they meet in that list
         .where(((F.col("c") == F.col("pc")) | (F.col("k") > F.col("ok"))) & _may_link("", "o"))
@@ -312,12 +326,10 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = durable(more.join(first, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = durable(links.union(_verify(more, classes, source)))
-        roots = components(links)
-    out = (
-        members.join(classes.select("k", "rep"), "k", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    )
+        comp = _rooted(classes, components(links))
+    names = ["doc_id", "n_shingles", "class_id", "component_id"]
+    out = join_hot(members.where("n > 0"), comp, "k", "size").select("doc_id", "n", "rep", "root").toDF(*names)
+    out = out.union(members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
     return out, links.select("u", "v")
 
 
