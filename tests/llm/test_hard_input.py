@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from granula.llm import bpe, exact, jaccard, langid, lines, mixing, preference, substring, topk, toxicity
+from granula.llm import bpe, common, exact, jaccard, langid, lines, mixing, preference, substring, topk, toxicity
 from granula.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,6 +130,29 @@ def test_exact_and_jaccard_of_hard_tables(spark):
     assert exact.keep_one(d).columns == d.columns and jaccard.keep_one(d).columns == d.columns
 
 
+def test_hot_keys_and_lists_in_blocks_change_nothing(spark, monkeypatch):
+    """Groups of over two rows count as hot, lists meet in blocks of two sets; against brute force."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    shared = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{shared} {' '.join(f'w{i // 4}x{j}' for j in range(9))} e{i % 3}") for i in range(36)] + [(100 + i, "a b c d e f g") for i in range(7)] + [(200 + i, "") for i in range(4)]
+    rows += [(300 + o, " ".join(f"s{j}" for j in range(o, o + 30))) for o in (0, 1, 2, 6, 7, 8, 12, 13, 14)]  # lists that several components share
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := x.split()) else set() for i, x in rows}
+    near = {u: [v for v in sets if sets[u] & sets[v] and 4 * len(sets[u] & sets[v]) >= 3 * len(sets[u] | sets[v])] for u in sets}
+    root, before = {i: i for i in sets}, None
+    while root != before:
+        before, root = root, {u: min([root[u], *(root[v] for v in near[u])]) for u in sets}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(table)[0].collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(table).collect()} == {u: len(set(near[u]) - {u}) for u in sets}
+    want = {}
+    for i, x in rows:
+        want.setdefault(x, []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.dedup(table, exact.history_half()).collect()}
+    assert got == {i: (min(want[x]), len(want[x])) for i, x in rows}
+
+
 def test_bpe_of_hard_tables(spark):
     from tokenizers import Tokenizer
 
