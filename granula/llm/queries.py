@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granula.llm import baskets, bpe, exact, jaccard, langid, lines, mixing, preference, substring, topk, toxicity
+from granula.llm import baskets, bpe, codes, exact, jaccard, langid, lines, mixing, preference, quality, substring, topk, toxicity
 from granula.llm.common import WS
 
 
@@ -69,11 +69,19 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_quality(spark, sf_dir):
+    return quality.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_itemsets(spark, sf_dir):
     return baskets.itemsets(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op4_ngram_jaccard_links, op5_substring_dedup, op6_line_dedup, op6_line_dedup_words, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity, op13_itemsets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_bpe, op4_ngram_jaccard, op4_ngram_jaccard_links, op5_substring_dedup, op6_line_dedup, op6_line_dedup_words, op7_exact_dedup, op8_topk_search, op9_preference, op10_toxicity, op11_vector_codes, op12_quality, op13_itemsets)}
 
 _WORDS = rf"regexp_extract_all(coalesce(text, ''), '[^{WS}]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,5 +127,6 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """,
     "op8_topk_search": topk.ORACLE,
     "op9_preference": preference.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
     "op13_itemsets": baskets.ORACLE,
 }
