@@ -144,13 +144,17 @@ def remove(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None =
     starts = repeated(docs, min_lines)
     if min_words is not None:
         starts = starts.union(repeated_words(docs, min_words))
-    gone = starts.groupBy("doc_id", "th", "i").agg(F.max("m").alias("m")).groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "m")).alias("at"))
+    # A start covers its lines up to the next start, as far as any start up to it reaches: no line twice.
+    starts = starts.groupBy("doc_id", "th", "i").agg(F.max(F.col("i") + F.col("m")).alias("end"))
+    order = Window.partitionBy("doc_id", "th").orderBy("i")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    starts = starts.select("doc_id", "th", "i", F.least(reach, F.lead("i").over(order)).alias("end"))
+    gone = starts.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("i", "end"))).alias("at"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
     # The lines that go, as one mark each; marks of a whole text make the test of a line cheap.
     rows = rows.join(gone, ["doc_id", "th"], "left").withColumn("l", F.split("text", "\n", -1))
-    covered = F.expr("array_distinct(flatten(transform(at, a -> sequence(a.i, a.i + a.m - 1))))")
-    rows = rows.withColumn("cut", F.when(F.col("at").isNotNull(), F.sort_array(covered)))
+    rows = rows.withColumn("cut", F.expr("flatten(transform(at, a -> sequence(a.i, a.end - 1)))"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(l) - 1), cut), j -> l[j]), '\n')")
     return rows.select(
         "doc_id", F.size("l").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).alias("n_cut"), F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept).alias("kept")
