@@ -155,8 +155,10 @@ _FOUND = "query_id long, rank int, vec_id long, score long"
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of base for each row of queries (both from
-    `vectors`)."""
+    """query_id, rank, vec_id, score: the k best of base for each vec_id of queries (both from `vectors`).
+
+    Rows are searched as rows; what the rows of one vec_id find is ranked together, a row that is
+    there twice counting twice."""
     spark = base.sparkSession
     base = durable(base)
     size = base.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
@@ -171,19 +173,21 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         column = lambda c: got.column(c).combine_chunks()
         return spark.sparkContext.broadcast((column("vec_id").to_numpy(), _matrix(column("v"), dims), *(column(c).to_numpy() for c in more)))
 
-    single = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = durable(single.mapInArrow(_floors(sent(base.limit(FIRST)), k), "vec_id long, v array<long>, floor double"))
+    # Of equal rows k can be among the k best. Different rows of one id may go in different batches.
+    times = queries.groupBy("vec_id", "v").agg(F.count("*").cast("int").alias("times")).withColumn("th", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
+    queries = durable(times.select("vec_id", "v").mapInArrow(_floors(sent(base.limit(FIRST)), k), "vec_id long, v array<long>, floor double"))
     batches = -(-2 * queries.count() // QUERIES)  # half full on average: by a hash, so none is over QUERIES
     if not batches:
         return spark.createDataFrame([], _FOUND)
     by, path = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), fresh(spark)
+    best = lambda found: found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k)
     for i in range(batches):
-        shared = sent(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == i), "floor")
+        shared = sent(queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(batches)) == i), "floor")
         found = base.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long")
-        best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        best.select("query_id", F.col("rank").cast("int"), "vec_id", "score").write.parquet(f"{path}/batch={i}")
+        best(found).select("query_id", "rank", "vec_id", "score").write.parquet(f"{path}/batch={i}")
         shared.unpersist()
-    return spark.read.schema(_FOUND).parquet(path).select("query_id", "rank", "vec_id", "score")
+    got = spark.read.schema(_FOUND).parquet(path).select("query_id", "rank", "vec_id", "score")
+    return got if batches == 1 else best(got)
 
 
 def every_50th(embeddings: DataFrame) -> DataFrame:
