@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -44,6 +45,7 @@ ADDRESS = frozenset("you your youre u ur tu vous du ihr sie usted".split())
 _ALIKE = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[\w@$!]*[^\W_][\w@$]*")
 _OPEN = re.compile("[\"“”„«»]")
+_BREAK = re.compile("\n")
 
 
 def held_out() -> F.Column:
@@ -166,14 +168,15 @@ class Scorer:
         total = 0.0
         quotes = [m.start() for m in _OPEN.finditer(text)]
         spans = [m.start() for m in _WORD.finditer(text)] if quotes else None
+        breaks = [-1, *(m.start() for m in _BREAK.finditer(text))] if quotes else []
         for i, w in enumerate(weights):
             if w:
                 before = words[max(0, i - WINDOW) : i]
                 near = before[-3:]
                 open_ = False
                 if spans:
-                    line = text.rfind("\n", 0, spans[i]) + 1
-                    open_ = sum(line <= q < spans[i] for q in quotes) % 2 == 1
+                    line = breaks[bisect_left(breaks, spans[i]) - 1]
+                    open_ = (bisect_left(quotes, spans[i]) - bisect_left(quotes, line)) % 2 == 1
                 if open_ or not SAYING.isdisjoint(near):
                     w *= QUOTED
                 elif not ADDRESS.isdisjoint(before):
@@ -196,8 +199,7 @@ def _distinct(batches):
         sums: dict[tuple[int, str], int] = {}
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             for w in {x.translate(_ALIKE) for x in _WORD.findall((text.as_py() or "").lower())}:
-                if 3 <= len(w) <= 40:
-                    sums[toxic, w] = sums.get((toxic, w), 0) + 1
+                sums[toxic, w] = sums.get((toxic, w), 0) + 1
         yield pa.record_batch([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["toxic", "word", "n"])
 
 
