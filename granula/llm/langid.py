@@ -48,24 +48,30 @@ def _fold() -> np.ndarray:
     return out
 
 
-def _buckets(text: str) -> np.ndarray:
-    """Buckets of the n-grams of one part of a text, in any order."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = np.zeros(len(points) + 2, np.uint32)
-    x[1:-1] = _fold()[np.minimum(points, _TOP)]
+def _buckets(tail: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that end in new letters, which stand after tail; and the new tail."""
+    t, x = len(tail), np.concatenate([tail, new])
     keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] > 0) | (x[:-1] > 0)  # one space between words
-    x = x[keep].astype(U64)
+    keep[t:] = (x[t:] > 0) | (x[t - 1 : -1] > 0)  # one space between words
+    x = x[keep]
+    last, x = x[-2:], x.astype(U64)
     one = x * _SALT[0]
     two = one[:-1] + x[1:] * _SALT[1]
     three = two[:-1] + x[2:] * _SALT[2]
-    found = [one[x > 0], two[(x[:-1] > 0) | (x[1:] > 0)], three[x[1:-1] > 0]]
-    return (mix(np.concatenate([g + _SALT[3] * U64(n) for n, g in enumerate(found)])) & U64(BUCKETS - 1)).astype(np.int32)
+    found = [one[t:][x[t:] > 0], two[t - 1 :][(x[t - 1 : -1] > 0) | (x[t:] > 0)], three[max(t - 2, 0) :][x[max(t - 2, 0) + 1 : -1] > 0]]
+    return (mix(np.concatenate([g + _SALT[3] * U64(n) for n, g in enumerate(found)])) & U64(BUCKETS - 1)).astype(np.int32), last
 
 
 def _parts(text: str):
+    """Buckets of all n-grams of a text, which has a space at either end, part by part."""
+    tail = np.zeros(1, np.uint32)
     for a in range(0, len(text), _PART):
-        yield _buckets(text[a : a + _PART])
+        points = np.frombuffer(text[a : a + _PART].encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = _fold()[np.minimum(points, _TOP)]
+        if a + _PART >= len(text):
+            new = np.append(new, np.uint32(0))
+        found, tail = _buckets(tail, new)
+        yield found
 
 
 def held_out() -> F.Column:
