@@ -370,4 +370,4 @@ def flagship(spark, sf_dir):
     return pipelines.confusion(io.load(spark, sf_dir), pipelines.CONFIGS["ellipsoid_dpc"])
 
 
-from granula.plans import more  # noqa: E402, F401  its queries are added to ALL
+from granula.plans import graphs, more  # noqa: E402, F401  their queries are added to ALL
