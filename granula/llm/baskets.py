@@ -15,7 +15,7 @@ still reach the least support (what lacks is at most the long baskets of the can
 the long ones, item by item. This is exact whatever the lengths.
 
 Nothing that grows is broadcast or fetched: joins are sort-merge joins; of keys with more than
-1 / HOT_PARTS of the rows, at most HOT_PARTS, the rows are salted, and that list alone is broadcast.
+1 / 512 of the rows, at most 512, the rows are salted, and that list alone is broadcast.
 
 A rule takes one item c from a closed set Q; a is the support of the rest. The closure of the rest lies
 between the rest and Q, so it is the rest itself, then in the result, or Q, with Q's support: one join.
@@ -26,29 +26,13 @@ lines count once; without baskets or frequent items the result is empty. Other c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.functions.joins import merge, spread
 from granula.functions.state import durable, fresh, scratch
 
 MIN_SUPPORT, PER_BASKETS = 12, 10_000
-HOT_PARTS, SALTS = 512, 64
-
-
-def merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    return left.join(right.hint("merge"), on, how)
-
-
-def spread(rows: DataFrame, found: DataFrame, keys: list[str], size: str, by: Column, total: int) -> DataFrame:
-    """rows joined with found, which has one row for each key and, as size, its number of rows, of total.
-
-    Rows of hot keys are dealt out by `by`; found's rows of these keys go to each of the SALTS parts.
-    """
-    is_hot = F.col(size) > max(total // HOT_PARTS, 1000)
-    hot = F.broadcast(found.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
-    rows = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
-    found = found.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
-    return merge(rows, found, [*keys, "_salt"]).drop("_salt")
 
 
 def baskets_of(lines: DataFrame) -> DataFrame:
@@ -93,11 +77,13 @@ def closed_itemsets(pairs: DataFrame, least: int, total: int) -> DataFrame:
     first = items.where(F.col("s") < total).select(F.col("item_id").alias("cid"), F.struct("s", F.col("item_id").alias("item")).alias("core"), F.col("s").alias("sup"))
     cand = durable(merge(first, in_big, "cid", "left").select("cid", root.alias("parent"), "core", "sup", F.coalesce("sup_big", F.lit(0).cast("long")).alias("sup_big")))
     one = lambda t: t.where(F.col("y.s") < total).select("sale_id", F.col("y.item").alias("cid"), F.col("y.s").alias("sup"))
-    occ, occ_big = one(small.select("sale_id", F.explode("items").alias("y"))), one(big).select("sale_id", "cid")
+    occ_big = one(big).select("sale_id", "cid")
+    # The occurrences of single items are the baskets' own rows: there the join is with the row itself.
+    held = small.select("sale_id", "items", F.explode("items").alias("y")).where(F.col("y.s") < total).select("sale_id", "items", F.col("y.item").alias("cid"), F.col("y.s").alias("sup"))
 
     while True:
         # Items that are rarer than the candidate cannot be absorbed, and are before its core.
-        joined = merge(occ, small, "sale_id").select("cid", "sale_id", "sup", F.explode(F.expr("filter(items, y -> y.s >= sup)")).alias("y"))
+        joined = held.select("cid", "sale_id", "sup", F.explode(F.expr("filter(items, y -> y.s >= sup)")).alias("y"))
         counts = joined.groupBy("cid", "y").agg(F.count("*").alias("n"))
         counts = durable(merge(counts, cand.select("cid", "core", "sup", "sup_big"), "cid").where(F.col("n") + F.col("sup_big") >= least).where((F.col("y") > F.col("core")) | (F.col("n") + F.col("sup_big") >= F.col("sup"))))
         asked = merge(counts.where("sup_big > 0").select("cid", "y"), occ_big, "cid")
@@ -118,6 +104,7 @@ def closed_itemsets(pairs: DataFrame, least: int, total: int) -> DataFrame:
         onward = spread(joined.drop("sup"), grown.select("cid", "y", "n", "new", "total"), ["cid", "y"], "n", F.col("sale_id"), size["n"])
         occ = durable(onward.select("sale_id", F.col("new").alias("cid"), F.col("total").alias("sup")))
         asked = merge(grown.where("n_big > 0").select("cid", "y", "new"), occ_big, "cid")
+        held = merge(occ, small, "sale_id")
         occ_big = durable(merge(asked, big, ["sale_id", "y"]).select("sale_id", F.col("new").alias("cid")))
         cand = grown.select(F.col("new").alias("cid"), "parent", F.col("y").alias("core"), F.col("total").alias("sup"), F.col("n_big").alias("sup_big"))
     got = out[0]
