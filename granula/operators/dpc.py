@@ -225,8 +225,9 @@ def relative_drop(dpc: DataFrame, least: int = 2) -> DataFrame:
     return r.agg(F.max(F.struct(F.round("drop", 12).alias("drop"), (-F.col("pick")).alias("n"))).alias("b")).select((-F.col("b.n")).alias("k"), F.col("b.drop").alias("drop"))
 
 
-def natural_gamma(dpc: DataFrame, prominence: DataFrame, ws: float = 0.5, wp: float = 0.5) -> DataFrame:
-    """gamma * exp(ws * clip((rho - median) / MAD, -2, 2) + wp * prominence)."""
-    med = dpc.agg(F.median("rho").alias("mid"))
-    dev = dpc.crossJoin(F.broadcast(med)).agg(F.first("mid").alias("mid"), F.median(F.abs(F.col("rho") - F.col("mid"))).alias("mad"))
-    return dpc.join(prominence, "g").crossJoin(F.broadcast(dev)).withColumn("gamma", F.expr(f"gamma * exp({ws} * least(2, greatest(-2, (rho - mid) / greatest(mad, 1e-12))) + {wp} * prominence)")).select("g", "gamma")
+def natural_gamma(dpc: DataFrame, prominence: DataFrame, support: DataFrame, ws: float = 0.5, wp: float = 0.5) -> DataFrame:
+    """gamma * exp(ws * clip((support - median) / MAD, -2, 2) + wp * prominence); support: `natural.support`."""
+    med = support.agg(F.median("support").alias("mid"))
+    dev = support.crossJoin(F.broadcast(med)).agg(F.first("mid").alias("mid"), F.median(F.abs(F.col("support") - F.col("mid"))).alias("mad"))
+    both = dpc.join(prominence, "g").join(support, "g").crossJoin(F.broadcast(dev))
+    return both.withColumn("gamma", F.expr(f"gamma * exp({ws} * least(2, greatest(-2, (support - mid) / (mad + 1e-12))) + {wp} * prominence)")).select("g", "gamma")

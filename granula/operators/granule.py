@@ -50,10 +50,12 @@ def granules(points: DataFrame, eps: float = EPS) -> DataFrame:
 
 
 def penalised(g: DataFrame, small: int = 4) -> DataFrame:
-    """Degenerate granules keep 1/20 of their density, small ones 1/5 and at most their size."""
-    flat = F.col("l2") <= 1e-3 * F.col("l1")
-    d = F.col("density") * F.when(flat, 0.05).otherwise(1.0) * F.when(F.col("n") < small, 0.2).otherwise(1.0)
-    return g.withColumn("degenerate", flat).withColumn("penalised", F.when(F.col("n") < small, F.least(d, F.greatest(F.lit(1.0), F.col("n").cast("double")))).otherwise(d))
+    """The density of a small granule counts at most its size; then small granules keep 1/5 and degenerate
+    ones, whose points are all the same, 1/20."""
+    flat = (F.col("n") <= 1) | (F.col("a") + F.col("c") <= 2 * EPS + TINY)
+    few = F.col("n") < small
+    d = F.when(few, F.least("density", F.greatest(F.lit(1.0), F.col("n").cast("double")))).otherwise(F.col("density"))
+    return g.withColumn("degenerate", flat).withColumn("penalised", d * F.when(flat, 0.05).otherwise(1.0) * F.when(few, 0.2).otherwise(1.0))
 
 
 def endpoints(points: DataFrame) -> DataFrame:

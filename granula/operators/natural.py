@@ -68,6 +68,13 @@ def occurrence(knn: DataFrame, lam: int) -> DataFrame:
     return all_.join(seen, "g", "left").select("g", (F.coalesce("c", F.lit(0)) / (F.col("m") * lam)).alias("occurrence"))
 
 
+def support(e: DataFrame, g: DataFrame) -> DataFrame:
+    """g, support: how many neighbour lists a granule is in, over the median of those in any; at most 3."""
+    seen = e.groupBy(F.col("j").alias("g")).agg(F.count("*").alias("c"))
+    mid = seen.agg(F.greatest(F.coalesce(F.median("c"), F.lit(1.0)), F.lit(1e-12)).alias("mid"))
+    return g.select("g").join(seen, "g", "left").crossJoin(F.broadcast(mid)).select("g", F.least(F.lit(3.0), F.coalesce("c", F.lit(0)) / F.col("mid")).alias("support"))
+
+
 def radii(e: DataFrame) -> DataFrame:
     """g, degree, radius (largest neighbour distance) and scale (median positive one)."""
     return e.groupBy(F.col("i").alias("g")).agg(F.count("*").alias("degree"), F.max("d").alias("radius"), F.greatest(F.coalesce(F.median(F.when(F.col("d") > 0, F.col("d"))), F.lit(1e-12)), F.lit(1e-12)).alias("scale"))
@@ -108,15 +115,21 @@ def hybrid_density(g: DataFrame, structural: DataFrame, alpha: float | None = No
     return both.select("g", F.expr("a * u + (1 - a) * v + 1e-12 * g").alias("hybrid"))
 
 
-def weighted_density(e: DataFrame, g: DataFrame, weights=(0.55, 0.25, 0.20)) -> DataFrame:
-    """g, weighted: own log density, the neighbours' mean by similarity and their ratio, each scaled
-    to its 5%-95% range, + 1e-12 * g."""
-    ld = g.select("g", F.log1p("density").alias("ld"))
-    sim = similarity(e, radii(e))
-    near = sim.join(ld.selectExpr("g as j", "ld as lj"), "j").groupBy(F.col("i").alias("g")).agg((F.sum(F.col("sim") * F.col("lj")) / F.greatest(F.sum("sim"), F.lit(1e-12))).alias("near"))
-    both = ld.join(near, "g").withColumn("rel", F.expr("ld / greatest(near, 1e-12)"))
-    own, nb, rel = (unit_scale(F.col(c)) for c in ("ld", "near", "rel"))
-    return both.select("g", (weights[0] * own + weights[1] * nb + weights[2] * rel + 1e-12 * F.col("g")).alias("weighted"))
+def weighted_density(e: DataFrame, g: DataFrame, occurrence: DataFrame, weights=(0.55, 0.25, 0.20), powers=(0.5, 0.5), rank_weight: float = 0.5) -> DataFrame:
+    """g, weighted: the weighted mean of three parts, + 1e-12 * g. Own: log density, scaled to its 5%-95%
+    range. Neighbours': log of the sum of similarity * occurrence ** powers[0] * log size ** powers[1] *
+    (1 + their own part) / 2. Relative: log of the density over the median of the neighbours'. The
+    last two are scaled likewise; without neighbours they come from 0 and 1."""
+    w = [x / sum(weights) for x in weights]
+    own = g.select("g", "n", "density", unit_scale(F.log1p(F.greatest("density", F.lit(0.0)))).alias("own"))
+    side = own.join(occurrence, "g", "left").select(
+        F.col("g").alias("j"), F.col("density").alias("dj"),
+        (F.pow(F.greatest(F.coalesce("occurrence", F.lit(0.0)), F.lit(1e-12)), powers[0]) * F.pow(F.log1p("n"), powers[1]) * (0.5 + 0.5 * F.col("own"))).alias("weight"),
+    )
+    per = similarity(e, radii(e), rank_weight).join(side, "j").groupBy(F.col("i").alias("g")).agg(F.sum(F.col("sim") * F.col("weight")).alias("near"), F.median("dj").alias("mid"))
+    both = own.join(per, "g", "left").withColumn("near", F.coalesce("near", F.lit(0.0))).withColumn("rel", F.coalesce(F.col("density") / (F.col("mid") + 1e-12), F.lit(1.0)))
+    near, rel = (unit_scale(F.log1p(F.greatest(c, F.lit(0.0)))) for c in ("near", "rel"))
+    return both.select("g", (w[0] * F.col("own") + w[1] * near + w[2] * rel + 1e-12 * F.col("g")).alias("weighted"))
 
 
 def prominence(e: DataFrame, g: DataFrame) -> DataFrame:
@@ -136,13 +149,18 @@ def membership(e: DataFrame, labels: DataFrame, occ: DataFrame) -> DataFrame:
     return both.groupBy(F.col("i").alias("g"), "label").agg(F.sum(F.expr("w / wj * w * occurrence / greatest(o, 1e-12)")).alias("membership"))
 
 
-def ambiguous(e: DataFrame, labels: DataFrame, dpc: DataFrame, factor: float = 1.5) -> DataFrame:
-    """g with flags: mixed (neighbours of several labels), wide (radius over median + factor * MAD),
-    far (delta likewise), ambiguous (any)."""
-    mixed = e.join(labels.selectExpr("g as j", "label"), "j").groupBy(F.col("i").alias("g")).agg((F.min("label") != F.max("label")).alias("mixed"), F.max("d").alias("radius"))
-    t = mixed.join(dpc.select("g", "delta"), "g")
-    med = t.agg(F.median("radius").alias("rm"), F.median("delta").alias("dm"))
-    t = t.crossJoin(F.broadcast(med))
-    dev = t.agg(F.median(F.expr("abs(radius - rm)")).alias("rd"), F.median(F.expr("abs(delta - dm)")).alias("dd"))
-    t = t.crossJoin(F.broadcast(dev)).selectExpr("g", "mixed", f"radius > rm + {factor} * rd as wide", f"delta > dm + {factor} * dd as far")
-    return t.withColumn("ambiguous", F.expr("mixed or wide or far"))
+def ambiguous(e: DataFrame, labels: DataFrame, dpc: DataFrame, factor: float = 1.5, share: float = 0.70) -> DataFrame:
+    """g with flags: open (no label), weak (a confidence over 0 and under share), mixed (neighbours of several
+    labels), wide (radius over the limit), far (the nearest denser granule over the limit), ambiguous (any).
+
+    labels: g, label and maybe confidence. The limit is the median of the positive radii and factor
+    times their median deviation from it; without any nothing is over it.
+    """
+    sure = F.col("confidence") if "confidence" in labels.columns else F.lit(1.0)
+    own = labels.select("g", F.col("label").isNull().alias("open"), F.coalesce((sure > 0) & (sure < share), F.lit(False)).alias("weak"))
+    near = e.join(labels.selectExpr("g as j", "label"), "j").groupBy(F.col("i").alias("g")).agg(F.coalesce(F.min("label") != F.max("label"), F.lit(False)).alias("mixed"), F.max("d").alias("radius"))
+    t = own.join(near, "g", "left").join(dpc.select("g", "delta", "parent"), "g")
+    mid = near.where("radius > 0").agg(F.median("radius").alias("mid"))
+    limit = near.where("radius > 0").crossJoin(F.broadcast(mid)).agg(F.coalesce(F.first("mid") + factor * F.median(F.abs(F.col("radius") - F.col("mid"))), F.lit(float("inf"))).alias("top"))
+    t = t.crossJoin(F.broadcast(limit)).selectExpr("g", "open", "weak", "not open and coalesce(mixed, false) as mixed", "not open and coalesce(radius > top, false) as wide", "not open and coalesce(parent is not null and delta > top, false) as far")
+    return t.withColumn("weak", F.expr("not open and weak")).withColumn("ambiguous", F.expr("open or weak or mixed or wide or far"))

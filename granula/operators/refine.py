@@ -118,9 +118,11 @@ def propose_weighted(dpc: DataFrame, labels: DataFrame, edges: DataFrame, occurr
 
 
 def propose_assisted(dpc: DataFrame, labels: DataFrame, edges: DataFrame, support: DataFrame, centres: DataFrame, pairs: DataFrame, mass: DataFrame, rules: Rules = RULES_C) -> DataFrame:
-    """C: as B with votes by nearness, ranks, support (g, support), size and density, at least two
+    """C: as B with votes by nearness, ranks, support (`natural.support`), size and log density, at least two
     neighbours, and the other cluster being closer as a signal in place of a wide scale."""
-    rho = dpc.select("g", "rho", unit_scale(F.col("rho")).alias("u"))
+    log = dpc.select("g", "rho", F.log1p(F.greatest("rho", F.lit(0.0))).alias("u"))
+    ends = log.agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    rho = log.crossJoin(F.broadcast(ends)).select("g", "rho", F.expr("if(hi > lo, (u - lo) / (hi - lo), 1D)").alias("u"))
     e = edges.join(rho.select(F.col("g").alias("i"), F.col("rho").alias("ri")), "i").join(rho.toDF("j", "rj", "u"), "j")
     e = e.join(support.toDF("j", "sup"), "j").join(mass.toDF("j", "n"), "j").join(labels.select(F.col("g").alias("j"), "label"), "j")
     e = e.withColumn("w", F.expr(f"1 / (1 + d) * (0.5 + 0.5 / (1 + r + s)) * (0.5 + 0.25 * least(sup, 2)) * sqrt(ln(1 + n)) * (0.5 + 0.5 * u) * if(rj > ri, 1, {rules.lower})"))

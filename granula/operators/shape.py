@@ -96,8 +96,9 @@ def granules(points: DataFrame, kind: str = "full", rank: int = 5, small: int =
     per = part.groupBy("g").agg(F.sqrt(F.max("top")).alias("rho"), F.sum("ms").alias("ms"))
     t = fitted.join(per, "g").withColumn("lengths", F.expr("transform(spectrum, e -> rho * sqrt(greatest(e, 1e-12)))"))
     t = t.withColumn("sum", F.expr("aggregate(lengths, 0D, (s, e) -> s + e)")).withColumn("density", F.expr("n * n / (greatest(sum, 1e-12) * greatest(ms, 1e-12))"))
-    weak = F.col("density") * F.when(F.col("flat"), 0.05).otherwise(1.0)
-    t = t.withColumn("penalised", F.when(F.col("n") < small, F.least(0.2 * weak, F.greatest(F.lit(1.0), F.col("n").cast("double")))).otherwise(weak))
+    few = F.col("n") < small
+    capped = F.when(few, F.least("density", F.greatest(F.lit(1.0), F.col("n").cast("double")))).otherwise(F.col("density"))
+    t = t.withColumn("penalised", capped * F.when(F.col("flat"), 0.05).otherwise(1.0) * F.when(few, 0.2).otherwise(1.0))
     return t.select("g", "n", "centre", "precision", "rho", "lengths", "density", "penalised", F.array_max("lengths").alias("outer"))
 
 

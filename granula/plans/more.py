@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granula.functions.state import durable
 from granula.operators import dpc, granule, labels, natural, refine, scale, score, shape, split
-from granula.plans.registry import BASE, K, LAMBDA, _no_null, query, r
+from granula.plans.registry import AMBIGUOUS, BASE, K, LAMBDA, _no_null, query, r
 from granula.sources import io
 
 
@@ -108,7 +108,7 @@ _STATS = _STATS.format(out=r("rho", "axes", "n * n / (greatest(axes, 1e-12) * gr
 _M2 = {
     "full": "q1 * q1 / (v1 + 1e-6) + q2 * q2 / (v2 + 1e-6) AS m2, v1 + 1e-6 AS s1, v2 + 1e-6 AS s2",
     "lowrank": "q1 * q1 / (v1 + 1e-6) + q2 * q2 / 1e-6 AS m2, v1 + 1e-6 AS s1, 1e-6 AS s2",
-    "adaptive": "q1 * q1 / (v1 + h + 1e-6) + q2 * q2 / (v2 + h + 1e-6) AS m2, v1 + h + 1e-6 AS s1, v2 + h + 1e-6 AS s2",
+    "adaptive": "q1 * q1 / greatest(v1 + h, 1e-6) + q2 * q2 / greatest(v2 + h, 1e-6) AS m2, greatest(v1 + h, 1e-6) AS s1, greatest(v2 + h, 1e-6) AS s2",
 }
 for _kind, _form in {"full": "full", "pinv": "full", "auto": "full", "lowrank": "lowrank", "adaptive": "adaptive"}.items():
     query(f"granule_fit_{_kind}", BASE + _EIG + f", fm AS (SELECT *, {_M2[_form]} FROM (SELECT *, 1e-6 * greatest((v1 + v2) / 2, 1) AS h FROM pj))" + _STATS)(
@@ -216,12 +216,14 @@ ou AS (SELECT al.*, CASE WHEN centre THEN 'centre' WHEN v IS NULL THEN 'alone' W
   WHEN isinf(there) OR there >= 0.98 * here THEN 'distance' ELSE 'changed' END AS outcome FROM al LEFT JOIN wd ON wd.g = al.g)"""
 _b = _kept("proposal_b")(lambda v: refine.propose_weighted(v.dp, v.la, v.ed, _occ(v), v.ce, v.pr, _mass(v)))
 query("propose_weighted", BASE + _B + _END)(_b)
-_C = f""", {_OC}, e3 AS (SELECT ed.i, la.label, 1 / (1 + d) * (0.5 + 0.5 / (1 + r + s)) * (0.5 + 0.25 * least(o, 2)) * sqrt(ln(1 + gr.n)) * (0.5 + 0.5 * {_RANGE}) * CASE WHEN b.rho > a.rho THEN 1 ELSE 0.3 END AS w
-  FROM ed JOIN dp a ON a.g = ed.i JOIN dp b ON b.g = ed.j JOIN oc3 ON oc3.g = ed.j JOIN gr ON gr.g = ed.j JOIN la ON la.g = ed.j),
+_LOGS = "(ln(1 + b.rho) - (SELECT ln(1 + min(rho)) FROM dp)) / (SELECT ln(1 + max(rho)) - ln(1 + min(rho)) FROM dp)"
+_SUP = "su0 AS (SELECT j AS g, count(*) AS seen FROM ed GROUP BY j), su1 AS (SELECT gr.g, least(3, coalesce(seen, 0) / (SELECT median(seen) FROM su0)) AS o FROM gr LEFT JOIN su0 ON su0.g = gr.g)"
+_C = f""", {_SUP}, e3 AS (SELECT ed.i, la.label, 1 / (1 + d) * (0.5 + 0.5 / (1 + r + s)) * (0.5 + 0.25 * least(o, 2)) * sqrt(ln(1 + gr.n)) * (0.5 + 0.5 * {_LOGS}) * CASE WHEN b.rho > a.rho THEN 1 ELSE 0.3 END AS w
+  FROM ed JOIN dp a ON a.g = ed.i JOIN dp b ON b.g = ed.j JOIN su1 ON su1.g = ed.j JOIN gr ON gr.g = ed.j JOIN la ON la.g = ed.j),
 vt AS (SELECT i AS g, label, sum(w) / sum(sum(w)) OVER (PARTITION BY i) AS v FROM e3 GROUP BY i, label), {_SIGN},
 ou AS (SELECT al.*, CASE WHEN centre THEN 'centre' WHEN v IS NULL OR degree < 2 THEN 'alone' WHEN mixed::INT + parted::INT + (same < 0.62)::INT + (NOT isinf(here) AND best <> old AND there < here)::INT < 2 THEN 'certain' WHEN best = old THEN 'same' WHEN v < 0.62 OR v - second < 0.15 THEN 'margin'
   WHEN isinf(there) OR (NOT isinf(here) AND there > 0.98 * here) THEN 'distance' ELSE 'changed' END AS outcome FROM al)"""
-query("propose_assisted", BASE + _C + _END)(lambda v: refine.propose_assisted(v.dp, v.la, v.ed, _occ(v).toDF("g", "support"), v.ce, v.pr, _mass(v)))
+query("propose_assisted", BASE + _C + _END)(lambda v: refine.propose_assisted(v.dp, v.la, v.ed, natural.support(v.ed, v.gr), v.ce, v.pr, _mass(v)))
 query("proposal_funnel", BASE + _A + "SELECT outcome, count(*) AS c FROM ou GROUP BY outcome")(lambda v: _a(v).groupBy("outcome").agg(F.count("*").alias("c")))
 
 
@@ -260,7 +262,7 @@ def _round(a: str, b: str) -> str:
 
 
 _ambiguous = lambda v: natural.ambiguous(v.ed, v.la, v.dp).where("ambiguous").select("g")
-_AMB = "az AS (SELECT i AS g, min(label) <> max(label) AS mixed, max(d) AS radius FROM ed JOIN la ON la.g = j GROUP BY i), ay AS (SELECT az.*, delta FROM az JOIN dp ON dp.g = az.g), am2 AS (SELECT median(radius) AS rm, median(delta) AS dm FROM ay), ak AS (SELECT rm, dm, median(abs(radius - rm)) AS rd, median(abs(delta - dm)) AS dd FROM ay, am2 GROUP BY rm, dm), ab AS (SELECT g FROM ay, ak WHERE mixed OR radius > rm + 1.5 * rd OR delta > dm + 1.5 * dd)"
+_AMB = AMBIGUOUS.format(labels="(SELECT g, label, 1.0 AS confidence FROM la)").replace("ab AS (", "ab0 AS (") + ", ab AS (SELECT g FROM ab0 WHERE open OR weak OR mixed OR wide OR far)"
 _FV = "iw AS (SELECT i AS j, greatest(sum(1 / (1 + d)), 1e-12) AS wj FROM ed GROUP BY i), fv AS (SELECT ed.i, ed.j, 1 / (1 + d) / wj * (1 / (1 + d)) * greatest(dp.rho, 1e-12) * sqrt(greatest(gr.n, 1)) AS v FROM ed JOIN iw ON iw.j = ed.j JOIN dp ON dp.g = ed.j JOIN gr ON gr.g = ed.j WHERE ed.i IN (SELECT g FROM ab) AND ed.i NOT IN (SELECT g FROM ce))"
 query("assign_rounds", BASE + f", {_AMB}, {_FV}, fz0 AS (SELECT la.g, CASE WHEN ab.g IS NOT NULL AND ce.g IS NULL THEN -1 ELSE la.label END AS label FROM la LEFT JOIN ab ON ab.g = la.g LEFT JOIN ce ON ce.g = la.g), {_round('fz0', 'fz1')}, {_round('fz1', 'fz2')}, {_round('fz2', 'fz3')} SELECT fz3.g, CASE WHEN fz3.label < 0 THEN near ELSE fz3.label END::INT AS label FROM fz3 LEFT JOIN nc ON nc.g = fz3.g")(
     lambda v: refine.assign_rounds(v.dp, v.la.join(_ambiguous(v).withColumn("a", F.lit(True)), "g", "left").join(v.ce.select("g", F.lit(True).alias("c")), "g", "left").selectExpr("g", "if(a and c is null, -1, label) as label"), v.ed, _ambiguous(v), v.ce, v.pr, _mass(v), rounds=3)

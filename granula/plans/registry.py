@@ -221,7 +221,7 @@ query("outer_radius", BASE + f"SELECT g, {r('greatest(l1, l2) AS outer_radius')}
 query("axis_endpoints", BASE + "SELECT g, p2_id, p3_id FROM ep")(lambda v: granule.endpoints(v.p).select("g", "p2_id", "p3_id"))
 query("principal_endpoints", BASE + ", t AS (SELECT me.g, id, (x - cx) * cos(0.5 * atan2(2 * b, a - c)) + (y - cy) * sin(0.5 * atan2(2 * b, a - c)) AS q FROM me) SELECT g, arg_min(id, (q, id)) AS low_id, arg_max(id, (q, -id)) AS high_id FROM t GROUP BY g")(lambda v: granule.axis_endpoints(v.p))
 query("granule_density", BASE + f"SELECT g, {r('density')} FROM gr")(lambda v: v.gr.select("g", "density"))
-query("penalized_density", BASE + f"SELECT g, l2 <= 1e-3 * l1 AS degenerate, {r('CASE WHEN n < 14 THEN least(density * CASE WHEN l2 <= 1e-3 * l1 THEN 0.05 ELSE 1 END * 0.2, greatest(1, n)) ELSE density * CASE WHEN l2 <= 1e-3 * l1 THEN 0.05 ELSE 1 END END AS penalised')} FROM gr")(lambda v: granule.penalised(v.gr, 14).select("g", "degenerate", "penalised"))
+query("penalized_density", BASE + f"SELECT g, n <= 1 OR a + c - 2e-6 <= 1e-12 AS degenerate, {r('CASE WHEN n < 14 THEN least(density, greatest(1, n)) * 0.2 ELSE density END * CASE WHEN n <= 1 OR a + c - 2e-6 <= 1e-12 THEN 0.05 ELSE 1 END AS penalised')} FROM gr")(lambda v: granule.penalised(v.gr, 14).select("g", "degenerate", "penalised"))
 query("ellipse_params", BASE + f"SELECT g, {r('2 * l1 AS width', '2 * l2 AS height', 'degrees(0.5 * atan2(2 * b, a - c)) AS angle')} FROM gr")(lambda v: granule.ellipse(v.gr))
 query("ball_radius", BASE + f"SELECT g, {r('r', 'dm')} FROM ba")(lambda v: granule.balls(v.p).select("g", "r", "dm"))
 query("ball_quality", BASE + f"SELECT g, n, {r('mr', 'n * exp(-0.5 * r) AS quality')} FROM ba")(lambda v: granule.balls(v.p).select("g", "n", "mr", "quality"))
@@ -282,7 +282,7 @@ query("gamma_rank", BASE + f"SELECT g, {r('gamma')}, pick::INT AS pick FROM ga")
 query("centers_topk", BASE + "SELECT g, label FROM ce")(lambda v: v.ce)
 query("centers_threshold", BASE + ", t AS (SELECT avg(gamma) + stddev_pop(gamma) AS t FROM ga), k AS (SELECT least(10, greatest(2, count(*))) AS k FROM ga, t WHERE gamma > t) SELECT g, (pick - 1)::INT AS label FROM ga, k WHERE pick <= k")(lambda v: dpc.above_mean(v.dp))
 query("centers_knee", BASE + ", t AS (SELECT *, (pick - 1) / (count(*) OVER () - 1.0) + (gamma - min(gamma) OVER ()) / (max(gamma) OVER () - min(gamma) OVER ()) - 1 AS f FROM ga), k AS (SELECT least(10, greatest(2, arg_max(pick, (round(abs(f), 12), -pick)))) AS k FROM t) SELECT g, (pick - 1)::INT AS label FROM ga, k WHERE pick <= k")(lambda v: dpc.knee(v.dp))
-query("centers_robust", BASE + f", t AS (SELECT ga.g, row_number() OVER (ORDER BY gamma DESC, ga.g) AS o FROM ga JOIN gr ON gr.g = ga.g WHERE n >= 13 AND l2 > 1e-3 * l1) SELECT g, (o - 1)::INT AS label FROM t WHERE o <= {K}")(lambda v: dpc.robust_top_k(v.dp, granule.penalised(v.gr, 13), K, 13))
+query("centers_robust", BASE + f", t AS (SELECT ga.g, row_number() OVER (ORDER BY gamma DESC, ga.g) AS o FROM ga JOIN gr ON gr.g = ga.g WHERE n >= 13 AND a + c - 2e-6 > 1e-12) SELECT g, (o - 1)::INT AS label FROM t WHERE o <= {K}")(lambda v: dpc.robust_top_k(v.dp, granule.penalised(v.gr, 13), K, 13))
 query("centers_two_peaks", BASE + ", m AS (SELECT median(rho) AS m FROM dp), t AS (SELECT g, gamma, row_number() OVER (PARTITION BY rho > m ORDER BY delta * (1 + 0.05 * rho) DESC, g) AS o FROM ga, m) SELECT g, (row_number() OVER (ORDER BY gamma DESC) - 1)::INT AS label FROM t WHERE o = 1")(lambda v: dpc.two_peaks(v.dp))
 query("centers_rectangle", BASE + "SELECT g, (row_number() OVER (ORDER BY gamma DESC, g) - 1)::INT AS label FROM ga WHERE rho BETWEEN 1 AND 1000 AND delta BETWEEN 0.1 AND 100")(lambda v: dpc.rectangle(v.dp, (1, 1000), (0.1, 100)))
 query("center_separation", BASE + f"SELECT {r('greatest(quantile_cont(d, 0.25), 0.2 * median(d), 1e-12) AS min_sep')} FROM pr WHERE i < j AND d > 0")(lambda v: dpc.separation(v.pr))
@@ -326,15 +326,29 @@ _ST = "sd AS (SELECT i AS g, count(*) + sum(exp(-(d * d) / (u.scale * w.scale))
 query("structural_density", BASE + f", {_ST} SELECT g, {r('structural')} FROM sd")(lambda v: natural.structural_density(v.ed, v.gr))
 query("hybrid_density", BASE + f", {_ST}, z AS (SELECT gr.g, least(0.8, greatest(0.2, n / (n + (SELECT median(n) FROM gr)))) AS al, (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) AS a1, (structural - min(structural) OVER ()) / (max(structural) OVER () - min(structural) OVER ()) AS b1 FROM gr JOIN sd ON sd.g = gr.g) SELECT g, {r('al * a1 + (1 - al) * b1 + 1e-12 * g AS hybrid')} FROM z")(lambda v: natural.hybrid_density(v.gr, natural.structural_density(v.ed, v.gr)))
 _US = "least(1, greatest(0, ({0} - quantile_cont({0}, 0.05) OVER ()) / (quantile_cont({0}, 0.95) OVER () - quantile_cont({0}, 0.05) OVER ())))"
-query("weighted_density", BASE + f", z AS (SELECT i AS g, sum(sim * ln(1 + density)) / greatest(sum(sim), 1e-12) AS near FROM si JOIN gr ON gr.g = j GROUP BY i), y AS (SELECT gr.g, ln(1 + density) AS ld, near, ln(1 + density) / greatest(near, 1e-12) AS rel FROM gr JOIN z ON z.g = gr.g) SELECT g, {r('0.55 * ' + _US.format('ld') + ' + 0.25 * ' + _US.format('near') + ' + 0.2 * ' + _US.format('rel') + ' + 1e-12 * g AS weighted')} FROM y")(lambda v: natural.weighted_density(v.ed, v.gr))
+_OW = f"ow AS (SELECT gr.g, count(j) / ((SELECT count(*) FROM gr) * {LAMBDA}.0) AS occ FROM gr LEFT JOIN kn ON kn.j = gr.g AND r <= {LAMBDA} GROUP BY gr.g)"
+query("weighted_density", BASE + f""", {_OW}, zl AS (SELECT gr.g, n, density, occ, ln(1 + greatest(density, 0)) AS ld FROM gr JOIN ow ON ow.g = gr.g), zi AS (SELECT *, {_US.format('ld')} AS own FROM zl),
+zn AS (SELECT ed.i AS g, sum((0.5 * exp(-(d * d) / (x.scale * y.scale)) + 0.5 / (1 + r + s)) * greatest(occ, 1e-12) ** 0.5 * ln(1 + n) ** 0.5 * (0.5 + 0.5 * own)) AS near, median(density) AS mid FROM ed JOIN zi ON zi.g = ed.j JOIN ra x ON x.g = ed.i JOIN ra y ON y.g = ed.j GROUP BY ed.i),
+zr AS (SELECT zi.g, own, ln(1 + coalesce(near, 0)) AS nb, ln(1 + coalesce(density / (mid + 1e-12), 1)) AS rel FROM zi LEFT JOIN zn ON zn.g = zi.g)
+SELECT g, {r('0.55 * own + 0.25 * ' + _US.format('nb') + ' + 0.2 * ' + _US.format('rel') + ' + 1e-12 * g AS weighted')} FROM zr""")(lambda v: natural.weighted_density(v.ed, v.gr, natural.occurrence(v.kn, LAMBDA)))
 _PM = "pm AS (SELECT gr.g, coalesce(least(1, greatest(-1, ln(greatest(any_value(gr.density), 1e-12) / greatest(median(o.density), 1e-12)))), 0) AS prominence FROM gr LEFT JOIN ed ON i = gr.g LEFT JOIN gr o ON o.g = j GROUP BY gr.g)"
 query("prominence", BASE + f", {_PM} SELECT g, {r('prominence')} FROM pm")(lambda v: natural.prominence(v.ed, v.gr))
-query("natural_gamma", BASE + f", {_PM}, md AS (SELECT median(rho) AS m FROM dp), mm AS (SELECT m, median(abs(rho - m)) AS mad FROM dp, md GROUP BY m) SELECT ga.g, {r('gamma * exp(0.5 * least(2, greatest(-2, (rho - m) / greatest(mad, 1e-12))) + 0.5 * prominence) AS gamma')} FROM ga JOIN pm ON pm.g = ga.g, mm")(lambda v: dpc.natural_gamma(v.dp, natural.prominence(v.ed, v.gr)))
+_SU = "su0 AS (SELECT j AS g, count(*) AS seen FROM ed GROUP BY j), su AS (SELECT gr.g, least(3, coalesce(seen, 0) / (SELECT median(seen) FROM su0)) AS support FROM gr LEFT JOIN su0 ON su0.g = gr.g)"
+query("nn_support", BASE + f", {_SU} SELECT g, {r('support::DOUBLE AS support')} FROM su")(lambda v: natural.support(v.ed, v.gr))
+query("natural_gamma", BASE + f", {_PM}, {_SU}, md AS (SELECT median(support) AS m FROM su), mm AS (SELECT m, median(abs(support - m)) AS mad FROM su, md GROUP BY m) SELECT ga.g, {r('gamma * exp(0.5 * least(2, greatest(-2, (support - m) / (mad + 1e-12))) + 0.5 * prominence) AS gamma')} FROM ga JOIN pm ON pm.g = ga.g JOIN su ON su.g = ga.g, mm")(lambda v: dpc.natural_gamma(v.dp, natural.prominence(v.ed, v.gr), natural.support(v.ed, v.gr)))
 query("center_score", BASE + f", z AS (SELECT gr.g, count(j) / ((SELECT count(*) FROM gr) * {LAMBDA}.0) AS o FROM gr LEFT JOIN kn ON kn.j = gr.g AND r <= {LAMBDA} GROUP BY gr.g), y AS (SELECT dp.g, rho, delta, o FROM dp JOIN z ON z.g = dp.g) SELECT g, {r(_US.format('rho') + ' * ' + _US.format('delta') + ' * (1 + 0.2 * ' + _US.format('o') + ') AS score')} FROM y")(
     lambda v: v.dp.join(natural.occurrence(v.kn, LAMBDA), "g").select("g", score.centre_score(F.col("rho"), F.col("delta"), F.col("occurrence")).alias("score"))
 )
 query("fuzzy_membership", BASE + f", oc2 AS (SELECT gr.g, count(j) / ((SELECT count(*) FROM gr) * {LAMBDA}.0) AS o FROM gr LEFT JOIN kn ON kn.j = gr.g AND r <= {LAMBDA} GROUP BY gr.g), wi AS (SELECT i AS j, sum(1 / (1 + d)) AS wj FROM ed GROUP BY i), z AS (SELECT i, label, 1 / (1 + d) AS w, wj, o, sum(o) OVER (PARTITION BY i) AS os FROM ed JOIN wi ON wi.j = ed.j JOIN oc2 ON oc2.g = ed.j JOIN la ON la.g = ed.j) SELECT i AS g, label, {r('sum(w / wj * w * o / greatest(os, 1e-12)) AS membership')} FROM z GROUP BY i, label")(lambda v: natural.membership(v.ed, v.la, natural.occurrence(v.kn, LAMBDA)))
-query("ambiguous_flags", BASE + ", z AS (SELECT i AS g, min(label) <> max(label) AS mixed, max(d) AS radius FROM ed JOIN la ON la.g = j GROUP BY i), y AS (SELECT z.*, delta FROM z JOIN dp ON dp.g = z.g), m AS (SELECT median(radius) AS rm, median(delta) AS dm FROM y), k AS (SELECT rm, dm, median(abs(radius - rm)) AS rd, median(abs(delta - dm)) AS dd FROM y, m GROUP BY rm, dm) SELECT g, mixed, radius > rm + 1.5 * rd AS wide, delta > dm + 1.5 * dd AS far, mixed OR radius > rm + 1.5 * rd OR delta > dm + 1.5 * dd AS ambiguous FROM y, k")(lambda v: natural.ambiguous(v.ed, v.la, v.dp))
+AMBIGUOUS = """az AS (SELECT ed.i AS g, min(label) <> max(label) AS mixed, max(d) AS radius FROM ed JOIN {labels} t ON t.g = ed.j GROUP BY ed.i), am AS (SELECT median(radius) AS m FROM az WHERE radius > 0),
+at0 AS (SELECT any_value(m) + 1.5 * median(abs(radius - m)) AS top FROM az, am WHERE radius > 0),
+ab AS (SELECT t.g, t.label IS NULL AS open, t.label IS NOT NULL AND confidence > 0 AND confidence < 0.7 AS weak, t.label IS NOT NULL AND coalesce(mixed, false) AS mixed, t.label IS NOT NULL AND coalesce(radius > top, false) AS wide,
+  t.label IS NOT NULL AND coalesce(parent IS NOT NULL AND delta > top, false) AS far FROM {labels} t LEFT JOIN az ON az.g = t.g JOIN dp ON dp.g = t.g, at0)"""
+#: Labels with holes and doubts: of every fifth granule none, of every third a low confidence.
+_DOUBT = "lx AS (SELECT g, CASE WHEN g % 5 = 1 THEN NULL ELSE label END AS label, CASE WHEN g % 3 = 1 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM la)"
+query("ambiguous_flags", BASE + f", {_DOUBT}, {AMBIGUOUS.format(labels='lx')} SELECT *, open OR weak OR mixed OR wide OR far AS ambiguous FROM ab")(
+    lambda v: natural.ambiguous(v.ed, v.la.selectExpr("g", "if(g % 5 = 1, null, label) as label", "if(g % 3 = 1, 0.6D, 0.9D) as confidence"), v.dp)
+)
 
 # Scores and tests.
 query("internal_score", BASE + f", s AS (SELECT avg(d) AS separation FROM rp), b AS (SELECT u.label, sum(d) AS t FROM pr JOIN la u ON u.g = i JOIN la w ON w.g = j WHERE u.label = w.label GROUP BY u.label), c AS (SELECT avg(coalesce(t / (m * m), 0)) AS compactness, max(m) / sum(m) AS lg, min(m) / sum(m) AS sm FROM sz LEFT JOIN b ON b.label = sz.label) SELECT {r('separation', 'compactness', 'separation / (compactness + 1e-12) * CASE WHEN lg > 0.85 THEN 0.2 ELSE 1 END * CASE WHEN sm < 0.02 THEN 0.5 ELSE 1 END AS score')} FROM s, c")(lambda v: score.internal_score(v.dp, v.la, v.pr))
