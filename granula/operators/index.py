@@ -135,6 +135,23 @@ def _asks(cells: pd.DataFrame, pivots: np.ndarray, start: int, end: int | None,
     return run
 
 
+def _ask(dealt: DataFrame, queries: DataFrame, k: int, denser: bool) -> DataFrame:
+    """(i, j, d): the k best of the cells that queries (row, best, cell) name."""
+    per = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))
+    spans = merge(per, dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ds")), "cell")
+    spans = F.broadcast(spans)  # a row for each cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(spans, "cell").withColumn("q", F.pmod(F.xxhash64("g"), F.col("qs")).cast("int")).withColumn("s", every("ds"))
+    right = dealt.join(spans, "cell").withColumn("s", F.pmod(F.xxhash64("g"), F.col("ds")).cast("int")).withColumn("q", every("qs"))
+    right = right.toDF(*right.columns)  # columns of its own, for both sides come from one table
+    return left.groupBy("cell", "q", "s").cogroup(right.groupBy("cell", "q", "s")).applyInPandas(_meet(k, denser), "i long, j long, d double")
+
+
+def _cut(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("i").orderBy("d", "j")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+
 def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
     """The k nearest granules of each one, or the k nearest of higher rho; fewer where there are fewer.
 
@@ -146,29 +163,20 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
     none = rows.sparkSession.createDataFrame([], "i long, j long, d double, r int")
     if m < 2:
         return Nearest(none, 0)
-    size = min(MAX_PIVOTS, int(np.ceil(np.sqrt(m))))
+    size = min(MAX_PIVOTS, int(np.ceil(np.sqrt(m)))) if m > BLOCK else 1  # so few are one group anyway
+    if size == 1:
+        dealt = rows.select("*", F.lit(0).alias("cell"))
+        links = durable(_cut(_ask(dealt, dealt.withColumn("best", F.lit(float("inf"))), k, denser), k))
+        return Nearest(links, m * m)
     pivots = np.array([r["centre"] for r in rows.orderBy(F.xxhash64("g"), "g").limit(size).select("centre").collect()])
     dealt = durable(rows.mapInPandas(_deal(pivots), f"{_ROW}, cell int, far double"))
     cells = dealt.groupBy("cell").agg(F.max("far").alias("radius"), F.max("rho").alias("dense"), F.max("top").alias("top"), F.count("*").alias("n")).orderBy("cell").toPandas()
 
-    def ask(queries: DataFrame) -> DataFrame:
-        """(i, j, d): the k best of the cells that queries (row, best, cell) name."""
-        per = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))
-        spans = merge(per, dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ds")), "cell")
-        spans = F.broadcast(spans)  # a row for each cell
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = queries.join(spans, "cell").withColumn("q", F.pmod(F.xxhash64("g"), F.col("qs")).cast("int")).withColumn("s", every("ds"))
-        right = dealt.join(spans, "cell").withColumn("s", F.pmod(F.xxhash64("g"), F.col("ds")).cast("int")).withColumn("q", every("qs"))
-        right = right.toDF(*right.columns)  # columns of its own, for both sides come from one table
-        return left.groupBy("cell", "q", "s").cogroup(right.groupBy("cell", "q", "s")).applyInPandas(_meet(k, denser), "i long, j long, d double")
-
-    w = Window.partitionBy("i").orderBy("d", "j")
-    cut = lambda found: found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     far = F.lit(float("inf"))
     queries = dealt.select("g", "rho", "centre", "cov", "top", far.alias("best"), "cell")
     of_cell = rows.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(cells["cell"], cells["n"], strict=True)], "cell int, n long")
     touched = int((cells["n"] ** 2).sum())
-    links = durable(cut(ask(queries)))
+    links = durable(_cut(_ask(dealt, queries, k, denser), k))
     for start, end in zip((0, *STEPS), (*STEPS, None), strict=True):
         if start >= len(cells) - 1:
             break
@@ -176,7 +184,7 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
         now = dealt.select("g", "rho", "centre", "cov", "top", "cell").join(kth, "g", "left").withColumn("best", F.coalesce("best", far))
         queries = durable(now.mapInPandas(_asks(cells, pivots, start, end, denser), f"{_ROW}, best double, cell int"))
         touched += queries.join(F.broadcast(of_cell), "cell").agg(F.sum("n")).first()[0] or 0
-        links = durable(cut(links.drop("r").union(ask(queries))))
+        links = durable(_cut(links.drop("r").union(_ask(dealt, queries, k, denser)), k))
     return Nearest(links, touched)
 
 

@@ -7,7 +7,8 @@ finish their subtree in one grouped Arrow task each; splits are independent and
 split, shape, gate and smallest leaf, so both give the same leaves up to rounding. Only the farthest-pair
 split (`ball_dpc_tree`) has no levels: it takes a table, or a grid seed, in one task.
 
-Then the granules, about the root of the points, go through the order-dependent folds in one task, if
+Then the granules are clustered by the distributed plan of `plans.cluster`. Runs that refine labels, choose
+among numbers of centres or score lists of them still go through the order-dependent folds in one task, if
 there are at most MAX_GRANULES.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from granula.functions import folds, shapes
 from granula.functions.state import durable, scratch
 from granula.operators import score, shape, split
+from granula.plans import cluster
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
 
@@ -395,6 +397,14 @@ def _fold(cfg: Config):
     return run
 
 
+def _clustered(stats: DataFrame, cfg: Config) -> DataFrame:
+    if cfg.refine == "none" and not cfg.counts and cfg.centres in ("top", "separated"):
+        return cluster.cluster(stats, cfg)
+    if (m := stats.count()) > MAX_GRANULES:
+        raise ValueError(f"{m} granules: raise split_factor so that there are at most {MAX_GRANULES}")
+    return stats.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fold(cfg), "g string, label int, delta double, gamma double")
+
+
 def run(points: DataFrame, cfg: Config, clock: dict[str, float] | None = None) -> dict[str, DataFrame]:
     """The tables of one run on points (point_id, features): granules, labels, assignments. clock gets
     the seconds of each stage; each ends in a written table."""
@@ -410,9 +420,7 @@ def run(points: DataFrame, cfg: Config, clock: dict[str, float] | None = None) -
     done("scaling")
     members, stats = granulate(scaled, cfg)
     done("granules")
-    if (m := stats.count()) > MAX_GRANULES:
-        raise ValueError(f"{m} granules: raise split_factor so that there are at most {MAX_GRANULES}")
-    labels = durable(stats.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fold(cfg), "g string, label int, delta double, gamma double"))
+    labels = durable(_clustered(stats, cfg))
     done("clustering")
     return {"granules": stats, "labels": labels, "assignments": members.join(F.broadcast(labels.select("g", "label")), "g").select("point_id", "label")}
 
