@@ -122,11 +122,20 @@ def knee(dpc: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
     return r.crossJoin(F.broadcast(far)).where(F.col("pick") <= k).select("g", (F.col("pick") - 1).alias("label"))
 
 
+def robust(dpc: DataFrame, g: DataFrame, mode: str = "knee", k: int | None = None, least: int = 1, most: int | None = None, small: int = 4) -> DataFrame:
+    """Centres among granules that are neither small nor degenerate: the k largest if k is given, else by
+    threshold (`above_mean`) or `knee`. Without any such granule the k largest of all, or the largest."""
+    ok = dpc.join(g.where((F.col("n") >= small) & ~F.col("degenerate")).select("g"), "g", "left_semi")
+    if not ok.limit(1).count():
+        return top_k(dpc, k or 1)
+    if k is not None:
+        return top_k(ok, k)
+    every = most if most is not None else (1 << 31) - 1
+    return {"threshold": above_mean, "knee": knee}[mode](ok, least, every)
+
+
 def robust_top_k(dpc: DataFrame, g: DataFrame, k: int, small: int = 4) -> DataFrame:
-    """The k largest among granules that are neither small nor degenerate; the rest only pads."""
-    ok = g.select("g", ((F.col("n") >= small) & ~F.col("degenerate")).alias("ok"))
-    r = dpc.join(ok, "g").withColumn("any", F.max("ok").over(Window.partitionBy())).where(F.col("ok") | ~F.col("any"))
-    return top_k(r, k)
+    return robust(dpc, g, k=k, small=small)
 
 
 def two_peaks(dpc: DataFrame) -> DataFrame:
@@ -142,36 +151,50 @@ def rectangle(dpc: DataFrame, rho: tuple[float, float], delta: tuple[float, floa
     return _ranked(dpc.where(inside)).select("g", (F.col("pick") - 1).alias("label"))
 
 
+def rectangle_default(dpc: DataFrame, rho: float = 0.85, delta: float = 0.90) -> DataFrame:
+    """What is selected if nobody draws a rectangle: both at least their quantiles."""
+    low = dpc.agg(F.percentile("rho", F.lit(rho)).alias("r"), F.percentile("delta", F.lit(delta)).alias("d"))
+    inside = dpc.crossJoin(F.broadcast(low)).where((F.col("rho") >= F.col("r")) & (F.col("delta") >= F.col("d"))).drop("r", "d")
+    return _ranked(inside).select("g", (F.col("pick") - 1).alias("label"))
+
+
 def separation(pairs: DataFrame, factor: float = 0.20) -> DataFrame:
     """One row: the least distance between centres, max(25% quantile, factor * median, 1e-12)."""
     return pairs.where("d > 0 and i < j").agg(F.greatest(F.percentile("d", F.lit(0.25)), factor * F.median("d"), F.lit(1e-12)).alias("min_sep"))
 
 
-def greedy(order: DataFrame, conflicts: DataFrame, most: int) -> list[int]:
-    """The first `most` granules, in the order of pick (g, pick), that conflict (g, h) with none chosen
-    before. One job for each choice: a join of the conflicts of those chosen and a minimum."""
-    chosen: list[int] = []
-    last = 0
-    for _ in range(most):
-        left = order.where(F.col("pick") > last)
-        if chosen:
-            left = left.join(conflicts.where(F.col("g").isin(chosen)).select(F.col("h").alias("g")).distinct(), "g", "left_anti")
-        nxt = left.agg(F.min(F.struct("pick", "g")).alias("s")).first().s
-        if nxt is None:
-            break
-        chosen.append(nxt.g)
-        last = nxt.pick
-    return chosen
+def greedy(order: DataFrame, conflicts: DataFrame, most: int) -> DataFrame:
+    """g, pick of the first `most` granules, in the order of pick (g, pick), that conflict (g, h, either
+    way) with none chosen before.
+
+    In rounds: who has no open conflict with an earlier one is chosen, who conflicts with a chosen one
+    goes; both leave their conflicts. What stands at the end is the sequential choice, and its first
+    part is sure once all that are still open come later. For orders that do not follow the conflicts the
+    rounds are few, whatever `most`.
+    """
+    at = order.select("g", "pick")
+    both = conflicts.select("g", "h").union(conflicts.select("h", "g")).distinct()
+    edges = durable(both.join(at, "g").join(at.select(F.col("g").alias("h"), F.col("pick").alias("before")), "h").where("before < pick").select("g", "h"))
+    open_, chosen = durable(at), at.limit(0)
+    while True:
+        heads = durable(open_.join(edges.select("g").distinct(), "g", "left_anti"))
+        chosen = durable(chosen.union(heads))
+        gone = durable(edges.join(heads.select(F.col("g").alias("h")), "h", "left_semi").select("g").distinct())
+        open_ = durable(open_.join(heads.select("g"), "g", "left_anti").join(gone, "g", "left_anti"))
+        left = open_.agg(F.min("pick").alias("next")).first()["next"]
+        if left is None or chosen.where(F.col("pick") < left).count() >= most:
+            return chosen.orderBy("pick").limit(most)
+        # Only conflicts between granules that are both open are left.
+        edges = durable(edges.join(open_.select("g"), "g", "left_semi").join(open_.select(F.col("g").alias("h")), "h", "left_semi").select("g", "h"))
 
 
 def _chosen(order: DataFrame, conflicts: DataFrame, k: int, least: int | None = None) -> DataFrame:
     """g, label of the greedy choice, refilled by pick up to `least` (or k)."""
-    order, conflicts = durable(order), durable(conflicts)
-    first = greedy(order, conflicts, k)
-    late = (~F.col("g").isin(first)).cast("int") if first else F.lit(1)
-    r = order.select("g", "pick", late.alias("late")).withColumn("r", F.row_number().over(Window.orderBy("late", "pick")))
-    most = max(len(first), min(k, least if least is not None else k))
-    return r.where(F.col("r") <= most).select("g", (F.col("r") - 1).alias("label"))
+    order = durable(order)
+    first = durable(greedy(order, conflicts, k).select("g", F.lit(0).alias("late")))
+    most = max(first.count(), min(k, least if least is not None else k))
+    r = order.select("g", "pick").join(first, "g", "left").withColumn("late", F.coalesce("late", F.lit(1))).orderBy("late", "pick").limit(most)
+    return r.select("g", (F.row_number().over(Window.orderBy("late", "pick")) - 1).alias("label"))
 
 
 def _within(pairs: DataFrame, limit: DataFrame, condition: str = "d < min_sep") -> DataFrame:
@@ -184,17 +207,21 @@ def separated(dpc: DataFrame, pairs: DataFrame, k: int, factor: float = 0.20, by
     return _chosen(_ranked(dpc, by).select("g", "pick"), _within(pairs, separation(pairs, factor)), k)
 
 
-def pool(dpc: DataFrame, pairs: DataFrame, least: int = 2, factor: float = 0.25) -> DataFrame:
-    """Automatic number: of the first max(3k, 3 least, root of the granules) by gamma, k where gamma
-    drops most, those that keep the least distance; at least `least`."""
+def pool(dpc: DataFrame, pairs: DataFrame, least: int = 2, factor: float = 0.25, most: int | None = None, k: int | None = None, prune: bool = True) -> DataFrame:
+    """Automatic number: of the first max(3k, 3 least, root of the granules, most) by gamma, k where gamma
+    drops most, those that keep the least distance; at least `least`, at most `most`. A given k, within
+    those limits, takes the k largest, with prune those that keep the distance, refilled by gamma."""
     m = dpc.count()
+    if k is not None:
+        k = max(least, min(k, m, most if most is not None else k))
+        return separated(dpc, pairs, k, factor) if prune else top_k(dpc, k)
     top = dpc.agg(F.max("gamma").alias("hi"), F.min("gamma").alias("lo"))
     unit = dpc.crossJoin(F.broadcast(top)).withColumn("u", F.expr("if(hi - lo <= 1e-12, 0, (gamma - lo) / (hi - lo))"))
     r = _ranked(unit).withColumn("next", F.lead("u").over(Window.orderBy("pick"))).where("next is not null").where(F.col("pick") <= max(math.ceil(math.sqrt(m)) + least, least))
     drop = r.agg(F.max(F.struct(F.round(F.expr("(u - next) / greatest(u, 1e-12)"), 12).alias("drop"), (-F.col("pick")).alias("n"))).alias("b")).first().b
     k = max(least, -drop.n) if drop else least
-    size = min(m, max(3 * k, 3 * least, math.ceil(math.sqrt(m))))
-    return _chosen(_ranked(dpc).select("g", "pick").where(F.col("pick") <= size), _within(pairs, separation(pairs, factor)), size, least)
+    size = min(m, max(3 * k, 3 * least, math.ceil(math.sqrt(m)), most or 0))
+    return _chosen(_ranked(dpc).select("g", "pick").where(F.col("pick") <= size), _within(pairs, separation(pairs, factor)), min(size, most or size), least)
 
 
 def basin_separated(dpc: DataFrame, pairs: DataFrame, edges: DataFrame, k: int, factor: float = 0.20) -> DataFrame:

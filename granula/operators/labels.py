@@ -80,8 +80,10 @@ def representative_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def merge_light(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, quantile: float = 0.20) -> DataFrame:
     """g, label: clusters whose representatives are within the quantile of their distances become
-    one, coded anew by the smallest label."""
-    rp = representative_pairs(representatives(dpc, labels), pairs).where("d > 0")
+    one, named by the label with the densest representative (ties: the smallest); names are coded anew
+    in their order."""
+    reps = durable(representatives(dpc, labels))
+    rp = representative_pairs(reps, pairs).where("d > 0")
     cut = rp.agg(F.percentile("d", F.lit(quantile)).alias("cut"))
     e = rp.crossJoin(F.broadcast(cut)).where("d <= cut").select("li", "lj")
     e = e.union(e.select("lj", "li"))
@@ -92,8 +94,9 @@ def merge_light(dpc: DataFrame, labels: DataFrame, pairs: DataFrame, quantile: f
         root = durable(root.join(best, "label", "left").select("label", F.least("root", F.coalesce("m", "root")).alias("root")))
         up = root.select(F.col("label").alias("root"), F.col("root").alias("up"))
         root = durable(root.join(up, "root").select("label", F.least("root", "up").alias("root")))
-    code = root.withColumn("code", F.dense_rank().over(Window.orderBy("root")) - 1)
-    return labels.join(F.broadcast(code), "label").select("g", F.col("code").alias("label"))
+    name = root.join(reps, "label").groupBy("root").agg(F.max(F.struct("rho", (-F.col("label")).alias("n"))).alias("b")).select("root", (-F.col("b.n")).alias("name"))
+    code = root.join(name, "root").select("label", (F.dense_rank().over(Window.orderBy("name")) - 1).alias("code"))
+    return labels.join(code, "label").select("g", F.col("code").alias("label"))
 
 
 def to_points(points: DataFrame, labels: DataFrame) -> DataFrame:

@@ -91,11 +91,25 @@ def similarity(e: DataFrame, r: DataFrame, w: float = 0.3) -> DataFrame:
     return both.withColumn("sim", F.expr(f"{1 - w} * exp(-(d * d) / (si * sj)) + {w} / (1 + r + s)"))
 
 
-def consistency(e: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the share of the edges' weight 1 / (1 + d) that joins equal labels; 0 without edges."""
+def consistency(e: DataFrame, labels: DataFrame, form: str = "directed", mass: DataFrame | None = None) -> DataFrame:
+    """One row: the share of the edges' weight that joins equal labels.
+
+    directed: every edge weighs 1 / (1 + d); 0 without edges. similarity: every pair once, either way,
+    weighs its `similarity`; 1 without edges. mass: edges to a later granule weigh the root of both
+    sizes (mass: g, n) over 1 + d; 0 without edges.
+    """
+    empty = 0.0
+    if form == "similarity":
+        s = similarity(e, radii(e), 0.5)
+        pair = s.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("sim").alias("w"))
+        e, empty = pair.groupBy("i", "j").agg(F.max("w").alias("w")), 1.0
+    elif form == "mass":
+        n = mass.select("g", "n")
+        e = e.where("j > i").join(n.toDF("i", "ni"), "i").join(n.toDF("j", "nj"), "j").withColumn("w", F.sqrt(F.col("ni") * F.col("nj")) / (1 + F.col("d")))
+    else:
+        e = e.withColumn("w", 1 / (1 + F.col("d")))
     both = e.join(labels.select(F.col("g").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("g").alias("j"), F.col("label").alias("lj")), "j")
-    w = 1 / (1 + F.col("d"))
-    return both.agg(F.coalesce(F.sum(F.when(F.col("li") == F.col("lj"), w).otherwise(0.0)) / F.sum(w), F.lit(0.0)).alias("consistency"))
+    return both.agg(F.coalesce(F.sum(F.when(F.col("li") == F.col("lj"), F.col("w")).otherwise(0.0)) / F.sum("w"), F.lit(empty)).alias("consistency"))
 
 
 def structural_density(e: DataFrame, g: DataFrame) -> DataFrame:

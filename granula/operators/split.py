@@ -65,7 +65,7 @@ def children(split: DataFrame) -> DataFrame:
 
 def judge(points: DataFrame, min_leaf: int, gain: float = 1.0, axis_gate: float = 0.10, parent_gate: float = 0.25, pair_gate: float = 1.0) -> DataFrame:
     """The acceptance gates of one split: leaf sizes, density gain, distance gates in the parent's
-    axes and metric and in the pair's metric, the sum of axes, no flat child."""
+    axes and metric and in the pair's metric, the sum of axes, no child whose points are all the same."""
     kids = children(split_ellipsoid(points))
     a, b = (kids.where(F.col("child") == i).select("g", *(F.col(x).alias(f"{x}_{i}") for x in ("n", "cx", "cy", "a", "b", "c", "density", "l1", "l2"))) for i in (0, 1))
     both = granule.granules(points).join(a, "g").join(b, "g").withColumn("dx", F.expr("cx_0 - cx_1")).withColumn("dy", F.expr("cy_0 - cy_1"))
@@ -80,7 +80,7 @@ def judge(points: DataFrame, min_leaf: int, gain: float = 1.0, axis_gate: float
         f"sqrt((pc * dx * dx - 2 * pb * dx * dy + pa * dy * dy) / (pa * pc - pb * pb)) >= {pair_gate} as pair_ok",
         "not (least(n_0, n_1) <= {m} and greatest(n_0, n_1) >= n - {m}) as balance_ok".format(m=min_leaf),
         "l1_0 + l2_0 + l1_1 + l2_1 < l1 + l2 as axes_ok",
-        "l2_0 > 1e-3 * l1_0 and l2_1 > 1e-3 * l1_1 as shape_ok",
+        f"least(n_0, n_1) > 1 and least(a_0 + c_0, a_1 + c_1) > {2 * granule.EPS + granule.TINY} as shape_ok",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions.state import durable
-from granula.operators import graph, index, labels
+from granula.operators import graph, grid, index, labels
 from granula.plans.registry import BASE, LAMBDA, query, r
 from granula.sources import io
 
@@ -62,3 +62,41 @@ SELECT od.g, ls[od.pos] AS label, round(cs[od.pos], 6) + 0.0 AS confidence FROM
 _RELIABLE = _RELIABLE.replace("WHERE lab IS NULL OR lab >= 0 OR true GROUP BY", "GROUP BY").replace("sum(w) AS v, min(r)", "sum(CASE WHEN lab >= 0 THEN w END) AS v, min(r)")
 query("reliable_labels", _RELIABLE.format(share=0.7))(lambda v: _reliable(v, 0.7))
 query("reliable_labels_all", _RELIABLE.format(share=0.0))(lambda v: _reliable(v, 0.0))
+
+
+# The grid at three components.
+_BINS = 7
+
+
+class _Grid:
+    """The grid's tables of a View, each written once."""
+
+    def __init__(self, v):
+        points = io.load(v.spark, v.dir).select(F.col("point_id").alias("id"), F.slice("features", 1, 3).alias("features"))
+        self.cells = durable(grid.cells(grid.unit(points), _BINS))
+        self.occ = durable(grid.occupied(self.cells))
+
+
+def _grid(v) -> _Grid:
+    if "grid" not in v.__dict__:
+        v.__dict__["grid"] = _Grid(v)
+    return v.__dict__["grid"]
+
+
+_GRID = f"""WITH RECURSIVE gp0 AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+gp1 AS (SELECT id, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS y, (z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ()) AS z FROM gp0),
+gc AS (SELECT *, least({_BINS - 1}, floor(x * {_BINS}))::INT AS kx, least({_BINS - 1}, floor(y * {_BINS}))::INT AS ky, least({_BINS - 1}, floor(z * {_BINS}))::INT AS kz FROM gp1),
+oc AS (SELECT kx, ky, kz, min(id) AS node, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM gc GROUP BY ALL),
+ad AS (SELECT a.node AS u, b.node AS v FROM oc a JOIN oc b ON abs(a.kx - b.kx) <= 1 AND abs(a.ky - b.ky) <= 1 AND abs(a.kz - b.kz) <= 1 AND a.node <> b.node),
+re AS (SELECT node AS u, node AS v FROM oc UNION SELECT re.u, ad.v FROM re JOIN ad ON ad.u = re.v),
+co AS (SELECT u AS node, min(v) AS component FROM re GROUP BY u),
+sz AS (SELECT component, sum(n) AS n, row_number() OVER (ORDER BY sum(n) DESC, component) - 1 AS seed FROM oc JOIN co ON co.node = oc.node GROUP BY component HAVING sum(n) >= 2)
+"""
+_KEYS = [F.col("cell")[i].alias(k) for i, k in enumerate(("kx", "ky", "kz"))]
+query("grid3_point_cell", _GRID + "SELECT id, kx, ky, kz FROM gc")(lambda v: _grid(v).cells.select("id", *_KEYS))
+query("grid3_cells", _GRID + f"SELECT kx, ky, kz, node, n, {r('mx', 'my', 'mz')} FROM oc")(lambda v: _grid(v).occ.select(*_KEYS, "node", "n", *(F.col("centre")[i].alias(k) for i, k in enumerate(("mx", "my", "mz")))))
+query("grid3_adjacency", _GRID + "SELECT u, v FROM ad")(lambda v: grid.adjacent(_grid(v).occ))
+query("grid3_components", _GRID + "SELECT node, component FROM co")(lambda v: grid.components(_grid(v).occ, grid.adjacent(_grid(v).occ)))
+query("grid3_seeds", _GRID + "SELECT gc.id, coalesce(seed, -1)::BIGINT AS seed FROM gc JOIN oc USING (kx, ky, kz) JOIN co ON co.node = oc.node LEFT JOIN sz ON sz.component = co.component")(
+    lambda v: grid.seeds(_grid(v).cells, grid.components(_grid(v).occ, grid.adjacent(_grid(v).occ)), _grid(v).occ, 2)
+)

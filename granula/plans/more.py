@@ -64,6 +64,18 @@ cs{x} AS (SELECT g, (row_number() OVER (ORDER BY NOT list_contains(chosen, g), p
 _ALLGA = "SELECT g, pick FROM ga"
 query("centers_separated", BASE + f", {_SEP.format(f=0.2)}, {_walk(_ALLGA, 'SELECT i AS g, j AS h FROM pr, sep WHERE d < s', str(K), str(K))} SELECT g, label FROM cs")(lambda v: dpc.separated(v.dp, v.pr, K))
 query("centers_separated_wide", BASE + f", {_SEP.format(f=0.9)}, {_walk(_ALLGA, 'SELECT i AS g, j AS h FROM pr, sep WHERE d < s', str(K), str(K))} SELECT g, label FROM cs")(lambda v: dpc.separated(v.dp, v.pr, K, 0.9))
+query("centers_pool_k", BASE + f", {_SEP.format(f=0.2)}, {_walk(_ALLGA, 'SELECT i AS g, j AS h FROM pr, sep WHERE d < s', '4', '4')} SELECT g, label FROM cs")(lambda v: dpc.pool(v.dp, v.pr, 2, 0.2, 4, 9))
+query("centers_pool_k_plain", BASE + "SELECT g, (pick - 1)::INT AS label FROM ga WHERE pick <= 5")(lambda v: dpc.pool(v.dp, v.pr, 2, k=5, prune=False))
+_VALID = BASE + "rv AS (SELECT dp.g, gamma, row_number() OVER (ORDER BY gamma DESC, dp.g) AS pick, count(*) OVER () AS m FROM (SELECT g, rho * delta AS gamma FROM dp) dp JOIN gr ON gr.g = dp.g WHERE n >= 13 AND n > 1 AND a + c > 2e-6 + 1e-12)".replace("rv AS", ", rv AS", 1)
+_robust = lambda mode, **limits: lambda v: dpc.robust(v.dp, granule.penalised(v.gr, 13), mode, small=13, **limits)
+query("centers_robust_threshold", _VALID + ", t AS (SELECT avg(gamma) + stddev_pop(gamma) AS t FROM rv), k AS (SELECT greatest(1, count(*)) AS k FROM rv, t WHERE gamma > t) SELECT g, (pick - 1)::INT AS label FROM rv, k WHERE pick <= k")(_robust("threshold"))
+query("centers_robust_knee", _VALID + ", t AS (SELECT *, (pick - 1) / (m - 1.0) + (gamma - min(gamma) OVER ()) / (max(gamma) OVER () - min(gamma) OVER ()) - 1 AS f FROM rv), k AS (SELECT least(5, greatest(2, arg_max(pick, (round(abs(f), 12), -pick)))) AS k FROM t) SELECT g, (pick - 1)::INT AS label FROM rv, k WHERE pick <= k")(_robust("knee", least=2, most=5))
+query("centers_robust_none", BASE + "SELECT g, (pick - 1)::INT AS label FROM ga WHERE pick <= 3")(lambda v: dpc.robust(v.dp, granule.penalised(v.gr), k=3, small=1_000_000))
+query("centers_rectangle_default", BASE + "SELECT g, (row_number() OVER (ORDER BY gamma DESC, g) - 1)::INT AS label FROM ga WHERE rho >= (SELECT quantile_cont(rho, 0.85) FROM dp) AND delta >= (SELECT quantile_cont(delta, 0.9) FROM dp)")(lambda v: dpc.rectangle_default(v.dp))
+query("graph_consistency_similarity", BASE + f", us AS (SELECT DISTINCT least(ed.i, ed.j) AS i, greatest(ed.i, ed.j) AS j, 0.5 * exp(-(d * d) / (x.scale * y.scale)) + 0.5 / (1 + r + s) AS w FROM ed JOIN ra x ON x.g = ed.i JOIN ra y ON y.g = ed.j), ug AS (SELECT i, j, max(w) AS w FROM us GROUP BY i, j) SELECT {r('sum(CASE WHEN a.label = b.label THEN w ELSE 0 END) / sum(w) AS consistency')} FROM ug JOIN la a ON a.g = i JOIN la b ON b.g = j")(
+    lambda v: natural.consistency(v.ed, v.la, "similarity")
+)
+query("graph_consistency_mass", BASE + f", us AS (SELECT i, j, sqrt(x.n * y.n) / (1 + d) AS w FROM ed JOIN gr x ON x.g = i JOIN gr y ON y.g = j WHERE j > i) SELECT {r('sum(CASE WHEN a.label = b.label THEN w ELSE 0 END) / sum(w) AS consistency')} FROM us JOIN la a ON a.g = i JOIN la b ON b.g = j")(lambda v: natural.consistency(v.ed, v.la, "mass", v.gr))
 _DROP = """un AS (SELECT g, pick, (gamma - min(gamma) OVER ()) / (max(gamma) OVER () - min(gamma) OVER ()) AS u, count(*) OVER () AS m FROM ga),
 dr AS (SELECT pick, m, round((u - lead(u) OVER (ORDER BY pick)) / greatest(u, 1e-12), 12) AS f FROM un),
 kk AS (SELECT greatest(2, arg_max(pick, (f, -pick))) AS k, any_value(m) AS m FROM dr WHERE f IS NOT NULL AND pick <= ceil(sqrt(m)) + 2),
@@ -82,12 +94,12 @@ c1 AS (SELECT g, n, cx, cy, a, b, c, sqrt(max(m2)) AS rho, sum(sqrt(m2)) AS ms F
 c2 AS (SELECT *, rho * sqrt(greatest((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b), 1e-12)) AS l1, rho * sqrt(greatest((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b), 1e-12)) AS l2 FROM c1),
 kg AS (SELECT *, n * n / (greatest(l1 + l2, 1e-12) * greatest(ms, 1e-12)) AS density FROM c2),
 kp AS (SELECT gr.g, gr.n, gr.a, gr.b, gr.c, gr.det, gr.rho, gr.l1, gr.l2, gr.density, u.n AS n_0, w.n AS n_1, u.cx - w.cx AS dx, u.cy - w.cy AS dy, (u.a + w.a) / 2 AS pa, (u.b + w.b) / 2 AS pb, (u.c + w.c) / 2 AS pc,
-  u.density AS d_0, w.density AS d_1, u.l1 AS p0, u.l2 AS q0, w.l1 AS p1, w.l2 AS q1 FROM gr JOIN kg u ON u.g = gr.g * 2 JOIN kg w ON w.g = gr.g * 2 + 1)"""
+  u.density AS d_0, w.density AS d_1, u.l1 AS p0, u.l2 AS q0, w.l1 AS p1, w.l2 AS q1, least(u.n, w.n) > 1 AND least(u.a + u.c, w.a + w.c) > 2e-6 + 1e-12 AS full FROM gr JOIN kg u ON u.g = gr.g * 2 JOIN kg w ON w.g = gr.g * 2 + 1)"""
 query("split_gates", BASE + _KIDS + """ SELECT g, n_0, n_1, least(n_0, n_1) >= 3 AS leaf_ok, d_0 + d_1 > density AS density_ok,
 (l1 + l2) / 2 <= 1e-12 OR sqrt(dx * dx + dy * dy) >= 0.1 * (l1 + l2) / 2 AS axis_ok,
 sqrt((c * dx * dx - 2 * b * dx * dy + a * dy * dy) / det) >= 0.25 * greatest(rho, 1e-12) AS parent_ok,
 sqrt((pc * dx * dx - 2 * pb * dx * dy + pa * dy * dy) / (pa * pc - pb * pb)) >= 1.0 AS pair_ok,
-NOT (least(n_0, n_1) <= 3 AND greatest(n_0, n_1) >= n - 3) AS balance_ok, p0 + q0 + p1 + q1 < l1 + l2 AS axes_ok, q0 > 1e-3 * p0 AND q1 > 1e-3 * p1 AS shape_ok FROM kp""")(lambda v: split.judge(v.p, 3))
+NOT (least(n_0, n_1) <= 3 AND greatest(n_0, n_1) >= n - 3) AS balance_ok, p0 + q0 + p1 + q1 < l1 + l2 AS axes_ok, kp.full AS shape_ok FROM kp""")(lambda v: split.judge(v.p, 3))
 query("refine_outliers", BASE + _KIDS + """, ok AS (SELECT g FROM kp WHERE l1 + l2 > 1.1 * (SELECT avg(l1 + l2) FROM gr) AND least(n_0, n_1) >= greatest(2, ceil(0.1 * sqrt((SELECT count(*) FROM p)))) AND d_0 + d_1 > 0.9 * density)
 SELECT p.id, p.g, coalesce(CASE WHEN ok.g IS NOT NULL THEN child END, -1) AS child FROM p LEFT JOIN se ON se.id = p.id LEFT JOIN ok ON ok.g = p.g""")(lambda v: split.refine_round(v.p, 1.1, 0.9).select("id", "g", F.coalesce("child", F.lit(-1)).alias("child")))
 query("pca_plane_2d", BASE + f", m AS (SELECT avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), covar_pop(x, x) - covar_pop(y, y)) AS t FROM p) SELECT id AS point_id, {r('abs((x - cx) * cos(t) + (y - cy) * sin(t)) AS pc1', 'abs((y - cy) * cos(t) - (x - cx) * sin(t)) AS pc2')} FROM p, m")(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import folds, shapes
 from granula.functions.state import durable, scratch
-from granula.operators import score, shape, split
+from granula.operators import grid, score, shape, split
 from granula.plans import cluster
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
@@ -286,10 +286,10 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
     least = max(2, math.ceil(0.1 * math.sqrt(n)))
     accept = _accept(cfg, num)
     if cfg.grid:
-        plane = durable(points.select(F.col("point_id").alias("id"), *(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("features")[i])).alias(c) for i, c in enumerate("xy"))))
-        cells = split.cells(plane, split.bins(n, 2))
-        comp = split.grid_components(durable(split.occupied(cells)), split.bins(n, 2), durable)
-        seeds = split.seeds(cells, comp)
+        clipped = points.select(F.col("point_id").alias("id"), F.transform("features", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).alias("features"))
+        cells = durable(grid.cells(clipped, split.bins(n, points.select(F.size("features")).first()[0] if n else 1)))
+        occ = durable(grid.occupied(cells))
+        seeds = grid.seeds(cells, grid.components(occ, grid.adjacent(occ)), occ)
         now = points.join(seeds.select(F.col("id").alias("point_id"), F.format_string("s%06d.", "seed").alias("g")), "point_id")
     else:
         now = points.withColumn("g", F.lit("r"))

@@ -301,7 +301,7 @@ query("cluster_ratios_mass", BASE + f"SELECT {r('max(m) / sum(m) AS largest', 'm
 query("changed_ratio", BASE + f"SELECT {r('avg((gv.label <> la.label)::INT) AS changed')} FROM gv JOIN la ON la.g = gv.g")(lambda v: labels.changed(v.la, v.gv))
 query("representatives", BASE + f"SELECT label, g, {r('rho')} FROM re")(lambda v: labels.representatives(v.dp, v.la))
 query("representative_pairs", BASE + f"SELECT li, lj, {r('d')} FROM rp")(lambda v: labels.representative_pairs(labels.representatives(v.dp, v.la), v.pr))
-query("merge_light", BASE + ", q AS (SELECT quantile_cont(d, 0.2) AS c FROM rp WHERE d > 0), e AS (SELECT li, lj FROM rp, q WHERE d > 0 AND d <= c UNION ALL SELECT lj, li FROM rp, q WHERE d > 0 AND d <= c), w AS (SELECT label AS u, label AS v FROM sz UNION SELECT w.u, e.lj FROM w JOIN e ON e.li = w.v), z AS (SELECT u, min(v) AS root FROM w GROUP BY u), c AS (SELECT u, (dense_rank() OVER (ORDER BY root) - 1)::INT AS code FROM z) SELECT la.g, code AS label FROM la JOIN c ON c.u = la.label")(lambda v: labels.merge_light(v.dp, v.la, v.pr))
+query("merge_light", BASE + ", q AS (SELECT quantile_cont(d, 0.2) AS c FROM rp WHERE d > 0), e AS (SELECT li, lj FROM rp, q WHERE d > 0 AND d <= c UNION ALL SELECT lj, li FROM rp, q WHERE d > 0 AND d <= c), w AS (SELECT label AS u, label AS v FROM sz UNION SELECT w.u, e.lj FROM w JOIN e ON e.li = w.v), z AS (SELECT u, arg_max(v, (rho, -v)) AS root FROM w JOIN re ON re.label = w.v GROUP BY u), c AS (SELECT u, (dense_rank() OVER (ORDER BY root) - 1)::INT AS code FROM z) SELECT la.g, code AS label FROM la JOIN c ON c.u = la.label")(lambda v: labels.merge_light(v.dp, v.la, v.pr))
 query("point_labels", BASE + "SELECT id, la.label FROM p JOIN la ON la.g = p.g")(lambda v: labels.to_points(v.p, v.la))
 query("centroid_refine", BASE + ", c AS (SELECT la.label, avg(x) AS mx, avg(y) AS my FROM p JOIN la ON la.g = p.g GROUP BY la.label) SELECT id, arg_min(c.label, ((x - mx) * (x - mx) + (y - my) * (y - my), c.label)) AS label FROM p, c GROUP BY id")(lambda v: labels.centroid_round(v.p.select("id", "x", "y"), labels.to_points(v.p, v.la)))
 
