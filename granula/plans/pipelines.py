@@ -4,8 +4,8 @@ Granulation is distributed: a granule of over LOCAL_MAX points is split level by
 assignment, 2-means rounds and gates are aggregates over arrays; shapes come from partial moments, and
 the Mahalanobis assignment joins points with their children's shapes in salted groups. Smaller granules
 finish their subtree in one grouped Arrow task each; splits are independent and both use the configured
-split, shape, gate and smallest leaf, so both give the same leaves up to rounding. Only the farthest-pair
-split (`ball_dpc_tree`) has no levels: it takes a table, or a grid seed, in one task.
+split, shape, gate and smallest leaf, so both give the same leaves up to rounding. The choice between a ball
+and its children (`ball_dpc_tree`) goes on from the tasks' subtrees up the levels.
 
 Then the granules are clustered by the distributed plan of `plans.cluster`. Runs that refine labels, choose
 among numbers of centres or score lists of them still go through the order-dependent folds in one task, if
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import folds, shapes
 from granula.functions.state import durable, scratch
-from granula.operators import grid, score, shape, split
+from granula.operators import grid, score, shape, split, tree
 from granula.plans import cluster
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
@@ -110,8 +110,9 @@ def _accept(cfg: Config, num: int):
     return None
 
 
-def _prune(x: np.ndarray, leaves: list[tuple[str, np.ndarray]], gamma: float = 0.5) -> list[tuple[str, np.ndarray]]:
-    """Bottom-up: a node stays whole if its quality n * exp(-gamma * r) reaches its children's best."""
+def _prune(x: np.ndarray, leaves: list[tuple[str, np.ndarray]], gamma: float = 0.5) -> tuple[list[tuple[str, np.ndarray]], float]:
+    """Bottom-up: a node stays whole if its quality n * exp(-gamma * r) reaches its children's best. Returns
+    the leaves and the best sum of their root."""
 
     def quality(at):
         r = np.sqrt(((x[at] - x[at].mean(axis=0)) ** 2).sum(axis=1)).max()
@@ -125,7 +126,19 @@ def _prune(x: np.ndarray, leaves: list[tuple[str, np.ndarray]], gamma: float = 0
                 at = np.concatenate([a for _, parts in kids for _, a in parts])
                 whole, parts = quality(at), sum(k[0] for k in kids)
                 best[p] = (whole, [(p, at)]) if whole >= parts else (parts, [y for k in kids for y in k[1]])
-    return [y for _, parts in best.values() for y in parts]
+    return [y for _, parts in best.values() for y in parts], sum(q for q, _ in best.values())
+
+
+def _prune_levels(now: DataFrame, stuck: DataFrame | None, inner: list[DataFrame]) -> DataFrame:
+    """The leaves after the choice between the nodes above the subtrees that tasks have pruned (top, best)."""
+    above = inner[0]
+    for t in inner[1:]:
+        above = above.union(t)
+    if stuck is not None:  # too large, but without a split: leaves with their own quality
+        own = tree.qualities(stuck).select("g", F.col("quality").alias("best"))
+        now = durable(now.union(stuck.join(own, "g").select("point_id", "features", "g", F.col("g").alias("top"), "best")))
+    final = durable(tree.prune(now.select("top", "best").distinct(), above))
+    return now.join(final, "top").select("point_id", "features", F.when(F.col("node") == F.col("top"), F.col("g")).otherwise(F.col("node")).alias("g"))
 
 
 def _salted(points: DataFrame) -> DataFrame:
@@ -162,6 +175,8 @@ def _first(points: DataFrame, cfg: Config) -> DataFrame:
         at = durable(points.join(shape.moments(points).mapInPandas(axes, key), "g").withColumn("at", along).drop("axis"))
         cut = at.groupBy("g").agg(F.median("at").alias("cut"))
         return durable(at.join(cut, "g").withColumn("child", (F.col("at") > F.col("cut")).cast("int")).drop("at", "cut"))
+    if cfg.split == "pair":
+        return durable(tree.split(points))
     p1 = points.join(_centres(points, "g").select("g", F.col("c").alias("q")), "g").groupBy("g").agg(F.min(F.struct(_d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
     far = lambda q: points.join(q, "g").groupBy("g").agg(F.max(F.struct(_d2("q").alias("d"), (-F.col("point_id")).alias("i"), "features")).getField("features").alias("q"))
     p2 = durable(far(p1))
@@ -204,7 +219,7 @@ def split_level(points: DataFrame, cfg: Config) -> DataFrame:
         out = first
     sizes = out.where("child >= 0").groupBy("g").agg(F.count_if(F.col("child") == 0).alias("n0"), F.count_if(F.col("child") == 1).alias("n1"))
     both = durable(sizes.where(F.least("n0", "n1") >= least).select("g"))
-    if cfg.gate != "none":
+    if cfg.gate not in ("none", "tree"):
         both = durable(_gated(out.join(both, "g", "left_semi"), cfg))
     return out.join(both.withColumn("ok", F.lit(True)), "g", "left").withColumn("child", F.when(F.col("ok"), F.col("child"))).drop("ok")
 
@@ -294,30 +309,38 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
     else:
         now = points.withColumn("g", F.lit("r"))
     now = durable(now.select("point_id", "features", "g"))
-    done = None
-    while cfg.split != "pair":  # levels of granules too large for a task
+    done, inner = None, []
+    while True:  # levels of granules too large for a task
         big = now.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, num - 1)).select("g")
         if not big.limit(1).count():
             break
         small = now.join(F.broadcast(big), "g", "left_anti").select("point_id", "features", "g")
         parts = durable(split_level(now.join(F.broadcast(big), "g", "left_semi"), cfg))
         stuck = parts.where("child is null").select("point_id", "features", "g")
+        if cfg.gate == "tree":
+            inner.append(durable(tree.qualities(parts.where("child is not null"))))
         now = durable(small.union(parts.where("child is not null").select("point_id", "features", F.concat("g", F.col("child").cast("string")).alias("g"))))
         done = durable(stuck if done is None else done.union(stuck))
 
+    deep = bool(inner)
+
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
         x = np.stack(pdf["features"])
-        found = shapes.subtree(x, pdf["g"].iloc[0], num, cfg.shape, cfg.min_leaf, cfg.split, accept)
+        found, best = shapes.subtree(x, pdf["g"].iloc[0], num, cfg.shape, cfg.min_leaf, cfg.split, accept), 0.0
         if cfg.gate == "tree":
-            found = _prune(x, found)
+            found, best = _prune(x, found)
         g = np.empty(len(x), object)
         for path, at in found:
             g[at] = path
-        return pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": g})
+        out = pd.DataFrame({"point_id": pdf["point_id"], "features": pdf["features"], "g": g})
+        return out.assign(top=pdf["g"].iloc[0], best=best) if deep else out
 
     schema = "point_id long, features array<double>, g string"
-    now = now.groupBy("g").applyInPandas(leaves, schema)
+    now = now.groupBy("g").applyInPandas(leaves, schema + ", top string, best double" * deep)
+    if deep:
+        now = _prune_levels(durable(now), done, inner)
+        done = None
     now = durable(now if done is None else now.union(done))
     stats = durable(now.groupBy("g").applyInPandas(_stats(cfg), _STATS))
 
