@@ -14,9 +14,11 @@ there are at most MAX_GRANULES.
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -428,24 +430,39 @@ def _clustered(stats: DataFrame, cfg: Config) -> DataFrame:
     return stats.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fold(cfg), "g string, label int, delta double, gamma double")
 
 
-def run(points: DataFrame, cfg: Config, clock: dict[str, float] | None = None) -> dict[str, DataFrame]:
-    """The tables of one run on points (point_id, features): granules, labels, assignments. clock gets
-    the seconds of each stage; each ends in a written table."""
-    clock = {} if clock is None else clock
-    at = time.perf_counter()
+class Granulation(NamedTuple):
+    """What a run has before it clusters: points with g, granules, and the seconds that took."""
+
+    members: DataFrame
+    stats: DataFrame
+    clock: dict[str, float]
 
-    def done(stage: str) -> None:
-        nonlocal at
-        clock[stage], at = time.perf_counter() - at, time.perf_counter()
 
+#: The fields of a Config that granulation does not read.
+AFTER = ("k", "delta", "centres", "labels", "graph", "margin", "tau", "counts", "refine")
+
+
+def granulation(points: DataFrame, cfg: Config) -> Granulation:
+    """Scaling and granules of points (point_id, features), each a written table."""
+    at = time.perf_counter()
     features = F.col("features") if cfg.dims is None else F.slice("features", 1, cfg.dims)
     scaled = durable(_scaled(points.select("point_id", features.alias("features")), cfg.scaler))
-    done("scaling")
+    scaling, at = time.perf_counter() - at, time.perf_counter()
     members, stats = granulate(scaled, cfg)
-    done("granules")
-    labels = durable(_clustered(stats, cfg))
-    done("clustering")
-    return {"granules": stats, "labels": labels, "assignments": members.join(F.broadcast(labels.select("g", "label")), "g").select("point_id", "label")}
+    return Granulation(members, stats, {"scaling": scaling, "granules": time.perf_counter() - at})
+
+
+def run(points: DataFrame, cfg: Config, clock: dict[str, float] | None = None, made: Granulation | None = None) -> dict[str, DataFrame]:
+    """The tables of one run on points (point_id, features): granules, labels, assignments. clock gets
+    the seconds of each stage; each ends in a written table. made: granules of an earlier run whose
+    Config differs only in the fields AFTER."""
+    clock = {} if clock is None else clock
+    made = granulation(points, cfg) if made is None else made
+    clock.update(made.clock)
+    at = time.perf_counter()
+    labels = durable(_clustered(made.stats, cfg))
+    clock["clustering"] = time.perf_counter() - at
+    return {"granules": made.stats, "labels": labels, "assignments": made.members.join(labels.select("g", "label"), "g").select("point_id", "label")}
 
 
 def confusion(points: DataFrame, cfg: Config) -> DataFrame:
@@ -454,12 +471,12 @@ def confusion(points: DataFrame, cfg: Config) -> DataFrame:
     return score.contingency(points.select("point_id", "label").join(pred, "point_id"))
 
 
-def evaluate(points: DataFrame, cfg: Config, name: str = "") -> dict:
+def evaluate(points: DataFrame, cfg: Config, name: str = "", made: Granulation | None = None) -> dict:
     """One metrics row: accuracy under the best alignment, NMI, ARI, granules, seconds in all and by
     stage; mapping to points and evaluation are not timed."""
     clock: dict[str, float] = {}
     with scratch(points.sparkSession):
-        out = run(points, cfg, clock)
+        out = run(points, cfg, clock, made)
         table = durable(score.contingency(points.select("point_id", "label").join(out["assignments"].withColumnRenamed("label", "pred"), "point_id")))
         found = {"name": name, "acc": score.accuracy(table)[0], "nmi": score.nmi(table).first()[0], "ari": score.ari(table).first()[0], "granules": out["granules"].count()}
     return found | {"seconds": sum(clock.values())} | {f"seconds_{k}": v for k, v in clock.items()}
@@ -488,10 +505,9 @@ def run_all(load, names, base: Config | None = None, settings: dict[str, dict] |
 
 
 def sweep(points: DataFrame, base: Config, grid: dict[str, list], most: int | None = None) -> list[dict]:
-    """Metrics of every combination; without the graph its margins are one trial. An error in one
-    trial is its row. Sorted by accuracy, NMI, ARI and time."""
-    import itertools
-
+    """Metrics of every combination; without the graph its margins are one trial. Trials that differ only
+    after granulation share one, whose seconds count in each. An error in one trial is its row. Sorted by
+    accuracy, NMI, ARI and time."""
     trials, seen = [], set()
     for values in itertools.product(*grid.values()):
         cfg = replace(base, **dict(zip(grid, values, strict=True)))
@@ -499,12 +515,16 @@ def sweep(points: DataFrame, base: Config, grid: dict[str, list], most: int | No
         if cfg not in seen:
             seen.add(cfg)
             trials.append(cfg)
-    rows = []
-    for cfg in trials[:most]:
-        try:
-            rows.append(evaluate(points, cfg) | {"config": cfg})
-        except Exception as e:  # a trial's failure is its result
-            rows.append({"config": cfg, "error": str(e), "acc": -1.0, "nmi": -1.0, "ari": -1.0, "seconds": 0.0})
+    rows, made = [], {}
+    with scratch(points.sparkSession):
+        for cfg in trials[:most]:
+            before = replace(cfg, **{f.name: f.default for f in fields(Config) if f.name in AFTER})
+            try:
+                if before not in made:
+                    made[before] = granulation(points, cfg)
+                rows.append(evaluate(points, cfg, made=made[before]) | {"config": cfg})
+            except Exception as e:  # a trial's failure is its result
+                rows.append({"config": cfg, "error": str(e), "acc": -1.0, "nmi": -1.0, "ari": -1.0, "seconds": 0.0})
     return sorted(rows, key=lambda x: (-x["acc"], -x["nmi"], -x["ari"], x["seconds"]))
 
 

@@ -12,6 +12,7 @@ from granula.functions import folds, shapes
 from granula.operators import labels, score, shape
 from granula.plans import pipelines
 from granula.sources import io
+from tests.conftest import SF
 from tests.test_clustering import blobs
 
 
@@ -199,3 +200,14 @@ def test_refinement_stops_before_a_cluster_is_empty(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1} or set(got.values()) == {0, 1}
     one = start.withColumn("label", F.lit(3))
     assert {r.label for r in labels.centroid_refine(p, one).collect()} == {3}
+
+
+def test_trials_that_differ_after_granulation_share_one(spark, monkeypatch):
+    made = []
+    plain = pipelines.granulate
+    monkeypatch.setattr(pipelines, "granulate", lambda points, cfg, *a: made.append(cfg) or plain(points, cfg, *a))
+    p = io.load(spark, SF).where("point_id < 120")
+    rows = pipelines.sweep(p, pipelines.Config(dims=3), {"scaler": ["standard", "none"], "k": [2, 3]})
+    assert len(rows) == 4 and len(made) == 2 and all(r["acc"] > 0 for r in rows)
+    alone = pipelines.evaluate(p, rows[0]["config"])
+    assert [alone[x] for x in ("acc", "nmi", "ari", "granules")] == [rows[0][x] for x in ("acc", "nmi", "ari", "granules")]
