@@ -92,9 +92,9 @@ re AS (SELECT node AS u, node AS v FROM oc UNION SELECT re.u, ad.v FROM re JOIN
 co AS (SELECT u AS node, min(v) AS component FROM re GROUP BY u),
 sz AS (SELECT component, sum(n) AS n, row_number() OVER (ORDER BY sum(n) DESC, component) - 1 AS seed FROM oc JOIN co ON co.node = oc.node GROUP BY component HAVING sum(n) >= 2)
 """
-_KEYS = [F.col("cell")[i].alias(k) for i, k in enumerate(("kx", "ky", "kz"))]
-query("grid3_point_cell", _GRID + "SELECT id, kx, ky, kz FROM gc")(lambda v: _grid(v).cells.select("id", *_KEYS))
-query("grid3_cells", _GRID + f"SELECT kx, ky, kz, node, n, {r('mx', 'my', 'mz')} FROM oc")(lambda v: _grid(v).occ.select(*_KEYS, "node", "n", *(F.col("centre")[i].alias(k) for i, k in enumerate(("mx", "my", "mz")))))
+_keys = lambda: [F.col("cell")[i].alias(k) for i, k in enumerate(("kx", "ky", "kz"))]
+query("grid3_point_cell", _GRID + "SELECT id, kx, ky, kz FROM gc")(lambda v: _grid(v).cells.select("id", *_keys()))
+query("grid3_cells", _GRID + f"SELECT kx, ky, kz, node, n, {r('mx', 'my', 'mz')} FROM oc")(lambda v: _grid(v).occ.select(*_keys(), "node", "n", *(F.col("centre")[i].alias(k) for i, k in enumerate(("mx", "my", "mz")))))
 query("grid3_adjacency", _GRID + "SELECT u, v FROM ad")(lambda v: grid.adjacent(_grid(v).occ))
 query("grid3_components", _GRID + "SELECT node, component FROM co")(lambda v: grid.components(_grid(v).occ, grid.adjacent(_grid(v).occ)))
 query("grid3_seeds", _GRID + "SELECT gc.id, coalesce(seed, -1)::BIGINT AS seed FROM gc JOIN oc USING (kx, ky, kz) JOIN co ON co.node = oc.node LEFT JOIN sz ON sz.component = co.component")(
