@@ -195,7 +195,10 @@ query("scale_none", BASE + f"SELECT id, {r('x', 'y')} FROM p")(lambda v: scale.s
 query("scale_standard", BASE + f"SELECT id, {r('(x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x', '(y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y')} FROM p")(lambda v: scale.scale(v.p, _XY, "standard").select(*_KEY))
 query("scale_minmax", BASE + f"SELECT id, {r('x', 'y')} FROM u")(lambda v: scale.scale(v.p, _XY, "minmax").select(*_KEY))
 query("scale_robust", BASE + ", q AS (SELECT quantile_cont(x, 0.25) AS x1, median(x) AS x2, quantile_cont(x, 0.75) AS x3, quantile_cont(y, 0.25) AS y1, median(y) AS y2, quantile_cont(y, 0.75) AS y3 FROM p) " + f"SELECT id, {r('(x - x2) / (x3 - x1) AS x', '(y - y2) / (y3 - y1) AS y')} FROM p, q")(lambda v: scale.scale(v.p, _XY, "robust").select(*_KEY))
-query("scale_fit_clip", BASE + f", t AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p WHERE id % 3 = 0) SELECT id, {r('least(1, greatest(0, (x - a) / (b - a))) AS x', 'least(1, greatest(0, (y - c) / (d - c))) AS y')} FROM p, t")(lambda v: scale.fit_minmax_clip(v.p.where("id % 3 = 0"), v.p, _XY).select(*_KEY))
+_TRAIN = "t AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part)"
+query("scale_fit_clip", f"WITH {_TRAIN} SELECT l_orderkey, l_linenumber, {r('least(1, greatest(0, (l_quantity - a) / (b - a))) AS x', 'least(1, greatest(0, (l_extendedprice - c) / (d - c))) AS y')} FROM lineitem, t")(
+    lambda v: scale.fit_minmax_clip(v.table("part").selectExpr("cast(p_size as double) as x", "p_retailprice as y"), v.table("lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity as x", "l_extendedprice as y"), _XY)
+)
 query("scale_columns_safe", BASE + f"SELECT id, {r('x')}, 0.0::DOUBLE AS y FROM u")(lambda v: scale.column_minmax(v.p.withColumn("y", F.lit(3.5)), _XY).select(*_KEY))
 query("vector_minmax", BASE + f"SELECT g, {r('(density - min(density) OVER ()) / greatest(max(density) OVER () - min(density) OVER (), 1e-12) AS v')} FROM gr")(lambda v: v.gr.select("g", scale.vector_minmax(F.col("density")).alias("v")))
 query("vector_minmax_zero", BASE + f"SELECT g, {r('(rho - min(rho) OVER ()) / (max(rho) OVER () - min(rho) OVER ()) AS v')}, 0.0::DOUBLE AS z FROM gr")(lambda v: v.gr.select("g", scale.vector_minmax_or_zero(F.col("rho")).alias("v"), scale.vector_minmax_or_zero(F.lit(2.0) + F.col("g") * 0).alias("z")))
