@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions.state import durable
-from granula.operators import dpc, granule, labels, natural, refine, scale, score, shape, split
+from granula.operators import candidates, dpc, granule, labels, natural, refine, scale, score, shape, split
 from granula.plans.registry import AMBIGUOUS, BASE, K, LAMBDA, _no_null, query, r
 from granula.sources import io
 
@@ -292,3 +292,30 @@ tb AS (SELECT mv.c, name, changed, consistency, sep / (comp + 1e-12) * CASE WHEN
 tg AS (SELECT tb.*, ln(tb.score / z.score) + 0.25 * (tb.consistency - z.consistency) - 0.75 * tb.changed AS gain FROM tb, tb z WHERE z.c = 0)
 """
 query("pick_candidate", BASE + _PICK + f"SELECT name, {r('score', 'consistency', 'changed', 'gain')}, row_number() OVER (ORDER BY CASE WHEN c > 0 AND gain >= 0.005 THEN gain WHEN c = 0 THEN 0.0025 END DESC NULLS LAST, c) = 1 AS chosen FROM tg")(lambda v: refine.pick_candidate(v.dp, v.pr, v.ed, _mass(v), v.la, {"graph": v.gv, "same": v.la}))
+
+
+# Scored lists of centres: the greedy choice once, then every list's chains and score.
+_scored = _kept("scored_lists")(lambda v: candidates.scored(v.dp, v.pr)[0])
+_LISTS = BASE + f""", tau AS (SELECT coalesce(median(delta) FILTER (WHERE delta > 0), 0) AS s FROM dp),
+no AS (SELECT g, gamma, pick, count(*) OVER () AS m, (gamma - min(gamma) OVER ()) / (max(gamma) OVER () - min(gamma) OVER () + 1e-12) AS norm, lead(gamma) OVER (ORDER BY pick) AS nx, max(gamma) OVER () AS hi FROM ga),
+nz AS (SELECT max(norm) FILTER (WHERE pick = 1) AS a, max(norm) FILTER (WHERE pick = m) AS z, avg(norm) + 0.5 * stddev_pop(norm) AS ov FROM no),
+ru AS (SELECT unnest([(0, arg_max(pick, (round(greatest((gamma - nx) / (abs(gamma) + 1e-12), 0), 12), -pick)) FILTER (WHERE nx IS NOT NULL)), (1, max(pick) FILTER (WHERE gamma >= 0.2 * hi)), (2, max(pick) FILTER (WHERE norm >= ov)),
+  (3, arg_max(pick, (round(abs((pick - 1) / (m - 1) * (z - a) - (norm - a)), 12), -pick))), (4, any_value(CASE WHEN (SELECT gamma FROM ga WHERE pick = 2) / (hi + 1e-12) >= 0.5 AND (SELECT d FROM pr JOIN ga x ON x.g = i AND x.pick = 1 JOIN ga y ON y.g = j AND y.pick = 2) > (SELECT s FROM tau) THEN 2 ELSE 1 END))]) AS e FROM no, nz),
+ls0 AS (SELECT e[1] AS o, e[2] AS size FROM ru),
+{_walk(_ALLGA, 'SELECT i AS g, j AS h FROM pr, tau WHERE d <= s', '1000000', '1', '9')},
+kp9 AS (SELECT ga.g, gamma, pick, (row_number() OVER (ORDER BY pick) - 1)::INT AS label FROM ga, fi9 WHERE list_contains(chosen, ga.g)),
+lc AS (SELECT min(o) AS o, k FROM (SELECT o, count(*) AS k FROM ls0 JOIN kp9 ON pick <= size GROUP BY o) GROUP BY k),
+ow AS (SELECT o, k, kp9.* FROM lc JOIN kp9 ON label < k),
+wk AS (SELECT o, dp.g, dp.g AS at FROM lc, dp UNION ALL SELECT wk.o, wk.g, dp.parent FROM wk JOIN dp ON dp.g = wk.at WHERE dp.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ow WHERE ow.o = wk.o AND ow.g = wk.at)),
+rt AS (SELECT wk.o, wk.g, ow.label FROM wk JOIN ow ON ow.o = wk.o AND ow.g = wk.at),
+ne AS (SELECT o, i AS g, arg_min(label, (d, label)) AS near FROM pr JOIN ow ON ow.g = j GROUP BY o, i),
+lb AS (SELECT lc.o, dp.g, coalesce(rt.label, near, 0) AS label FROM lc CROSS JOIN dp LEFT JOIN rt ON rt.o = lc.o AND rt.g = dp.g LEFT JOIN ne ON ne.o = lc.o AND ne.g = dp.g),
+ni AS (SELECT lb.o, avg(coalesce(d, 0)) AS i FROM lb JOIN ow ON ow.o = lb.o AND ow.label = lb.label LEFT JOIN pr ON pr.i = lb.g AND pr.j = ow.g GROUP BY lb.o),
+nu AS (SELECT a.o, avg(d) AS u FROM ow a JOIN ow b ON a.o = b.o AND a.label < b.label JOIN pr ON i = a.g AND j = b.g GROUP BY a.o),
+nv AS (SELECT o, avg((s <= 1)::INT) AS tiny, stddev_pop(s) / (avg(s) + 1e-12) AS vary FROM (SELECT o, label, count(*) AS s FROM lb GROUP BY o, label) GROUP BY o),
+ng AS (SELECT o, sum(gamma) / ((SELECT sum(gamma) FROM ga) + 1e-12) AS share FROM ow GROUP BY o),
+sl AS (SELECT lc.o, lc.k, coalesce(u, 0) / (ni.i + 1e-12) + 0.35 * share - 0.6 * tiny - 0.25 * CASE WHEN lc.k > 1 THEN vary ELSE 0 END - 0.2 * lc.k / (SELECT count(*) FROM dp) AS score FROM lc JOIN ni ON ni.o = lc.o LEFT JOIN nu ON nu.o = lc.o JOIN nv ON nv.o = lc.o JOIN ng ON ng.o = lc.o),
+bl AS (SELECT arg_max(o, (score, -o)) AS o FROM sl)
+"""
+query("scored_centre_lists", _LISTS + f"SELECT sl.k::INT AS k, {r('score')}, sl.o = bl.o AS chosen FROM sl, bl")(_scored)
+query("centers_scored", _LISTS + "SELECT ow.g, ow.label FROM ow JOIN bl ON bl.o = ow.o")(lambda v: candidates.scored(v.dp, v.pr)[1])

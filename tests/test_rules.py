@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granula.functions import shapes
-from granula.operators import dpc, granule, grid, labels, natural, shape
+from granula.functions import folds, shapes
+from granula.operators import candidates, dpc, granule, grid, labels, natural, shape
 
 
 def test_the_cap_comes_before_the_penalties(spark):
@@ -156,3 +156,18 @@ def test_touching_cells_and_regions_in_any_dimension(spark, dims, bins):
 def test_an_empty_grid(spark):
     occ = grid.occupied(grid.cells(spark.createDataFrame([], "id long, features array<double>"), 4))
     assert grid.adjacent(occ).collect() == [] and grid.components(occ, grid.adjacent(occ)).select(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("seed", [1, 4, 8])
+def test_scored_lists_equal_the_lists_one_by_one(spark, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(50, 2)) + 5 * r.integers(0, 3, size=(50, 1))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    rho = r.gamma(2, size=50)
+    delta, parent = folds.peaks(rho, d)
+    table = spark.createDataFrame([(i, float(rho[i]), float(delta[i]), int(parent[i]) if parent[i] >= 0 else None, float(rho[i] * delta[i])) for i in range(50)], "g long, rho double, delta double, parent long, gamma double")
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(50) for j in range(50) if i != j], "i long, j long, d double")
+    lists, best = candidates.scored(table, pairs)
+    want = {len(k): folds.simulated_score(k, rho * delta, parent, d) for k in folds.proposals(rho * delta, d, delta)}
+    assert {a.k: a.score for a in lists.collect()} == pytest.approx(want)
+    assert [a.g for a in best.orderBy("label").collect()] == folds.best_count(rho * delta, delta, parent, d)
