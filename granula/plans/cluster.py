@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.functions.state import durable
-from granula.operators import graph, index
+from granula.operators import candidates, dpc, graph, index, natural, refine, score
 from granula.operators import labels as lab
 from granula.sources import io
 
@@ -179,15 +179,81 @@ def chosen_centres(rows: DataFrame, score: DataFrame, k: int, least: float) -> p
     return kept.assign(label=range(len(kept)))[["label", "g", "centre", "cov"]]
 
 
+def all_pairs(rows: DataFrame, m: int) -> DataFrame:
+    """i, j, d of all granules, both ways, made block by block."""
+    blocks = -(-m // index.BLOCK)
+    part = F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("g", "centre", "cov", part.alias("a")).withColumn("b", every)
+    right = rows.select("g", "centre", "cov", part.alias("b")).withColumn("a", every)
+    right = right.toDF(*right.columns)
+
+    def both(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        # The smaller id's row comes first, so both ways give one number.
+        i, j = np.repeat(p["g"].to_numpy(), len(q)), np.tile(q["g"].to_numpy(), len(p))
+        d = np.where(i < j, distances(*_arrays(p), *_arrays(q)).ravel(), distances(*_arrays(q), *_arrays(p)).T.ravel())
+        return pd.DataFrame({"i": i[i != j], "j": j[i != j], "d": d[i != j]})
+
+    return durable(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(both, "i long, j long, d double"))
+
+
+class Natural:
+    """The natural neighbours of a run's granules and what hangs on them."""
+
+    def __init__(self, pairs: DataFrame, rule: str):
+        knn = durable(natural.ranks(pairs))
+        lam = natural.search(knn, rule).first()["natural_k"] or 1
+        self.edges = durable(natural.edges(knn, lam))
+        self.occurrence = durable(natural.occurrence(knn, lam))
+
+
+#: The search for natural neighbours that each refinement goes with.
+SEARCH = {"fuzzy": "stable", "weighted": "coverage", "reliable": "stable"}
+
+
+def refined(kind: str, near: Natural, dp: DataFrame, label: DataFrame, centres: DataFrame, pairs: DataFrame, mass: DataFrame) -> DataFrame:
+    """The labels after a refinement's own proposal, if its own test accepts them; else as they were."""
+    e, occ = near.edges, near.occurrence
+    if kind == "fuzzy":
+        new = durable(refine.propose_membership(dp, label, e, occ, centres, pairs).select("g", "label"))
+        ok = refine.accept_membership(dp, label, new, pairs, e)
+    elif kind == "weighted":
+        new = durable(refine.propose_weighted(dp, label, e, occ, centres, pairs, mass).select("g", "label"))
+        ok = refine.accept_weighted(dp, label, new, pairs, e, mass)
+    else:
+        sure = durable(graph.reliable(e, dp.select("g", "rho").join(mass, "g"), centres))
+        doubt = durable(natural.ambiguous(e, sure, dp).where("ambiguous").select("g"))
+        held = centres.select("g", F.lit(True).alias("c"))
+        start = sure.join(doubt.withColumn("a", F.lit(True)), "g", "left").join(held, "g", "left").select("g", F.when(F.col("c").isNull() & (F.col("a") | F.col("label").isNull()), -1).otherwise(F.col("label")).cast("int").alias("label"))
+        new = durable(refine.assign_rounds(dp, start, e, doubt, centres, pairs, mass))
+        ok = refine.accept_rounds(dp, label, new, pairs)
+    return new if ok.first()["accepted"] else label
+
+
 def cluster(stats: DataFrame, cfg) -> DataFrame:
-    """g, label, delta, gamma of the granules (g, rho, centre, h) by a pipeline's Config."""
+    """g, label, delta, gamma of the granules (g, n, rho, centre, h) by a pipeline's Config."""
     spark = stats.sparkSession
     plain = cfg.density in ("ball", "size")
-    names = durable(io.number_by(stats.select("g", "rho", "centre", "h"), "g").withColumnRenamed("g", "name").withColumnRenamed("point_id", "g"))
+    names = durable(io.number_by(stats.select("g", "n", "rho", "centre", "h"), "g").withColumnRenamed("g", "name").withColumnRenamed("point_id", "g"))
     top = F.lit(1.0) if plain else F.col("top")
-    shaped = names if plain else names.mapInPandas(_with_top, "name string, rho double, centre array<double>, h array<double>, g long, top double")
+    shaped = names if plain else names.mapInPandas(_with_top, "name string, n long, rho double, centre array<double>, h array<double>, g long, top double")
     rows = durable(shaped.select("g", "rho", "centre", (F.array().cast("array<double>") if plain else F.col("h")).alias("cov"), top.alias("top")))
     m = rows.count()
+    mass = names.select("g", "n")
+    pairs = near = None
+    if cfg.refine != "none" or cfg.counts or cfg.centres not in ("top", "separated"):
+        pairs = all_pairs(rows, m)
+    if cfg.refine != "none":
+        near = Natural(pairs, SEARCH[cfg.refine])
+        sized = rows.select("g", F.col("rho").alias("density")).join(mass, "g")
+        if cfg.refine == "weighted":
+            dense = natural.weighted_density(near.edges, sized, near.occurrence).withColumnRenamed("weighted", "rho")
+        elif cfg.refine == "reliable":
+            dense = natural.hybrid_density(sized, natural.structural_density(near.edges, sized)).withColumnRenamed("hybrid", "rho")
+        if cfg.refine != "fuzzy":
+            rows = durable(rows.drop("rho").join(dense, "g").select("g", "rho", "centre", "cov", "top"))
     votes = max(2, math.ceil(math.log2(max(2, m)))) if cfg.graph or cfg.labels == "strong" else 1
     if cfg.delta in ("ordered", "ball"):  # an order without ties in place of the density
         ranked = io.number_by(rows.withColumn("down", -F.col("rho")), "down", "g").select("g", (-F.col("point_id")).cast("double").alias("rho"), "centre", "cov", "top")
@@ -196,25 +262,49 @@ def cluster(stats: DataFrame, cfg) -> DataFrame:
         links = index.nearest(rows, votes, denser=True).links
     links = durable(links.join(rows.select(F.col("g").alias("j"), F.col("rho").alias("rho_j")), "j").select("i", "j", "d", "r", "rho_j"))
     dp = durable(attributes(rows, links, cfg.delta).withColumn("gamma", F.col("rho") * F.col("delta")))
-    least = 0.0
-    if cfg.centres == "separated":
-        low, mid = quantiles(rows, m, (0.25, 0.5))
-        least = max(low, cfg.tau * mid, 1e-12)
-    few = chosen_centres(rows, dp.select("g", F.col("gamma").alias("score")), max(1, min(cfg.k, m)), least)
+    if cfg.counts and m > 1:
+        label = refine.best_labels(dp, pairs, cfg.counts, cfg.margin)[1]
+        return _named(names, label, dp)
+    few = _centres(rows, dp, m, cfg, pairs, near)
     centres = spark.createDataFrame([(int(g), int(x)) for g, x in zip(few["g"], few["label"], strict=True)], "g long, label int")
-    near = durable(to_few(rows, few).select("g", F.expr("array_position(d, array_min(d)) - 1").cast("int").alias("near")))
+    nearest = durable(to_few(rows, few).select("g", F.expr("array_position(d, array_min(d)) - 1").cast("int").alias("near")))
     if cfg.labels == "strong":
-        label = graph.strong_graph(links, rows, centres, near)
+        label = graph.strong_graph(links, rows, centres, nearest)
     else:
         roots = lab.chains(dp.select("g", "parent"), centres).join(F.broadcast(centres.select(F.col("g").alias("root"), "label")), "root", "left")
         other = F.lit(len(few)) if cfg.labels == "noise" else F.col("near")
-        label = durable(roots.join(near, "g").select("g", F.coalesce("label", other).cast("int").alias("label")))
+        label = durable(roots.join(nearest, "g").select("g", F.coalesce("label", other).cast("int").alias("label")))
     if cfg.graph:
         new = durable(lab.graph_vote(dp, links.select("i", "j", "d"), label, centres, cfg.margin))
         label = new if lab.safe(label, new).first()["accepted"] else label
+    if near is not None and m > 1:
+        label = refined(cfg.refine, near, dp, label, centres, pairs, mass)
+    return _named(names, label, dp)
+
+
+def _named(names: DataFrame, label: DataFrame, dp: DataFrame) -> DataFrame:
     return names.select("g", "name").join(label, "g").join(dp, "g").select(F.col("name").alias("g"), F.col("label").cast("int").alias("label"), "delta", "gamma")
 
 
+def _centres(rows: DataFrame, dp: DataFrame, m: int, cfg, pairs: DataFrame | None, near: Natural | None) -> pd.DataFrame:
+    """label, g, centre, cov of the centres by the Config's rule."""
+    k = max(1, min(cfg.k, m))
+    if cfg.centres in ("top", "separated") or m < 2:
+        least = 0.0
+        if cfg.centres == "separated":
+            low, mid = quantiles(rows, m, (0.25, 0.5))
+            least = max(low, cfg.tau * mid, 1e-12)
+        return chosen_centres(rows, dp.select("g", F.col("gamma").alias("score")), k, least)
+    if cfg.centres == "scored":
+        found = candidates.scored(dp, pairs)[1]
+    elif cfg.centres == "basin":
+        found = dpc.basin_separated(dp, pairs, near.edges, k, cfg.tau)
+    else:
+        by = dp.join(near.occurrence, "g").withColumn("gamma", score.centre_score(F.col("rho"), F.col("delta"), F.col("occurrence")))
+        found = dpc.locally_separated(by, pairs, natural.radii(near.edges), k)
+    return found.join(rows.select("g", "centre", "cov"), "g").orderBy("label").toPandas()[["label", "g", "centre", "cov"]]
+
+
 def _with_top(batches):
     """Adds the largest eigenvalue of h."""
     for pdf in batches:

@@ -7,9 +7,8 @@ finish their subtree in one grouped Arrow task each; splits are independent and
 split, shape, gate and smallest leaf, so both give the same leaves up to rounding. The choice between a ball
 and its children (`ball_dpc_tree`) goes on from the tasks' subtrees up the levels.
 
-Then the granules are clustered by the distributed plan of `plans.cluster`. Runs that refine labels, choose
-among numbers of centres or score lists of them still go through the order-dependent folds in one task, if
-there are at most MAX_GRANULES.
+Then the granules are clustered by the distributed plan of `plans.cluster`. Only the run that tries a grid of
+assisted gammas still goes through the order-dependent folds in one task, if there are at most MAX_GRANULES.
 """
 
 from __future__ import annotations
@@ -81,7 +80,7 @@ CONFIGS = {
     "nn_refined_dpc": Config(refine="fuzzy"),
     "nn_candidate_dpc": Config(refine="candidates", delta="row"),
     "fuzzy_nn_dpc": Config(refine="reliable", delta="ordered", centres="basin"),
-    "weighted_nn_dpc": Config(refine="fuzzy", delta="ordered", centres="local"),
+    "weighted_nn_dpc": Config(refine="weighted", delta="ordered", centres="local"),
 }
 
 
@@ -423,7 +422,7 @@ def _fold(cfg: Config):
 
 
 def _clustered(stats: DataFrame, cfg: Config) -> DataFrame:
-    if cfg.refine == "none" and not cfg.counts and cfg.centres in ("top", "separated"):
+    if cfg.refine != "candidates":
         return cluster.cluster(stats, cfg)
     if (m := stats.count()) > MAX_GRANULES:
         raise ValueError(f"{m} granules: raise split_factor so that there are at most {MAX_GRANULES}")

@@ -1,5 +1,7 @@
 """The distributed clustering step against the folds, which walk dense matrices."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ CASES = {
     "ball": pipelines.Config(density="ball", delta="ball", centres="top", k=5),
     "size": pipelines.Config(density="size", delta="ordered", centres="top", k=3),
     "more": pipelines.Config(k=500),
+    "counts": pipelines.Config(graph=True, counts=(2, 4)),
+    "scored": pipelines.Config(centres="scored"),
 }
 
 
@@ -62,3 +66,11 @@ def test_quantiles_of_all_pairs(spark, monkeypatch):
     for shares in ((0.25, 0.5), (0.0, 1.0), (0.333,)):
         assert np.allclose(cluster.quantiles(rows, 40, shares), np.quantile(d[d > 0], shares))
     assert cluster.quantiles(rows.limit(1), 1, (0.5,)) == [0.0]
+
+
+@pytest.mark.parametrize("name", ["nn_refined_dpc", "weighted_nn_dpc", "fuzzy_nn_dpc"])
+def test_refined_runs_label_every_granule_with_the_centres_labels(spark, name):
+    stats = stats_table(spark, 60, 2, 3, ties=False)
+    got = cluster.cluster(stats, replace(pipelines.CONFIGS[name], k=4)).collect()
+    assert len({x.g for x in got}) == len(got) == 60
+    assert {x.label for x in got} == {0, 1, 2, 3} and all(x.delta >= 0 for x in got)
