@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from granula.llm.common import release
 
 #: Entries of a worker's cache; it starts anew when it is full.
-CACHE = 300_000
+CACHE = 100_000
 #: Symbols read beyond the lookahead before tokens are emitted.
 STEP = 512
 #: White space of the tokenizers library's patterns (Unicode White_Space).
