@@ -38,23 +38,37 @@ def split_once(points: DataFrame, ties_left: bool = False) -> DataFrame:
     return _two(points.join(ends, "g").withColumn("child", F.when((d1 <= d2) if ties_left else (d1 < d2), 0).otherwise(1)).select(*points.columns, "child"))
 
 
-def split_ellipsoid(points: DataFrame) -> DataFrame:
-    """End points first, then once more by Mahalanobis distance to the children."""
-    first = split_once(points)
+def reassign(first: DataFrame) -> DataFrame:
+    """Splits once more by Mahalanobis distance to the children of a first split (ties: child 1)."""
     kids = granule.moments(first.withColumn("g", F.struct("g", "child")))
     shape = F.struct("cx", "cy", "a", "b", "c")
     pair = kids.groupBy(F.col("g.g").alias("g")).agg(*(F.max(F.when(F.col("g.child") == i, shape)).alias(f"k{i}") for i in (0, 1)))
     m2 = "greatest(({k}.c * (x - {k}.cx) * (x - {k}.cx) - 2 * {k}.b * (x - {k}.cx) * (y - {k}.cy) + {k}.a * (y - {k}.cy) * (y - {k}.cy)) / ({k}.a * {k}.c - {k}.b * {k}.b), 0)"
     child = F.expr(f"if({m2.format(k='k0')} < {m2.format(k='k1')}, 0, 1)")
-    return _two(first.join(pair, "g").select(*points.columns, child.alias("child")))
+    return _two(first.drop("child").join(pair, "g").select(*(c for c in first.columns if c != "child"), child.alias("child")))
+
+
+def split_ellipsoid(points: DataFrame) -> DataFrame:
+    """End points first, then once more by Mahalanobis distance to the children."""
+    return reassign(split_once(points))
 
 
 def split_axis_median(points: DataFrame) -> DataFrame:
-    """Projection on the first principal axis, cut at its median: child 0 iff at most the median."""
+    """Projection on the first principal axis, cut at its median: child 0 iff at most the median. Where no
+    point is above the median, the first half in the order of projection and id is child 0."""
     m = granule.moments(points).select("g", "cx", "cy", F.expr("0.5 * atan2(2 * b, a - c)").alias("t"))
-    pr = points.join(m, "g").withColumn("pr", F.expr("(x - cx) * cos(t) + (y - cy) * sin(t)"))
-    cut = pr.groupBy("g").agg(F.median("pr").alias("cut"))
-    return _two(pr.join(cut, "g").withColumn("child", F.when(F.col("pr") <= F.col("cut"), 0).otherwise(1)).select(*points.columns, "child"))
+    pr = durable(points.join(m, "g").withColumn("pr", F.expr("(x - cx) * cos(t) + (y - cy) * sin(t)")))
+    cut = durable(pr.groupBy("g").agg(F.median("pr").alias("cut"), F.max("pr").alias("top"), F.count("*").alias("n")))
+    out = pr.join(cut, "g")
+    above = out.where("top > cut").withColumn("child", F.when(F.col("pr") <= F.col("cut"), 0).otherwise(1))
+    at = F.row_number().over(Window.partitionBy("g").orderBy("pr", "id"))
+    flat = out.where("not top > cut").withColumn("child", F.when(at <= F.floor(F.col("n") / 2), 0).otherwise(1))
+    return _two(above.select(*points.columns, "child").union(flat.select(*points.columns, "child")))
+
+
+def split_median_ellipsoid(points: DataFrame) -> DataFrame:
+    """The median of the first axis first, then by Mahalanobis distance to the children."""
+    return reassign(split_axis_median(points))
 
 
 def children(split: DataFrame) -> DataFrame:

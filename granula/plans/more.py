@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions.state import durable
-from granula.operators import candidates, dpc, granule, labels, natural, refine, scale, score, shape, split
+from granula.operators import candidates, dpc, granule, labels, natural, refine, rounds, scale, score, shape, split
 from granula.plans.registry import AMBIGUOUS, BASE, K, LAMBDA, _no_null, query, r
 from granula.sources import io
 
@@ -102,6 +102,24 @@ sqrt((pc * dx * dx - 2 * pb * dx * dy + pa * dy * dy) / (pa * pc - pb * pb)) >=
 NOT (least(n_0, n_1) <= 3 AND greatest(n_0, n_1) >= n - 3) AS balance_ok, p0 + q0 + p1 + q1 < l1 + l2 AS axes_ok, kp.full AS shape_ok FROM kp""")(lambda v: split.judge(v.p, 3))
 query("refine_outliers", BASE + _KIDS + """, ok AS (SELECT g FROM kp WHERE l1 + l2 > 1.1 * (SELECT avg(l1 + l2) FROM gr) AND least(n_0, n_1) >= greatest(2, ceil(0.1 * sqrt((SELECT count(*) FROM p)))) AND d_0 + d_1 > 0.9 * density)
 SELECT p.id, p.g, coalesce(CASE WHEN ok.g IS NOT NULL THEN child END, -1) AS child FROM p LEFT JOIN se ON se.id = p.id LEFT JOIN ok ON ok.g = p.g""")(lambda v: split.refine_round(v.p, 1.1, 0.9).select("id", "g", F.coalesce("child", F.lit(-1)).alias("child")))
+# The median of the first axis, halves where none is above it, then the children's shapes.
+_MEDIAN = """, mq AS (SELECT me.g, id, x, y, (x - cx) * cos(0.5 * atan2(2 * b, a - c)) + (y - cy) * sin(0.5 * atan2(2 * b, a - c)) AS q FROM {me} me),
+mw AS (SELECT *, median(q) OVER w AS cut, max(q) OVER w AS top, count(*) OVER w AS m, row_number() OVER (PARTITION BY g ORDER BY q, id) AS nth FROM mq WINDOW w AS (PARTITION BY g)),
+mh AS (SELECT g, id, x, y, CASE WHEN top > cut THEN (q > cut)::INT ELSE (nth > m // 2)::INT END AS child FROM mw),
+mb AS (SELECT * FROM mh QUALIFY sum(child) OVER (PARTITION BY g) BETWEEN 1 AND count(*) OVER (PARTITION BY g) - 1),
+mm AS (SELECT g, child, avg(x) AS cx, avg(y) AS cy, covar_pop(x, x) + 1e-6 AS a, covar_pop(x, y) AS b, covar_pop(y, y) + 1e-6 AS c FROM mb GROUP BY g, child),
+mr AS (SELECT mb.g, id, x, y, mm.child AS k, greatest((c * (x - cx) * (x - cx) - 2 * b * (x - cx) * (y - cy) + a * (y - cy) * (y - cy)) / (a * c - b * b), 0) AS q FROM mb JOIN mm ON mm.g = mb.g),
+mt AS (SELECT g, id, x, y, (NOT max(q) FILTER (WHERE k = 0) < max(q) FILTER (WHERE k = 1))::INT AS child FROM mr GROUP BY g, id, x, y),
+mz AS (SELECT * FROM mt QUALIFY sum(child) OVER (PARTITION BY g) BETWEEN 1 AND count(*) OVER (PARTITION BY g) - 1)"""
+query("split_median_ellipsoid", BASE + _MEDIAN.format(me="me") + " SELECT id, g, child FROM mz")(lambda v: split.split_median_ellipsoid(v.p).select("id", "g", "child"))
+for _rule, _of, _kids, _gate in (
+    ("core", "avg", _KIDS, "least(n_0, n_1) >= ceil(sqrt((SELECT count(*) FROM p))) * 0.1"),
+    ("four", "median", _MEDIAN.format(me="me") + _KIDS.replace("FROM se)", "FROM mz)"), "least(n_0, n_1) >= {m} AND NOT (least(n_0, n_1) <= {m} AND greatest(n_0, n_1) >= n - {m}) AND p0 + q0 + p1 + q1 < l1 + l2".format(m="greatest(2, ceil(0.1 * sqrt((SELECT count(*) FROM p))))")),
+    ("whole", "avg", _KIDS, "least(n_0, n_1) >= 4 AND kp.full"),
+):
+    query(f"refine_{_rule}", BASE + _kids + f""", ok AS (SELECT g FROM kp WHERE l1 + l2 > 1.1 * (SELECT {_of}(l1 + l2) FROM gr) AND {_gate} AND d_0 + d_1 > 0.9 * density)
+SELECT p.id, p.g, CASE WHEN ok.g IS NULL THEN '' ELSE child::VARCHAR END AS path FROM p LEFT JOIN {'mz' if _rule == 'four' else 'se'} k ON k.id = p.id LEFT JOIN ok ON ok.g = p.g""")(lambda v, rule=_rule: rounds.refine(v.p, rule, 1.1, 0.9, 1).select("id", "g", "path"))
+    query(f"refine_{_rule}_rounds")(lambda v, rule=_rule: rounds.refine(v.p, rule, 1.1, 0.9).select("id", "g", "path"))
 query("pca_plane_2d", BASE + f", m AS (SELECT avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), covar_pop(x, x) - covar_pop(y, y)) AS t FROM p) SELECT id AS point_id, {r('abs((x - cx) * cos(t) + (y - cy) * sin(t)) AS pc1', 'abs((y - cy) * cos(t) - (x - cx) * sin(t)) AS pc2')} FROM p, m")(
     lambda v: scale.pca2(v.p.select(F.col("id").alias("point_id"), F.array("x", "y").alias("features"))).select("point_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"))
 )
