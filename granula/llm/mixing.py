@@ -26,6 +26,8 @@ from granula.llm.common import WS, durable
 
 #: Rows of a source that one key range holds on average.
 RANGE_ROWS = 2_000
+#: Weights, each twice the last, that stand for all between 1/20 and 1 in the cut of key ranges.
+WEIGHTS = (0.05, 0.1, 0.2, 0.4, 0.8)
 CAP = 3
 
 
@@ -69,7 +71,10 @@ def sort_key(doc_id: F.Column, w: F.Column) -> F.Column:
 
 
 def key_range(key: F.Column, ranges: F.Column) -> F.Column:
-    return F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-key * 0.8))))
+    """The key's place in the mean distribution of weights 1/20 to 1, cut evenly: a range holds at most
+    about ten times its share of a source, whatever its documents weigh."""
+    below = sum(((1 - F.exp(-key * w)) for w in WEIGHTS[1:]), 1 - F.exp(-key * WEIGHTS[0])) / len(WEIGHTS)
+    return F.least(ranges - 1, F.floor(ranges * below))
 
 
 def _place(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
