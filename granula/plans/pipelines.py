@@ -305,7 +305,7 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         clipped = points.select(F.col("point_id").alias("id"), F.transform("features", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).alias("features"))
         cells = durable(grid.cells(clipped, split.bins(n, points.select(F.size("features")).first()[0] if n else 1)))
         occ = durable(grid.occupied(cells))
-        seeds = grid.seeds(cells, grid.components(occ, grid.adjacent(occ)), occ)
+        seeds = grid.seeds(cells, grid.regions(occ), occ)
         now = points.join(seeds.select(F.col("id").alias("point_id"), F.format_string("s%06d.", "seed").alias("g")), "point_id")
     else:
         now = points.withColumn("g", F.lit("r"))
