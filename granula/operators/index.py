@@ -29,6 +29,8 @@ from granula.functions.joins import merge
 from granula.functions.state import durable
 
 MAX_PIVOTS, BLOCK = 4096, 2000
+#: Rows either side of a group where distances are in shapes; each one is a system of equations there.
+SHAPED = 128
 #: How many cells beyond the own one are looked at by the end of each round; then all others.
 STEPS = (3, 12, 48)
 #: Bounds are loosened by this share, for they are rounded too.
@@ -44,6 +46,12 @@ class Nearest(NamedTuple):
     touched: int
 
 
+def block(rows: DataFrame) -> int:
+    """Rows of one side of a group of pairs."""
+    one = rows.select(F.size("cov").alias("n")).first()
+    return min(BLOCK, SHAPED) if one and one["n"] > 16 else BLOCK
+
+
 def plane(g: DataFrame) -> DataFrame:
     """The index' rows of granules in the plane (g, density, cx, cy, a, b, c), in their shapes."""
     top = F.expr("(a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)")
@@ -62,7 +70,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Plain distances of all rows of x and y, from differences: as exact as one by one."""
     out = np.empty((len(x), len(y)))
-    step = max(1, (1 << 22) // max(1, y.size))
+    step = max(1, (1 << 18) // max(1, y.size))  # stays in a core's cache
     for a in range(0, len(x), step):
         out[a : a + step] = np.sqrt(((x[a : a + step, None, :] - y[None]) ** 2).sum(axis=2))
     return out
@@ -135,10 +143,10 @@ def _asks(cells: pd.DataFrame, pivots: np.ndarray, start: int, end: int | None,
     return run
 
 
-def _ask(dealt: DataFrame, queries: DataFrame, k: int, denser: bool) -> DataFrame:
+def _ask(dealt: DataFrame, queries: DataFrame, k: int, denser: bool, side: int) -> DataFrame:
     """(i, j, d): the k best of the cells that queries (row, best, cell) name."""
-    per = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))
-    spans = merge(per, dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ds")), "cell")
+    per = queries.groupBy("cell").agg(F.ceil(F.count("*") / side).cast("int").alias("qs"))
+    spans = merge(per, dealt.groupBy("cell").agg(F.ceil(F.count("*") / side).cast("int").alias("ds")), "cell")
     spans = F.broadcast(spans)  # a row for each cell
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(spans, "cell").withColumn("q", F.pmod(F.xxhash64("g"), F.col("qs")).cast("int")).withColumn("s", every("ds"))
@@ -163,10 +171,11 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
     none = rows.sparkSession.createDataFrame([], "i long, j long, d double, r int")
     if m < 2:
         return Nearest(none, 0)
+    side = block(rows)
     size = min(MAX_PIVOTS, int(np.ceil(np.sqrt(m)))) if m > BLOCK else 1  # so few are one group anyway
     if size == 1:
         dealt = rows.select("*", F.lit(0).alias("cell"))
-        links = durable(_cut(_ask(dealt, dealt.withColumn("best", F.lit(float("inf"))), k, denser), k))
+        links = durable(_cut(_ask(dealt, dealt.withColumn("best", F.lit(float("inf"))), k, denser, side), k))
         return Nearest(links, m * m)
     pivots = np.array([r["centre"] for r in rows.orderBy(F.xxhash64("g"), "g").limit(size).select("centre").collect()])
     dealt = durable(rows.mapInPandas(_deal(pivots), f"{_ROW}, cell int, far double"))
@@ -176,7 +185,7 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
     queries = dealt.select("g", "rho", "centre", "cov", "top", far.alias("best"), "cell")
     of_cell = rows.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(cells["cell"], cells["n"], strict=True)], "cell int, n long")
     touched = int((cells["n"] ** 2).sum())
-    links = durable(_cut(_ask(dealt, queries, k, denser), k))
+    links = durable(_cut(_ask(dealt, queries, k, denser, side), k))
     for start, end in zip((0, *STEPS), (*STEPS, None), strict=True):
         if start >= len(cells) - 1:
             break
@@ -184,7 +193,7 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
         now = dealt.select("g", "rho", "centre", "cov", "top", "cell").join(kth, "g", "left").withColumn("best", F.coalesce("best", far))
         queries = durable(now.mapInPandas(_asks(cells, pivots, start, end, denser), f"{_ROW}, best double, cell int"))
         touched += queries.join(F.broadcast(of_cell), "cell").agg(F.sum("n")).first()[0] or 0
-        links = durable(_cut(links.drop("r").union(_ask(dealt, queries, k, denser)), k))
+        links = durable(_cut(links.drop("r").union(_ask(dealt, queries, k, denser, side)), k))
     return Nearest(links, touched)
 
 

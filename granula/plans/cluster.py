@@ -23,6 +23,8 @@ from granula.sources import io
 
 #: Candidates for centres that the driver fetches at a time, and bins of a histogram.
 BATCH, BINS = 256, 4096
+#: Granules whose pairs are a table of the size of the points' own: they are about the root of the points.
+KEPT = 8192
 
 
 def distances(x: np.ndarray, xc: np.ndarray | None, y: np.ndarray, yc: np.ndarray | None) -> np.ndarray:
@@ -55,28 +57,50 @@ def to_few(rows: DataFrame, few: pd.DataFrame) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, m: int, run, schema: str) -> DataFrame:
-    """run(distances) over the pairs of a block of granules and another or itself."""
-    blocks = -(-m // index.BLOCK)
+    """run(i, j, distances) over the pairs i < j of a block of granules and another or itself. In shapes, where a
+    distance is a system of equations, blocks are small, so that the work is dealt out."""
+    blocks = -(-m // index.block(rows))
     part = F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select("g", "centre", "cov", part.alias("a")).withColumn("b", F.explode(F.filter(every, lambda x: x >= F.col("a"))))
     right = rows.select("g", "centre", "cov", part.alias("b")).withColumn("a", F.explode(F.filter(every, lambda x: x <= F.col("b"))))
 
     def both(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
         if not len(p) or not len(q):
-            return run(np.zeros(0))
-        d = distances(*_arrays(p), *_arrays(q))
-        d = d[p["g"].to_numpy()[:, None] < q["g"].to_numpy()[None]] if key[0] == key[1] else d.ravel()
-        return run(d[d > 0])
+            return run(none, none, np.zeros(0))
+        i, j = np.repeat(p["g"].to_numpy(), len(q)), np.tile(q["g"].to_numpy(), len(p))
+        d = distances(*_arrays(p), *_arrays(q)).ravel()
+        ok = i < j if key[0] == key[1] else i != j
+        return run(np.minimum(i, j)[ok], np.maximum(i, j)[ok], d[ok])
 
     right = right.toDF(*right.columns)
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(both, schema)
 
 
-def quantiles(rows: DataFrame, m: int, shares: tuple[float, ...]) -> list[float]:
+def half_pairs(rows: DataFrame, m: int) -> DataFrame:
+    """i < j, d of all granules, written once."""
+    return durable(_block_pairs(rows, m, lambda i, j, d: pd.DataFrame({"i": i, "j": j, "d": d}), "i long, j long, d double"))
+
+
+def quantiles(rows: DataFrame, m: int, shares: tuple[float, ...], pairs: DataFrame | None = None) -> list[float]:
     """Quantiles, interpolated, of all positive pair distances: histograms about the wanted ranks, each
-    round BINS times finer, until a bin's values fit into one more histogram or are all the same."""
-    ends = _block_pairs(rows, m, lambda d: pd.DataFrame({"lo": [d.min(initial=np.inf)], "hi": [d.max(initial=-np.inf)], "n": [len(d)]}), "lo double, hi double, n long").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).first()
+    round BINS times finer, until a bin's values fit into one more histogram or are all the same. The
+    distances of up to KEPT granules are written once (or come as pairs), else each round makes them again."""
+    if pairs is None and m <= KEPT:
+        pairs = half_pairs(rows, m)
+
+    def each(run, schema: str) -> DataFrame:
+        if pairs is None:
+            return _block_pairs(rows, m, lambda i, j, d: run(d[d > 0]), schema)
+
+        def batches_(batches):
+            for pdf in batches:
+                yield run(pdf["d"].to_numpy())
+
+        return pairs.where("i < j and d > 0").select("d").mapInPandas(batches_, schema)
+
+    ends = each(lambda d: pd.DataFrame({"lo": [d.min(initial=np.inf)], "hi": [d.max(initial=-np.inf)], "n": [len(d)]}), "lo double, hi double, n long").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).first()
     if not ends["n"]:
         return [0.0] * len(shares)
     ranks = sorted({int(r) for s in shares for r in (math.floor(s * (ends["n"] - 1)), math.ceil(s * (ends["n"] - 1)))})
@@ -97,7 +121,7 @@ def quantiles(rows: DataFrame, m: int, shares: tuple[float, ...]) -> list[float]
                     out.append(pd.DataFrame({"s": s, "bin": at, "n": n, "lo": np.minimum.reduceat(v, start), "hi": np.maximum.reduceat(v, start)}))
             return pd.concat(out) if out else pd.DataFrame({"s": [], "bin": [], "n": [], "lo": [], "hi": []})
 
-        got = _block_pairs(rows, m, count, "s int, bin int, n long, lo double, hi double").groupBy("s", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
+        got = each(count, "s int, bin int, n long, lo double, hi double").groupBy("s", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
         later = {}
         for r, (lo, hi, below) in spans.items():
             t = got[got["s"] == asked.index((lo, hi))].sort_values("bin")
@@ -180,23 +204,9 @@ def chosen_centres(rows: DataFrame, score: DataFrame, k: int, least: float) -> p
 
 
 def all_pairs(rows: DataFrame, m: int) -> DataFrame:
-    """i, j, d of all granules, both ways, made block by block."""
-    blocks = -(-m // index.BLOCK)
-    part = F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("g", "centre", "cov", part.alias("a")).withColumn("b", every)
-    right = rows.select("g", "centre", "cov", part.alias("b")).withColumn("a", every)
-    right = right.toDF(*right.columns)
-
-    def both(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
-        # The smaller id's row comes first, so both ways give one number.
-        i, j = np.repeat(p["g"].to_numpy(), len(q)), np.tile(q["g"].to_numpy(), len(p))
-        d = np.where(i < j, distances(*_arrays(p), *_arrays(q)).ravel(), distances(*_arrays(q), *_arrays(p)).T.ravel())
-        return pd.DataFrame({"i": i[i != j], "j": j[i != j], "d": d[i != j]})
-
-    return durable(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(both, "i long, j long, d double"))
+    """i, j, d of all granules, both ways; each distance is made once."""
+    half = half_pairs(rows, m)
+    return half.union(half.select("j", "i", "d"))
 
 
 class Natural:
@@ -292,7 +302,7 @@ def _centres(rows: DataFrame, dp: DataFrame, m: int, cfg, pairs: DataFrame | Non
     if cfg.centres in ("top", "separated") or m < 2:
         least = 0.0
         if cfg.centres == "separated":
-            low, mid = quantiles(rows, m, (0.25, 0.5))
+            low, mid = quantiles(rows, m, (0.25, 0.5), pairs)
             least = max(low, cfg.tau * mid, 1e-12)
         return chosen_centres(rows, dp.select("g", F.col("gamma").alias("score")), k, least)
     if cfg.centres == "scored":
