@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.functions import shapes
 from granula.functions.state import durable
 
 #: Points of one side of a task that pairs points.
@@ -19,10 +20,30 @@ def _d2(to: str):
     return F.aggregate(F.zip_with("features", F.col(to), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
-def centres(points: DataFrame) -> DataFrame:
-    """g, n, c: the number of points and their mean."""
-    per = points.select("g", F.posexplode("features").alias("p", "x")).groupBy("g", "p").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return per.groupBy("g").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("c"))
+def centres(points: DataFrame, *keys: str) -> DataFrame:
+    """Keys (g), n, c: the number of points and their mean. Sums are made where the points are read."""
+    keys = list(keys or ("g",))
+    types = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(keys, sort=False)["features"]:
+                x = np.stack(rows.to_numpy())
+                n, v = sums.get(key, (0, 0.0))
+                sums[key] = n + len(x), v + x.sum(axis=0)
+            if len(sums) > 4096:  # what a task holds is bounded
+                yield frame(sums)
+                sums = {}
+        if sums:
+            yield frame(sums)
+
+    def frame(sums):
+        return pd.DataFrame(list(sums), columns=keys).assign(n=[n for n, _ in sums.values()], v=[v for _, v in sums.values()])
+
+    part = points.select(*keys, "features").mapInPandas(run, f"{types}, n long, v array<double>")
+    per = part.select(*keys, "n", F.posexplode("v").alias("p", "x")).groupBy(*keys, "p").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    return per.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("c"))
 
 
 def _pairs(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -33,15 +54,9 @@ def _pairs(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
     x, y = np.stack(p["features"].to_numpy()), np.stack(q["features"].to_numpy())
     pi, qi = p["point_id"].to_numpy(), q["point_id"].to_numpy()
     best = None
-    step = max(1, (1 << 22) // max(1, y.size))
-    for s in range(0, len(x), step):
-        d = ((x[s : s + step, None, :] - y[None]) ** 2).sum(axis=2)
-        top = d.max()
-        if best is not None and top < best[0]:
-            continue
-        for i, j in np.argwhere(d == top):
-            a, b = (s + i, j) if pi[s + i] <= qi[j] else (None, None)
-            found = (top, -min(pi[s + i], qi[j]), -max(pi[s + i], qi[j]), (x[s + i], y[j]) if a is not None else (y[j], x[s + i]))
+    for at, to, d in shapes.farthest(x, y):
+        for i, j, top in zip(at, to, d, strict=True):
+            found = (top, -min(pi[i], qi[j]), -max(pi[i], qi[j]), (x[i], y[j]) if pi[i] <= qi[j] else (y[j], x[i]))
             if best is None or found[:3] > best[:3]:
                 best = found
     return pd.DataFrame({"g": [p["g"].iloc[0]], "d": [float(best[0])], "i": [-best[1]], "j": [-best[2]], "a": [best[3][0]], "b": [best[3][1]]})

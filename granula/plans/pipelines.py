@@ -30,6 +30,8 @@ from granula.operators import grid, score, shape, split, tree
 from granula.plans import cluster
 
 LOCAL_MAX, SALT_ROWS, MAX_GRANULES = 50_000, 20_000, 20_000
+#: Points in a row of bytes.
+PACK = 1024
 
 
 @dataclass(frozen=True)
@@ -152,10 +154,77 @@ def _d2(to: str):
     return F.aggregate(F.zip_with("features", to, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
-def _centres(points: DataFrame, *keys: str) -> DataFrame:
-    """Mean features by keys, as c, with the number of points n."""
-    mean = points.select(*keys, F.posexplode("features").alias("p", "v")).groupBy(*keys, "p").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
-    return mean.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda t: t["v"]).alias("c"), F.max("n").alias("n"))
+def _sides(x: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
+    a, b = (((x - c) ** 2).sum(axis=1) for c in centres)
+    return (a > b).astype(int)
+
+
+def _packed(points: DataFrame) -> DataFrame:
+    """g, child, x: the points as bytes, PACK of a granule in a row; a round of sums reads them fast."""
+    key = dict(points.dtypes)["g"]
+
+    def run(batches):
+        for pdf in batches:
+            for g, rows in pdf.groupby("g", sort=False):
+                for at in range(0, len(rows), PACK):
+                    part = rows.iloc[at : at + PACK]
+                    yield pd.DataFrame({"g": [g], "child": [part["child"].to_numpy().astype(np.int8).tobytes()], "x": [np.stack(part["features"].to_numpy()).tobytes()]})
+
+    return durable(points.select("g", "child", "features").mapInPandas(run, f"g {key}, child binary, x binary"))
+
+
+def _means(points: DataFrame, rounds: int = 100) -> DataFrame:
+    """points (point_id, features, g, child) after 2-means from child. A round reads the points of granules that still
+    move and sums them by child; points are written at the end alone. What the driver holds is the two
+    centres of each granule of over LOCAL_MAX points."""
+    packed = _packed(points)
+    key = dict(points.dtypes)["g"]
+
+    def sums(old, new):
+        def run(batches):
+            out: dict = {}
+            for pdf in batches:
+                for g, child, data in zip(pdf["g"], pdf["child"], pdf["x"], strict=True):
+                    child = np.frombuffer(child, np.int8)
+                    x = np.frombuffer(data).reshape(len(child), -1)
+                    was = _sides(x, old[g]) if g in old else child
+                    now = _sides(x, new[g]) if g in new else was
+                    for c in (0, 1):
+                        n, v, moved = out.get((g, c), (0, 0.0, False))
+                        out[g, c] = n + int((now == c).sum()), v + x[now == c].sum(axis=0), moved or bool((now != was).any())
+            if out:
+                yield pd.DataFrame([(g, c, n, v, moved) for (g, c), (n, v, moved) in out.items()], columns=["g", "child", "n", "v", "moved"])
+
+        part = packed.where(F.col("g").isin(open_)).mapInPandas(run, f"g {key}, child int, n long, v array<double>, moved boolean")
+        per = part.select("g", "child", "n", "moved", F.posexplode("v").alias("p", "x")).groupBy("g", "child", "p").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("moved").alias("moved")).toPandas()
+        out = {}
+        for g, t in per.sort_values(["child", "p"]).groupby("g"):
+            two = [t[t["child"] == c] for c in (0, 1)]
+            n = [int(h["n"].iloc[0]) for h in two]
+            out[g] = bool(t["moved"].any()), n, [h["x"].to_numpy() / k for h, k in zip(two, n, strict=True)] if min(n) else None
+        return out
+
+    open_ = [r["g"] for r in packed.select("g").distinct().collect()]
+    rule: dict = {}
+    new = {g: c for g, (_, _, c) in sums({}, {}).items() if c is not None}
+    for _ in range(rounds):
+        open_ = list(new)
+        if not open_:
+            break
+        got = sums(rule, new)
+        # A side without points leaves the granule as it was.
+        rule |= {g: new[g] for g, (_, n, _) in got.items() if min(n)}
+        new = {g: c for g, (moved, n, c) in got.items() if min(n) and moved}
+
+    def last(batches):
+        for pdf in batches:
+            child = pdf["child"].to_numpy().copy()
+            for g, at in pdf.groupby("g", sort=False).indices.items():
+                if g in rule:
+                    child[at] = _sides(np.stack(pdf["features"].to_numpy()[at]), rule[g])
+            yield pdf.assign(child=child)
+
+    return durable(points.mapInPandas(last, points.schema))
 
 
 def _first(points: DataFrame, cfg: Config) -> DataFrame:
@@ -178,32 +247,23 @@ def _first(points: DataFrame, cfg: Config) -> DataFrame:
         return durable(at.join(cut, "g").withColumn("child", (F.col("at") > F.col("cut")).cast("int")).drop("at", "cut"))
     if cfg.split == "pair":
         return durable(tree.split(points))
-    p1 = points.join(_centres(points, "g").select("g", F.col("c").alias("q")), "g").groupBy("g").agg(F.min(F.struct(_d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
+    p1 = points.join(tree.centres(points, "g").select("g", F.col("c").alias("q")), "g").groupBy("g").agg(F.min(F.struct(_d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
     far = lambda q: points.join(q, "g").groupBy("g").agg(F.max(F.struct(_d2("q").alias("d"), (-F.col("point_id")).alias("i"), "features")).getField("features").alias("q"))
     p2 = durable(far(p1))
     ends = p2.withColumnRenamed("q", "a").join(far(p2).withColumnRenamed("q", "b"), "g")
     now = durable(points.join(ends, "g").withColumn("child", F.when(_d2("a") < _d2("b"), 0).otherwise(1)).drop("a", "b"))
-    for _ in range(100 if cfg.split == "means" else 0):
-        two = _centres(now, "g", "child").groupBy("g").agg(F.max(F.when(F.col("child") == 0, F.col("c"))).alias("a"), F.max(F.when(F.col("child") == 1, F.col("c"))).alias("b"))
-        new = durable(now.join(two, "g").withColumn("new", F.when(F.col("a").isNull() | F.col("b").isNull(), F.col("child")).otherwise((_d2("a") > _d2("b")).cast("int"))).drop("a", "b"))
-        ok = new.groupBy("g").agg((F.min("new") != F.max("new")).alias("ok"))
-        new = durable(new.join(ok, "g").withColumn("new", F.when(F.col("ok"), F.col("new")).otherwise(F.col("child"))).drop("ok"))
-        moved = new.where("new != child").limit(1).count()
-        now = new.drop("child").withColumnRenamed("new", "child")
-        if not moved:
-            break
-    return now
+    return _means(now) if cfg.split == "means" else now
 
 
 def _gated(split_: DataFrame, cfg: Config) -> DataFrame:
     """g of the granules whose split the gate admits."""
-    two = _centres(split_, "g", "child")
+    two = tree.centres(split_, "g", "child")
     pair = two.groupBy("g").agg(*(F.max(F.when(F.col("child") == i, F.col("c"))).alias(f"c{i}") for i in (0, 1)))
     if cfg.gate == "axis":
         mean = shape.granules(split_.select("point_id", "features", "g"), cfg.shape).select("g", F.expr("aggregate(lengths, 0D, (s, e) -> s + e) / size(lengths)").alias("mean"))
         apart = F.sqrt(F.aggregate(F.zip_with("c0", "c1", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
         return pair.join(mean, "g").where((F.col("mean") <= 1e-12) | (apart >= 0.10 * F.col("mean"))).select("g")
-    whole = _centres(split_, "g").select("g", "c")
+    whole = tree.centres(split_, "g").select("g", "c")
     own = two.select("g", "child", F.col("c").alias("k"))
     per = split_.join(whole, "g").join(own, ["g", "child"]).select("g", F.sqrt(_d2("c")).alias("r"), F.sqrt(_d2("k")).alias("s"))
     return per.groupBy("g").agg(F.avg("r").alias("r"), F.avg("s").alias("s")).where("s < r").select("g")
