@@ -8,7 +8,8 @@ the cell, holds for Mahalanobis distances, which are no metric themselves.
 
 A granule is first held against its own cell; then against the next cells in the order of their
 bounds, a few, more, all, each time only those whose bound is not over the k-th best distance yet (and, if
-denser ones are looked for, that have a denser granule). So what is left out can't be among the k
+denser ones are looked for, that have a denser granule). If the bounds leave much open, the rest is looked at
+at once, in bundles of cells. So what is left out can't be among the k
 nearest, ties included: equal distances go to the smaller id. Cells meet queries in groups of
 BLOCK rows either side, so a cell with most granules is many tasks.
 
@@ -33,6 +34,8 @@ MAX_PIVOTS, BLOCK = 4096, 2000
 SHAPED = 128
 #: How many cells beyond the own one are looked at by the end of each round; then all others.
 STEPS = (3, 12, 48)
+#: Blocks in a bundle of cells.
+BUNDLE = 4
 #: Bounds are loosened by this share, for they are rounded too.
 SLACK = 1e-9
 
@@ -92,8 +95,12 @@ def _meet(k: int, denser: bool):
     """The k best of a group of data for each query of a group, as (i, j, d)."""
 
     def run(q: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(data):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
+        data = data.sort_values("g")  # the first of equal distances has the smallest id
+        step = max(1, (1 << 22) // max(1, len(data)))
+        parts = [some(q.iloc[a : a + step], data) for a in range(0, len(q), step)] if len(data) else []
+        return pd.concat(parts) if parts else pd.DataFrame({"i": [], "j": [], "d": []})
+
+    def some(q: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         x, y = _stack(q["centre"]), _stack(data["centre"])
         gap = _gaps(x, y)
         qid, did = q["g"].to_numpy(), data["g"].to_numpy()
@@ -112,7 +119,7 @@ def _meet(k: int, denser: bool):
                 i, j = at[0][a : a + step], at[1][a : a + step]
                 diff = x[i] - y[j]
                 d[i, j] = np.sqrt(np.maximum((diff * np.linalg.solve((qc[i] + dc[j]) / 2, diff[:, :, None])[:, :, 0]).sum(axis=1), 0))
-        order = np.lexsort((np.broadcast_to(did, d.shape), d))[:, :k]
+        order = d.argmin(axis=1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(q)), order.shape[1])
         col = order.ravel()
         found = np.isfinite(d[row, col])
@@ -121,28 +128,64 @@ def _meet(k: int, denser: bool):
     return run
 
 
+def _open(pdf: pd.DataFrame, cells: pd.DataFrame, pivots: np.ndarray, denser: bool) -> np.ndarray:
+    """Bounds of each granule's other cells; infinite where the cell can hold none of its nearest."""
+    number = cells["cell"].to_numpy()
+    low = np.maximum(_gaps(_stack(pdf["centre"]), pivots[number]) - cells["radius"].to_numpy()[None], 0)
+    low = low / np.sqrt((pdf["top"].to_numpy()[:, None] + cells["top"].to_numpy()[None]) / 2)
+    ok = low <= pdf["best"].to_numpy()[:, None] * (1 + SLACK) + SLACK * low
+    if denser:
+        ok &= cells["dense"].to_numpy()[None] > pdf["rho"].to_numpy()[:, None]
+    return np.where(ok & (pdf["cell"].to_numpy()[:, None] != number[None]), low, np.inf)
+
+
+def _slices(batches, rows: int = 500):
+    """Batches in parts: each row may become one for each cell."""
+    for pdf in batches:
+        for a in range(0, len(pdf), rows):
+            yield pdf.iloc[a : a + rows]
+
+
 def _asks(cells: pd.DataFrame, pivots: np.ndarray, start: int, end: int | None, denser: bool):
     """Of each granule's other cells in the order of bounds, the places start to end that are still open."""
-    radius, dense, top = (cells[c].to_numpy() for c in ("radius", "dense", "top"))
     number = cells["cell"].to_numpy()
 
     def run(batches):
-        for pdf in batches:
-            low = np.maximum(_gaps(_stack(pdf["centre"]), pivots[number]) - radius[None], 0)
-            low = low / np.sqrt((pdf["top"].to_numpy()[:, None] + top[None]) / 2)
-            open_ = low <= pdf["best"].to_numpy()[:, None] * (1 + SLACK) + SLACK * low
-            if denser:
-                open_ &= dense[None] > pdf["rho"].to_numpy()[:, None]
-            low[pdf["cell"].to_numpy()[:, None] == number[None]] = np.inf
+        for pdf in _slices(batches):
+            low = _open(pdf, cells, pivots, denser)
             order = np.argsort(low, axis=1, kind="stable")[:, start:end]
             row = np.repeat(np.arange(len(pdf)), order.shape[1])
             col = order.ravel()
-            go = np.isfinite(low[row, col]) & open_[row, col]
+            go = np.isfinite(low[row, col])
             yield pdf.iloc[row[go]].drop(columns="cell").assign(cell=number[col[go]])[["g", "rho", "centre", "cov", "top", "best", "cell"]]
 
     return run
 
 
+def _asks_rest(cells: pd.DataFrame, pivots: np.ndarray, bundle: np.ndarray, denser: bool):
+    """The bundles of cells in which a granule has an open one."""
+    first = np.flatnonzero(np.diff(bundle, prepend=-1))
+
+    def run(batches):
+        for pdf in _slices(batches):
+            low = np.minimum.reduceat(_open(pdf, cells, pivots, denser), first, axis=1)
+            row, col = np.nonzero(np.isfinite(low))
+            yield pdf.iloc[row].drop(columns="cell").assign(cell=bundle[first][col])[["g", "rho", "centre", "cov", "top", "best", "cell"]]
+
+    return run
+
+
+def _share_open(now: DataFrame, cells: pd.DataFrame, pivots: np.ndarray, denser: bool) -> int:
+    """Pairs of granules in cells that are still open to each other."""
+    size = cells["n"].to_numpy()
+
+    def run(batches):
+        for pdf in _slices(batches, 5000):
+            yield pd.DataFrame({"n": [int((np.isfinite(_open(pdf, cells, pivots, denser)) @ size).sum())]})
+
+    return now.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def _ask(dealt: DataFrame, queries: DataFrame, k: int, denser: bool, side: int) -> DataFrame:
     """(i, j, d): the k best of the cells that queries (row, best, cell) name."""
     per = queries.groupBy("cell").agg(F.ceil(F.count("*") / side).cast("int").alias("qs"))
@@ -186,14 +229,26 @@ def nearest(rows: DataFrame, k: int, denser: bool = False) -> Nearest:
     of_cell = rows.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(cells["cell"], cells["n"], strict=True)], "cell int, n long")
     touched = int((cells["n"] ** 2).sum())
     links = durable(_cut(_ask(dealt, queries, k, denser, side), k))
-    for start, end in zip((0, *STEPS), (*STEPS, None), strict=True):
-        if start >= len(cells) - 1:
-            break
+    # Bundles of cells for what stays open: a granule goes to each bundle once, not to each cell.
+    bundle = (cells["n"].cumsum().to_numpy() - 1) // (BUNDLE * side)
+    starts = [*zip((0, *STEPS), STEPS, strict=False), (STEPS[-1], None)]
+    while starts and starts[0][0] < len(cells) - 1:
+        start, end = starts.pop(0)
         kth = links.where(F.col("r") == k).select(F.col("i").alias("g"), F.col("d").alias("best"))
-        now = dealt.select("g", "rho", "centre", "cov", "top", "cell").join(kth, "g", "left").withColumn("best", F.coalesce("best", far))
-        queries = durable(now.mapInPandas(_asks(cells, pivots, start, end, denser), f"{_ROW}, best double, cell int"))
-        touched += queries.join(F.broadcast(of_cell), "cell").agg(F.sum("n")).first()[0] or 0
-        links = durable(_cut(links.drop("r").union(_ask(dealt, queries, k, denser, side)), k))
+        now = durable(dealt.select("g", "rho", "centre", "cov", "top", "cell").join(kth, "g", "left").withColumn("best", F.coalesce("best", far)))
+        # Where bounds tell little apart, as in many dimensions, all that is open is looked at now.
+        if not start or _share_open(now, cells, pivots, denser) <= m * m / 2:
+            queries = durable(now.mapInPandas(_asks(cells, pivots, start, end, denser), f"{_ROW}, best double, cell int"))
+            touched += queries.join(F.broadcast(of_cell), "cell").agg(F.sum("n")).first()[0] or 0
+            links = durable(_cut(links.drop("r").union(_ask(dealt, queries, k, denser, side)), k))
+            continue
+        starts = []
+        names = rows.sparkSession.createDataFrame([(int(c), int(b), int(n)) for c, b, n in zip(cells["cell"], bundle, cells["n"], strict=True)], "cell int, bundle int, n long")
+        data = dealt.join(F.broadcast(names.select("cell", "bundle")), "cell").drop("cell").withColumnRenamed("bundle", "cell")
+        queries = durable(now.mapInPandas(_asks_rest(cells, pivots, bundle, denser), f"{_ROW}, best double, cell int"))
+        touched += queries.join(F.broadcast(names.groupBy(F.col("bundle").alias("cell")).agg(F.sum("n").alias("n"))), "cell").agg(F.sum("n")).first()[0] or 0
+        again = links.drop("r").union(_ask(data, queries, k, denser, BUNDLE * side))
+        links = durable(_cut(again.groupBy("i", "j").agg(F.min("d").alias("d")), k))
     return Nearest(links, touched)
 
 

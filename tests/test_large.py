@@ -34,3 +34,17 @@ def test_two_means_by_sums_give_the_halves_of_one_task(spark, monkeypatch):
         assert [got[i] for i in g] == list(shapes.halves(x[g], "full", 1, "means"))
 
 
+def test_far_granules_are_asked_by_bundles_where_bounds_tell_little(spark, monkeypatch):
+    from granula.operators import index
+
+    monkeypatch.setattr(index, "BLOCK", 40)
+    x = np.random.default_rng(9).normal(size=(300, 48))
+    x[200:205] = x[0]
+    rows = spark.createDataFrame([(i, float(i % 7), [float(v) for v in x[i]], [], 1.0) for i in range(300)], "g long, rho double, centre array<double>, cov array<double>, top double")
+    asked, ask = [], index._ask
+    monkeypatch.setattr(index, "_ask", lambda data, queries, *a: asked.append(queries.count()) or ask(data, queries, *a))
+    got = {(a.i, a.j, a.r) for a in index.nearest(rows, 3).links.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j), k + 1) for i in range(300) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    assert max(asked) <= 300 * 3  # not once for each of 18 cells
