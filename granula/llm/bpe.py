@@ -10,8 +10,8 @@ byte-to-text state machine, which holds at most the bytes of one unfinished char
 
 The tokenizer file's own steps come first: its added tokens are cut out of the raw text; then NFC,
 white space runs to a space, lower case, its split pattern, bytes to printable symbols, and a word
-end on the last symbol of each piece. All of these act inside a stretch without white space, so the
-result of each such stretch is kept in a bounded cache.
+end on the last symbol of each piece. The results of pieces are kept in a bounded cache; those pieces
+of some texts that it lacks are merged together, one merge in each of them at a time.
 
 Code points that the installed Unicode tables don't know yet count as neither letters nor digits.
 
@@ -27,7 +27,10 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,14 +38,16 @@ from pyspark.sql import functions as F
 
 from granula.llm.common import release
 
-#: Entries of a worker's cache; it starts anew when it is full.
-CACHE = 100_000
+#: Pieces in a worker's cache; it starts anew when it is full, or holds 8 times as many tokens.
+CACHE = 150_000
+#: Pieces that are merged together.
+TOGETHER = 4_096
 #: Symbols read beyond the lookahead before tokens are emitted.
 STEP = 512
 #: White space of the tokenizers library's patterns (Unicode White_Space).
 _WHITE = "\t-\r \x85\xa0  -     　"
-#: Python's str.split() also cuts at these.
-_ONLY_PYTHON = regex.compile("[\x1c-\x1f]")
+#: Rank of a pair that no merge joins.
+_NONE = 1 << 40
 
 
 @lru_cache(1)
@@ -101,11 +106,18 @@ class Transducer:
         symbols = byte_symbols()
         self.symbol = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.end] for s in symbols]
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.ends = np.array(self.symbol + self.last)
+        pairs = sorted(self.rank.items())
+        self.keys = np.array([k for k, _ in pairs])
+        self.ranks, self.joined = np.array([v for _, v in pairs]).T.copy()
+        every = range(max(self.text_of) + 1)
+        self.numbers = np.array([b"%d" % i for i in every], object)
+        self.texts = np.array([self.text_of.get(i, "").encode() for i in every], object)
+        self._forget()
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost of equal ones."""
-        rank, none = self.rank, (1 << 40, 0)
+        rank, none = self.rank, (_NONE, 0)
         pairs = [rank.get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs:
             low = min(pairs)
@@ -120,6 +132,48 @@ class Transducer:
                 pairs[i] = rank.get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
+    def _forget(self) -> None:
+        """Empties the cache: the place of each piece, and where the tokens of a place begin."""
+        self.place: dict[str, int] = {}
+        self.begin, self.tokens = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs and what they are merged to."""
+        key = left << 20 | right
+        i = np.searchsorted(self.keys, key)
+        i[i == len(self.keys)] = 0
+        return np.where(self.keys[i] == key, self.ranks[i], _NONE), self.joined[i]
+
+    def merge_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each piece, as _merge gives them, and how many; a round makes the next merge of every piece."""
+        data = [p.encode() for p in pieces]
+        n = np.array([len(d) for d in data])
+        ids = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        ids[n.cumsum() - 1] += 256
+        ids, of = self.ends[ids], np.repeat(np.arange(len(n)), n)
+        rank, to = np.full(len(ids), _NONE), np.zeros(len(ids), np.int64)  # of a token and the next one of its piece
+        at = np.flatnonzero(of[:-1] == of[1:])
+        rank[at], to[at] = self._ranks(ids[at], ids[at + 1])
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(of)))
+            over = low == _NONE
+            done.append((of[over], ids[over]))
+            at = np.flatnonzero((rank == low) & ~over)
+            at = at[np.flatnonzero(np.diff(of[at], prepend=-1))]
+            ids[at] = to[at]
+            over[at + 1] = True
+            new = at - np.cumsum(over)[at]
+            ids, of, rank, to = ids[~over], of[~over], rank[~over], to[~over]
+            rank[new] = _NONE
+            at = np.concatenate([new, new - 1])
+            at = at[(at >= 0) & (at + 1 < len(ids))]
+            at = at[of[at] == of[at + 1]]
+            rank[at], to[at] = self._ranks(ids[at], ids[at + 1])
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(of, kind="stable")], np.bincount(of)
+
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """Tokens of one piece's symbols, each emitted once it is final."""
         held: list[int] = []
@@ -142,43 +196,65 @@ class Transducer:
             return iter(self._merge([*map(symbol.__getitem__, data[:-1]), self.last[data[-1]]]))
         return self.stream(self.last[b] if i == n else symbol[b] for i, b in enumerate(data))
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # noqa: RUF001  lower() would look at what follows
-        for piece in self.pieces.finditer(text.lower()):
-            yield from self._piece(piece[0])
+        return self.pieces.findall(text.lower())
 
-    def ids(self, text: str) -> Iterator[int]:
-        """Token ids of any text."""
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of any text; an added token is a piece with a space before it, which no other has."""
         if self.specials is None or "<" not in text:
-            yield from self._plain(text)
-            return
-        at = 0
+            return self._plain(text)
+        got, at = [], 0
         for m in self.specials.finditer(text):
-            yield from self._plain(text[at : m.start()])
-            yield self.added[m[0]]
+            got += [*self._plain(text[at : m.start()]), f" {m[0]}"]
             at = m.end()
-        yield from self._plain(text[at:])
-
-    def _miss(self, stretch: str) -> tuple[int, str, str]:
-        ids = list(self.ids(stretch))
-        got = (len(ids), " ".join(map(str, ids)), " ".join(map(self.text_of.__getitem__, ids)))
-        if len(stretch) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[stretch] = got
-        return got
-
-    def encode(self, text: str, step: int = 1 << 18) -> Iterator[tuple[int, str, bytes]]:
-        """(number, ids, symbols) of the tokens, for some stretches of text at a time.
-
-        ids and symbols are joined by spaces; symbols as UTF-8.
+        return got + self._plain(text[at:])
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts pieces into the cache."""
+        new = [p for p in pieces if p not in self.place]
+        if len(self.place) + len(new) > CACHE or len(self.tokens) > 8 * CACHE:
+            self._forget()
+            new = list(pieces)
+        short = [p for p in new if p[0] != " " and len(p) <= 64]
+        got = [self.merge_all(short[i : i + TOGETHER]) for i in range(0, len(short), TOGETHER)]
+        rest = [p for p in new if p[0] == " " or len(p) > 64]
+        for p in rest:
+            ids = np.fromiter([self.added[p[1:]]] if p[0] == " " else self._piece(p), np.int32)
+            got.append((ids, np.array([len(ids)])))
+        if new:
+            self.place.update(zip(short + rest, range(len(self.place), len(self.place) + len(new)), strict=True))
+            tokens, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + n.cumsum()])
+
+    def _parts(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray]]:
+        self._learn({p for _, pieces in held for p in pieces})
+        place = self.place.__getitem__
+        for i, pieces in held:
+            at = np.fromiter(map(place, pieces), np.int64, len(pieces))
+            a, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+            yield i, self.tokens[np.repeat(a - n.cumsum() + n, n) + np.arange(n.sum())]
+
+    def encode(self, texts: Iterable[str], step: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the text, tokens) for a part of a text at a time; a text without tokens comes once.
+
+        About step code points, of one text or more, are held.
         """
-        cut = regex.compile(f"[^{_WHITE}]+").findall if _ONLY_PYTHON.search(text) else str.split
-        cache, miss = self.cache, self._miss
-        for part in _between_spaces(text, step):
-            got = [g for s in cut(part) if (g := cache.get(s) or miss(s))[0]]
-            yield sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]).encode()
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for part in _between_spaces(text, step) if text else [""]:
+                held.append((i, self._pieces(part)))
+                size += len(part)
+                if size >= step:
+                    yield from self._parts(held)
+                    held, size = [], 0
+        yield from self._parts(held)
+
+    def shown(self, ids: np.ndarray) -> tuple[bytes, bytes]:
+        """Numbers of tokens, and their symbols in UTF-8, joined by spaces."""
+        return b" ".join(self.numbers[ids].tolist()), b" ".join(self.texts[ids].tolist())
 
 
 _SPACE = regex.compile(f"[{_WHITE}]")
@@ -223,14 +299,15 @@ def _encode(path: str):
         t = load(path)
         for batch in batches:
             ids, counts, left, right = batch.column(0), [], [], []
-            for text in batch.column(1):
+            for _, parts in groupby(t.encode(x.as_py() or "" for x in batch.column(1)), itemgetter(0)):
                 n, one, two, machine = 0, hashlib.sha256(), hashlib.sha256(), TextMachine()
-                for k, numbers, symbols in t.encode(text.as_py() or ""):
-                    if k:
-                        gap = " " if n else ""
-                        one.update((gap + numbers).encode())
-                        two.update(machine.feed(gap.encode() + symbols).encode())
-                        n += k
+                for _, part in parts:
+                    if len(part):
+                        gap = b" " if n else b""
+                        numbers, symbols = t.shown(part)
+                        one.update(gap + numbers)
+                        two.update(machine.feed(gap + symbols).encode())
+                        n += len(part)
                 two.update(machine.feed(b"", True).encode())
                 counts.append(n)
                 left.append(one.hexdigest())
@@ -252,7 +329,8 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         t = load(path)
         for batch in batches:
-            ids = [[int(i) for _, part, _ in t.encode(x.as_py() or "") for i in part.split()] for x in batch.column(1)]
+            encoded = t.encode(x.as_py() or "" for x in batch.column(1))
+            ids = [[i for _, part in parts for i in part.tolist()] for _, parts in groupby(encoded, itemgetter(0))]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(["".join(decode(t, i)) for i in ids])], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
