@@ -8,11 +8,15 @@ Defined cases: a row without doc_id is no document and goes at the first stage;
 letterless texts go there too, for no language is found in them; identical rows become one in exact
 dedup; any number of other columns, of whatever names, pass through to the mix; an empty table gives
 an empty result. What the stages write for themselves is deleted when a stage's output is written.
+
+Each stage sets the session's `spark.sql.execution.arrow.maxBytesPerBatch` to BATCH_BYTES, if it is more:
+by rows alone, a batch has 10,000 whole texts, which the JVM and the Python worker hold some times over.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,23 +25,45 @@ from granula.llm.common import delete, scratch, shared_dir
 from granula.llm.queries import tokenizer_path
 
 
+#: Bytes of the rows sent to a Python worker at a time; a longer text goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def by_bytes(stage):
+    """The stage with batches of BATCH_BYTES; it stays set, for the stage's table is computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+            spark.conf.set(_BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@by_bytes
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found."""
     return langid.keep_known(docs)
 
 
+@by_bytes
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_one(docs)
 
 
+@by_bytes
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs)
 
 
+@by_bytes
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.materialise(docs)
 
 
+@by_bytes
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_path())
 

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import release
+from granula.llm.common import keep_only, release
 
 #: Pieces in a worker's cache; it starts anew when it is full, or holds 8 times as many tokens.
 CACHE = 150_000
@@ -296,6 +296,7 @@ def load(path: str) -> Transducer:
 
 def _encode(path: str):
     def run(batches):
+        keep_only("bpe", load.cache_clear)
         t = load(path)
         for batch in batches:
             ids, counts, left, right = batch.column(0), [], [], []
@@ -327,6 +328,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, ids and the text decoded from them."""
 
     def run(batches):
+        keep_only("bpe", load.cache_clear)
         t = load(path)
         for batch in batches:
             encoded = t.encode(x.as_py() or "" for x in batch.column(1))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -129,6 +129,19 @@ def _libc():
         return None
 
 
+#: What a worker keeps from task to task: the operator that it is for, and how it is dropped.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, forget: Callable[[], None] | None = None) -> None:
+    """At the start of an operator's task: drops what other operators kept in this worker. forget
+    drops what this one keeps. So a worker that serves one after the other holds one's models alone."""
+    for other in [x for x in _KEPT if x != name]:
+        _KEPT.pop(other)()
+    if forget:
+        _KEPT[name] = forget
+
+
 def release() -> None:
     """Gives freed memory back to the system: a worker stays, idle, after its task."""
     pa.default_memory_pool().release_unused()
@@ -141,6 +154,7 @@ def chunks(batches: Iterator[pa.RecordBatch], lower: bool = False, size: int = 1
 
     keep: a mask of the documents to take, made from their ids.
     """
+    keep_only("chunks")
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         text = batch.column(1).cast(pa.large_binary())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import U64, mix, release
+from granula.llm.common import U64, keep_only, mix, release
 
 BUCKETS = 1 << 15
 SAMPLE = 2000
@@ -32,7 +32,8 @@ MAX_LANGS = 500
 SMOOTHING = 0.5
 #: Letters have smaller code points than this.
 _TOP = 0x32400
-_PART = 1 << 20
+#: Code points of a text that are turned to n-grams at a time, and n-grams that are scored together.
+_PART, _TOGETHER = 1 << 18, 1 << 18
 _SALT = [U64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(4)]
 
 
@@ -80,6 +81,7 @@ def held_out() -> F.Column:
 
 def _count(batches):
     """(lang, bucket, n) of this task's share of the sample."""
+    keep_only("langid")
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -111,6 +113,7 @@ def fit(docs: DataFrame, train: F.Column, sample: int = SAMPLE) -> tuple[list[st
 
 def _score(langs: list[str], model):
     def run(batches):
+        keep_only("langid")
         weights = model.value
         for batch in batches:
             text = batch.column(1)
@@ -133,9 +136,9 @@ def _score(langs: list[str], model):
                         grams[i] += len(part)
                         letters[i] = True
                         size += len(part)
-                if size > 1 << 21:
-                    flush()
-                    size = 0
+                    if size > _TOGETHER:
+                        flush()
+                        size = 0
             flush()
             if langs:
                 best = total.argmax(axis=1)
