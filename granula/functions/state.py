@@ -47,8 +47,9 @@ def fresh(spark: SparkSession) -> str:
     return f"{_SCRATCH[-1] if _SCRATCH else f'{shared_dir(spark)}/granula'}/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, executors may go."""
-    path = fresh(df.sparkSession)
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage ends there, executors may go. path: one that
+    `fresh` gave, for tables that are deleted on their own or outlive a `scratch` block."""
+    path = fresh(df.sparkSession) if path is None else path
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.functions import folds, shapes
-from granula.functions.state import durable, scratch
+from granula.functions import folds, shapes, state
+from granula.functions.state import delete, durable, scratch
 from granula.operators import grid, score, shape, split, tree
 from granula.plans import cluster
 
@@ -141,7 +141,7 @@ def _prune_levels(now: DataFrame, stuck: DataFrame | None, inner: list[DataFrame
         own = tree.qualities(stuck).select("g", F.col("quality").alias("best"))
         now = durable(now.union(stuck.join(own, "g").select("point_id", "features", "g", F.col("g").alias("top"), "best")))
     final = durable(tree.prune(now.select("top", "best").distinct(), above))
-    return now.join(final, "top").select("point_id", "features", F.when(F.col("node") == F.col("top"), F.col("g")).otherwise(F.col("node")).alias("g"))
+    return now.join(F.broadcast(final), "top").select("point_id", "features", F.when(F.col("node") == F.col("top"), F.col("g")).otherwise(F.col("node")).alias("g"))
 
 
 def _salted(points: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _first(points: DataFrame, cfg: Config) -> DataFrame:
         cut = at.groupBy("g").agg(F.median("at").alias("cut"))
         return durable(at.join(cut, "g").withColumn("child", (F.col("at") > F.col("cut")).cast("int")).drop("at", "cut"))
     if cfg.split == "pair":
-        return durable(tree.split(points))
+        return tree.split(points)
     p1 = points.join(tree.centres(points, "g").select("g", F.col("c").alias("q")), "g").groupBy("g").agg(F.min(F.struct(_d2("q").alias("d"), "point_id", "features")).getField("features").alias("q"))
     far = lambda q: points.join(q, "g").groupBy("g").agg(F.max(F.struct(_d2("q").alias("d"), (-F.col("point_id")).alias("i"), "features")).getField("features").alias("q"))
     p2 = durable(far(p1))
@@ -369,19 +369,29 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
         now = points.join(seeds.select(F.col("id").alias("point_id"), F.format_string("s%06d.", "seed").alias("g")), "point_id")
     else:
         now = points.withColumn("g", F.lit("r"))
-    now = durable(now.select("point_id", "features", "g"))
+    spark, cols = points.sparkSession, ["point_id", "features", "g"]
+    # What the levels leave: granules small enough for a task, and large ones without a split; a level's own tables
+    # are deleted after it, so files do not add up by levels.
+    here, ready, stuck = (state.fresh(spark) for _ in range(3))
+    now = durable(now.select(*cols), here)
     done, inner = None, []
     while True:  # levels of granules too large for a task
         big = now.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, num - 1)).select("g")
         if not big.limit(1).count():
             break
-        small = now.join(F.broadcast(big), "g", "left_anti").select("point_id", "features", "g")
-        parts = durable(split_level(now.join(F.broadcast(big), "g", "left_semi"), cfg))
-        stuck = parts.where("child is null").select("point_id", "features", "g")
+        big, level = durable(big), state.fresh(spark)
+        now.join(F.broadcast(big), "g", "left_anti").select(*cols).write.mode("append").parquet(ready)
+        with scratch(spark):
+            parts = durable(split_level(now.join(F.broadcast(big), "g", "left_semi"), cfg), level)
+        delete(spark, here)
+        here = level
         if cfg.gate == "tree":
             inner.append(durable(tree.qualities(parts.where("child is not null"))))
-        now = durable(small.union(parts.where("child is not null").select("point_id", "features", F.concat("g", F.col("child").cast("string")).alias("g"))))
-        done = durable(stuck if done is None else done.union(stuck))
+        parts.where("child is null").select(*cols).write.mode("append").parquet(stuck)
+        now = parts.where("child is not null").select("point_id", "features", F.concat("g", F.col("child").cast("string")).alias("g"))
+        done = spark.read.schema(now.schema)
+    if done is not None:
+        now, done = now.union(done.parquet(ready)), done.parquet(stuck)
 
     deep = bool(inner)
 
@@ -399,10 +409,14 @@ def granulate(points: DataFrame, cfg: Config, local_max: int = LOCAL_MAX) -> tup
 
     schema = "point_id long, features array<double>, g string"
     now = now.groupBy("g").applyInPandas(leaves, schema + ", top string, best double" * deep)
-    if deep:
-        now = _prune_levels(durable(now), done, inner)
-        done = None
-    now = durable(now if done is None else now.union(done))
+    whole = state.fresh(spark)
+    with scratch(spark):
+        if deep:
+            now = _prune_levels(durable(now), done, inner)
+            done = None
+        now = durable(now if done is None else now.union(done), whole)
+    for path in (here, ready, stuck):
+        delete(spark, path)
     stats = durable(now.groupBy("g").applyInPandas(_stats(cfg), _STATS))
 
     def try_split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -505,9 +519,11 @@ def granulation(points: DataFrame, cfg: Config) -> Granulation:
     """Scaling and granules of points (point_id, features), each a written table."""
     at = time.perf_counter()
     features = F.col("features") if cfg.dims is None else F.slice("features", 1, cfg.dims)
-    scaled = durable(_scaled(points.select("point_id", features.alias("features")), cfg.scaler))
+    path = state.fresh(points.sparkSession)
+    scaled = durable(_scaled(points.select("point_id", features.alias("features")), cfg.scaler), path)
     scaling, at = time.perf_counter() - at, time.perf_counter()
     members, stats = granulate(scaled, cfg)
+    delete(points.sparkSession, path)
     return Granulation(members, stats, {"scaling": scaling, "granules": time.perf_counter() - at})
 
 
